@@ -29,9 +29,9 @@ def business_calendar(
         raise ValueError(f"calendar of {days} days; expected 1 to {MAX_DAYS}")
     date = F.date_add(F.lit(first), F.col("id").cast("int"))
     open_day = ~is_weekend(F.col("date"))
-    closed = [F.lit(day) for day in holidays]
+    closed = ", ".join(f"DATE '{day:%Y-%m-%d}'" for day in holidays)
     if closed:
-        open_day = open_day & ~F.col("date").isin(*closed)
+        open_day = open_day & F.expr(f"date NOT IN ({closed})")
     # One ordered range of bounded length: the running sum needs no exchange.
     running = W.orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
@@ -91,7 +91,10 @@ def date_key(date: str | Column) -> Column:
 
 def date_dimension(bounds: DataFrame) -> DataFrame:
     """One row per day without gaps between the bounds."""
-    days = bounds.select(F.explode(F.sequence("first_date", "last_date")).alias("date"))
+    too_long = F.datediff("last_date", "first_date") >= MAX_DAYS
+    message = F.lit(f"dates span more than {MAX_DAYS} days")
+    last = F.when(too_long, F.raise_error(message).cast("date")).otherwise(F.col("last_date"))
+    days = bounds.select(F.explode(F.sequence("first_date", last)).alias("date"))
     date = F.col("date")
     return days.select(
         date_key(date).alias("date_key"),

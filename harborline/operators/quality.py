@@ -187,6 +187,6 @@ def _raise_if_any(offenders: DataFrame, keys: Sequence[str], message: str) -> No
     named = offenders.select(*keys).limit(NAMED_IN_MESSAGE + 1).collect()
     if not named:
         return
-    values = sorted(", ".join(str(v) for v in row) for row in named[:NAMED_IN_MESSAGE])
+    values = ", ".join(sorted(" / ".join(map(str, row)) for row in named[:NAMED_IN_MESSAGE]))
     more = " and more" if len(named) > NAMED_IN_MESSAGE else ""
     raise QualityError(f"{message}: {values}{more}")

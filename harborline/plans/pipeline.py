@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from harborline import config
 from harborline.functions.calendar import business_calendar, date_bounds
@@ -42,29 +43,34 @@ def transform(
     return lines, orders
 
 
-def scenario_orders(
-    orders: DataFrame, lines: DataFrame, thresholds: config.Thresholds = config.THRESHOLDS
-) -> DataFrame:
-    """One row per order and scenario from the two facts."""
-    table = scenarios.scenario_table(orders.sparkSession, thresholds)
-    totals = scenarios.attach_financials(orders, facts.order_financials(lines))
-    return scenarios.expand(totals, table)
+def order_totals(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """The order fact with its totals, checked to join one to one."""
+    quality.require_unique(orders, ["order_id"], "Order fact")
+    return scenarios.attach_financials(orders, facts.order_financials(lines))
 
 
 def analyze(
     orders: DataFrame, lines: DataFrame, thresholds: config.Thresholds = config.THRESHOLDS
 ) -> dict[str, DataFrame]:
     """Scenario detail and the four summaries."""
-    detail = scenario_orders(orders, lines, thresholds)
-    return {"scenario_orders": detail, **summarize_detail(detail)}
+    return analyze_totals(order_totals(orders, lines), thresholds)
 
 
-def summarize_detail(detail: DataFrame) -> dict[str, DataFrame]:
+def analyze_totals(
+    totals: DataFrame, thresholds: config.Thresholds = config.THRESHOLDS
+) -> dict[str, DataFrame]:
+    """As :func:`analyze`, from orders that carry their totals."""
+    table = scenarios.scenario_table(totals.sparkSession, thresholds)
+    monthly = totals.withColumn("order_month_label", F.date_format("order_date", "yyyy-MM"))
+    families = {
+        "overall": [],
+        "by_ship_mode": ["ship_mode"],
+        "by_region": ["region"],
+        "by_month": ["order_month_label"],
+    }
     return {
-        "overall": summaries.summarize(detail),
-        "by_ship_mode": summaries.summarize(detail, ["ship_mode"]),
-        "by_region": summaries.summarize(detail, ["region"]),
-        "by_month": summaries.summarize(detail, ["order_month_label"]),
+        "scenario_orders": scenarios.expand(totals, table),
+        **{n: summaries.summarize_orders(monthly, table, dims) for n, dims in families.items()},
     }
 
 
@@ -97,8 +103,7 @@ def run(
     written["fact_orders"] = store("fact_orders", orders)
     for name, table in star.build(lines).items():
         written[name] = store(name, table)
-    detail = scenario_orders(written["fact_orders"], lines, thresholds)
-    written["scenario_orders"] = store("scenario_orders", detail, ("scenario",))
-    for name, summary in summarize_detail(written["scenario_orders"]).items():
-        written[name] = store(name, summary)
+    totals = store("order_totals", order_totals(written["fact_orders"], lines))
+    for name, table in analyze_totals(totals, thresholds).items():
+        written[name] = store(name, table, ("scenario",) if name == "scenario_orders" else ())
     return written

@@ -150,7 +150,7 @@ def dq_duplicate_keys(t: OrderTables) -> DataFrame:
 @query
 def dq_duplicate_row_ids(t: OrderTables) -> DataFrame:
     """How many rows and how many distinct row ids there are, and how many repeat."""
-    rows = t.raw_lines().groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
+    rows = t.items().groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
     return rows.agg(
         F.sum("copies").alias("row_count"),
         F.count(F.lit(1)).alias("distinct_row_ids"),
@@ -160,7 +160,9 @@ def dq_duplicate_row_ids(t: OrderTables) -> DataFrame:
 
 @query
 def dq_inconsistent_orders(t: OrderTables) -> DataFrame:
-    return quality.inconsistent_groups(t.raw_lines(), ["order_id"], schema.ORDER_FIELDS)
+    return quality.inconsistent_groups(
+        t.raw_lines(product=False), ["order_id"], schema.ORDER_FIELDS
+    )
 
 
 @query

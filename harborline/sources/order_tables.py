@@ -38,6 +38,19 @@ CALENDAR_LAST = dt.date(2010, 12, 31)
 MIN_SUBCATEGORY_ORDERS = 1100
 MIN_STATE_ORDERS = 450
 
+# Columns in use, declared so that opening a table reads no footer.
+TABLES = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ, "
+    "o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+    "p_retailprice DOUBLE",
+}
+
 
 def _decimal(column: str, kind) -> Column:
     return F.col(column).cast(kind)
@@ -51,7 +64,7 @@ class OrderTables:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     # -- data held as settings ------------------------------------------------
 
@@ -76,7 +89,8 @@ class OrderTables:
             F.col("o_custkey").alias("customer_id"),
         )
 
-    def _items(self) -> DataFrame:
+    def items(self) -> DataFrame:
+        """The lines alone, before any join."""
         shipped = F.col("l_shipdate").cast("date")
         # These five columns identify a line, so no window is needed to number it.
         row_id = F.concat_ws(
@@ -132,15 +146,16 @@ class OrderTables:
 
     # -- line grain -----------------------------------------------------------
 
-    def raw_lines(self) -> DataFrame:
+    def raw_lines(self, product: bool = True) -> DataFrame:
         """Every line with its own ship date, unchecked, in the source layout."""
-        lines = self._items().join(self._headers(), "order_id", "left")
-        full = self.with_place(self._with_product(lines))
-        return full.withColumnRenamed("line_ship_date", "ship_date").select(*schema.LINE_COLUMNS)
+        lines = self.items().join(self._headers(), "order_id", "left")
+        full = self.with_place(self._with_product(lines) if product else lines)
+        columns = schema.LINE_COLUMNS if product else ["row_id", "order_id", *schema.ORDER_FIELDS]
+        return full.withColumnRenamed("line_ship_date", "ship_date").select(*columns)
 
     def accepted_lines(self, product: bool = True) -> DataFrame:
         """Lines that do not ship before their order date, with ``line_ship_date``."""
-        lines = self._items().join(self._headers(), "order_id")
+        lines = self.items().join(self._headers(), "order_id")
         lines = lines.where(F.col("line_ship_date") >= F.col("order_date"))
         return self._with_product(lines) if product else lines
 
@@ -151,7 +166,7 @@ class OrderTables:
         lines through an exchange of its own.
         """
         orders = self.orders(place=True)
-        lines = self._items().join(orders, "order_id")
+        lines = self.items().join(orders, "order_id")
         lines = lines.where(F.col("line_ship_date") >= F.col("order_date"))
         if not product:
             return lines.select("row_id", "order_id", *schema.ORDER_FIELDS)
