@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harborline import schema
 
@@ -40,10 +41,11 @@ def reconcile(
     for column in exact:
         matches = matches & (F.col(f"left_{column}") == F.col(f"right_{column}"))
     for column, limit in tolerances.items():
-        # The difference is exact; only its size is compared as a double, since
-        # widening a 38-digit decimal to the limit's scale would round it away.
-        gap = F.abs(F.col(f"left_{column}") - F.col(f"right_{column}"))
-        matches = matches & (gap.cast("double") < F.lit(float(limit)))
+        # Only the size of the difference is compared as a double: widening a
+        # 38-digit decimal to the limit's scale would round the limit away.
+        kind = _exact_type(left, right, column)
+        gap = F.col(f"left_{column}").cast(kind) - F.col(f"right_{column}").cast(kind)
+        matches = matches & (F.abs(gap).cast("double") < F.lit(float(limit)))
     shown = [f"{label}_{c}" for c in show for label in ("left", "right")]
     return (
         side(left, "left")
@@ -52,6 +54,18 @@ def reconcile(
     )
 
 
+def _exact_type(left: DataFrame, right: DataFrame, column: str) -> T.DataType:
+    """Type in which two values subtract without rounding.
+
+    Spark drops scale from a difference that needs 39 digits, so one digit is
+    left free; a value too large for that fails the job.
+    """
+    kinds = [df.schema[column].dataType for df in (left, right)]
+    if all(isinstance(kind, T.DecimalType) for kind in kinds):
+        return T.DecimalType(37, max(kind.scale for kind in kinds))
+    return T.DoubleType()
+
+
 def failures(comparisons: dict[str, DataFrame]) -> DataFrame:
     """(output, compared, failures), one row per comparison."""
     result = None

@@ -71,7 +71,7 @@ def order_financials(t: OrderTables) -> DataFrame:
 
 @query
 def shipment_lateness(t: OrderTables) -> DataFrame:
-    lines = t.accepted_lines(product=False)
+    lines = t.shipped_lines()
     shipments = lines.select("order_id", "order_date", "ship_mode", "line_ship_date").distinct()
     dated = shipments.withColumnRenamed("line_ship_date", "ship_date")
     rated = scenarios.with_threshold(t.counted(dated), scenarios.days_of(t.scenarios(), "base"))
@@ -150,7 +150,7 @@ def dq_duplicate_keys(t: OrderTables) -> DataFrame:
 @query
 def dq_duplicate_row_ids(t: OrderTables) -> DataFrame:
     """How many rows and how many distinct row ids there are, and how many repeat."""
-    rows = t.items().groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
+    rows = t.numbered(t.items()).groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
     return rows.agg(
         F.sum("copies").alias("row_count"),
         F.count(F.lit(1)).alias("distinct_row_ids"),

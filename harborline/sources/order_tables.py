@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline import config, schema
@@ -52,10 +52,6 @@ TABLES = {
 }
 
 
-def _decimal(column: str, kind) -> Column:
-    return F.col(column).cast(kind)
-
-
 class OrderTables:
     """Lazy views over one folder of tables."""
 
@@ -90,20 +86,23 @@ class OrderTables:
         )
 
     def items(self) -> DataFrame:
-        """The lines alone, before any join."""
-        shipped = F.col("l_shipdate").cast("date")
-        # These five columns identify a line, so no window is needed to number it.
-        row_id = F.concat_ws(
-            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_date(shipped)
-        )
+        """The lines alone, as narrow as they are stored."""
         return self.table("lineitem").select(
-            row_id.alias("row_id"),
             F.col("l_orderkey").alias("order_id"),
+            F.col("l_linenumber").alias("line_number"),
             F.col("l_partkey").alias("part_key"),
-            shipped.alias("line_ship_date"),
-            _decimal("l_extendedprice", schema.MONEY).alias("price"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            _decimal("l_discount", schema.RATE).alias("discount"),
+            F.col("l_suppkey").alias("supplier_key"),
+            F.col("l_shipdate").cast("date").alias("line_ship_date"),
+            "l_quantity",
+            "l_extendedprice",
+            "l_discount",
+        )
+
+    def numbered(self, lines: DataFrame) -> DataFrame:
+        """Add ``row_id``; these five columns identify a line without a window."""
+        parts = ["order_id", "line_number", "part_key", "supplier_key"]
+        return lines.withColumn(
+            "row_id", F.concat_ws("-", *parts, F.unix_date("line_ship_date"))
         )
 
     def with_place(self, orders: DataFrame) -> DataFrame:
@@ -126,22 +125,30 @@ class OrderTables:
         )
         return orders.join(customers, "customer_id", "left")
 
-    def _with_product(self, lines: DataFrame) -> DataFrame:
+    def _priced(self, lines: DataFrame) -> DataFrame:
+        """Add product columns and money.
+
+        Called after lines were filtered, so money is only computed for the
+        lines that stay and the exchanges before carry the stored columns.
+        """
         products = self.table("part").select(
             F.col("p_partkey").alias("part_key"),
             F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("product_id"),
             F.col("p_name").alias("product_name"),
             F.col("p_type").alias("category"),
             F.col("p_brand").alias("sub_category"),
-            _decimal("p_retailprice", schema.MONEY).alias("unit_cost"),
+            "p_retailprice",
         )
-        sales = (F.col("price") * (1 - F.col("discount"))).cast(schema.MONEY)
-        profit = (F.col("sales") - F.col("quantity") * F.col("unit_cost")).cast(schema.MONEY)
+        price = F.col("l_extendedprice").cast(schema.MONEY)
+        cost = F.col("p_retailprice").cast(schema.MONEY)
         return (
-            lines.join(products, "part_key", "left")
-            .withColumn("sales", sales)
-            .withColumn("profit", profit)
-            .drop("part_key", "price", "unit_cost")
+            self.numbered(lines.join(products, "part_key", "left"))
+            .withColumn("quantity", F.col("l_quantity").cast("int"))
+            .withColumn("discount", F.col("l_discount").cast(schema.RATE))
+            .withColumn("sales", (price * (1 - F.col("discount"))).cast(schema.MONEY))
+            .withColumn(
+                "profit", (F.col("sales") - F.col("quantity") * cost).cast(schema.MONEY)
+            )
         )
 
     # -- line grain -----------------------------------------------------------
@@ -149,15 +156,20 @@ class OrderTables:
     def raw_lines(self, product: bool = True) -> DataFrame:
         """Every line with its own ship date, unchecked, in the source layout."""
         lines = self.items().join(self._headers(), "order_id", "left")
-        full = self.with_place(self._with_product(lines) if product else lines)
+        full = self.with_place(self._priced(lines) if product else self.numbered(lines))
         columns = schema.LINE_COLUMNS if product else ["row_id", "order_id", *schema.ORDER_FIELDS]
         return full.withColumnRenamed("line_ship_date", "ship_date").select(*columns)
 
-    def accepted_lines(self, product: bool = True) -> DataFrame:
-        """Lines that do not ship before their order date, with ``line_ship_date``."""
-        lines = self.items().join(self._headers(), "order_id")
-        lines = lines.where(F.col("line_ship_date") >= F.col("order_date"))
-        return self._with_product(lines) if product else lines
+    def _accepted(self, orders: DataFrame) -> DataFrame:
+        return self.items().join(orders, "order_id").where("line_ship_date >= order_date")
+
+    def shipped_lines(self) -> DataFrame:
+        """Accepted lines with their order header and ``line_ship_date``."""
+        return self._accepted(self._headers())
+
+    def accepted_lines(self) -> DataFrame:
+        """The same lines with product columns and money."""
+        return self._priced(self.shipped_lines())
 
     def canonical_lines(self, product: bool = True) -> DataFrame:
         """Accepted lines in the source layout; ``ship_date`` is the order's.
@@ -165,12 +177,10 @@ class OrderTables:
         The order side ends in the customer join, so at volume it reaches the
         lines through an exchange of its own.
         """
-        orders = self.orders(place=True)
-        lines = self.items().join(orders, "order_id")
-        lines = lines.where(F.col("line_ship_date") >= F.col("order_date"))
+        lines = self._accepted(self.orders(place=True))
         if not product:
-            return lines.select("row_id", "order_id", *schema.ORDER_FIELDS)
-        return self._with_product(lines).select(*schema.LINE_COLUMNS)
+            return self.numbered(lines).select("row_id", "order_id", *schema.ORDER_FIELDS)
+        return self._priced(lines).select(*schema.LINE_COLUMNS)
 
     # -- order grain ----------------------------------------------------------
 

@@ -17,7 +17,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):
         name = os.path.basename(path).removesuffix(".parquet")
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}{"/*.parquet" if os.path.isdir(path) else ""}')")
     return con
 
 
