@@ -35,7 +35,7 @@ def collapse(
     most of them are text.
     """
     if check:
-        quality.require_consistent(lines, ["order_id"], fields, quality.INCONSISTENT_ORDERS)
+        quality.require_consistent(lines, ["order_id"], fields)
     return lines.select("order_id", *fields).distinct()
 
 

@@ -100,11 +100,10 @@ def require_unique(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return df
 
 
-def require_consistent(
-    df: DataFrame, keys: Sequence[str], fields: Sequence[str], label: str
-) -> DataFrame:
+def require_consistent(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """``df`` itself, after checking that the fields are constant per key."""
-    _raise_if_any(inconsistent_groups(df, keys, fields), keys, label)
+    offenders = inconsistent_groups(df, keys, fields)
+    _raise_if_any(offenders, keys, f"Fields are inconsistent within {', '.join(keys)}")
     return df
 
 
@@ -128,6 +127,21 @@ def report(
     return result
 
 
+# The order in which violations are raised.
+CONTRACT = [
+    "row_count_difference",
+    "row_id_null",
+    "row_id_duplicated",
+    "null_values",
+    "ship_before_order",
+    "negative_sales",
+    "quantity_not_positive",
+    "discount_outside_0_1",
+    "unknown_ship_modes",
+    "inconsistent_orders",
+]
+
+
 def validate(
     df: DataFrame,
     modes: DataFrame,
@@ -136,31 +150,21 @@ def validate(
     """Raise ``QualityError`` for the first violation in the contract's order."""
     absent = missing_columns(df)
     if absent:
-        raise QualityError(f"Missing required columns: {absent}")
+        raise QualityError(f"Missing columns: {', '.join(absent)}")
     found = {
         row.check_name: row.violations for row in report(df, modes, expected_rows).collect()
     }
-    if found.get("row_count_difference"):
+    failed = next((name for name in CONTRACT if found.get(name)), None)
+    if failed == "row_count_difference":
         raise QualityError(f"Expected {expected_rows} rows, found {found['row_count']}")
-    plain = {
-        "row_id_null": "Row ID contains null values",
-        "row_id_duplicated": "Row ID must be unique",
-        "null_values": "Source contains null values",
-        "ship_before_order": "Ship Date cannot precede Order Date",
-        "negative_sales": "Sales cannot be negative",
-        "quantity_not_positive": "Quantity must be positive",
-        "discount_outside_0_1": "Discount must be between 0 and 1",
-    }
-    for name, message in plain.items():
-        if found[name]:
-            raise QualityError(f"{message} ({found[name]} found)")
-    if found["unknown_ship_modes"]:
+    if failed == "row_id_duplicated":
+        require_unique(df, ["row_id"], "Source")
+    if failed == "unknown_ship_modes":
         _raise_if_any(unknown_values(df, "ship_mode", modes), ["ship_mode"], "Unknown ship modes")
-    if found["inconsistent_orders"]:
-        require_consistent(df, ["order_id"], schema.ORDER_FIELDS, INCONSISTENT_ORDERS)
-
-
-INCONSISTENT_ORDERS = "Order-level fields are inconsistent for orders"
+    if failed == "inconsistent_orders":
+        require_consistent(df, ["order_id"], schema.ORDER_FIELDS)
+    if failed:
+        raise QualityError(f"{failed}: {found[failed]} rows")
 
 
 def compare_counts(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:

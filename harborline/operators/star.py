@@ -28,7 +28,7 @@ def build_dimension(lines: DataFrame, name: str) -> DataFrame:
     dimension = dense_key(lines.select(*natural, *attributes).distinct(), natural, key)
     if attributes:
         # Checked on the written dimension, not on the lines again.
-        quality.require_unique(dimension, natural, f"{name}: attributes are inconsistent, it")
+        quality.require_unique(dimension, natural, f"{name} has conflicting attributes, it")
     return dimension
 
 
@@ -47,24 +47,37 @@ def _with_key(fact: DataFrame, dimension: DataFrame, natural: Sequence[str], key
     return fact.join(side, condition, "left").drop(*names.values())
 
 
-def build_fact(lines: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Order lines with surrogate keys; a key that is not found fails the job."""
-    fact = lines
+def with_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
+    """Add the integer keys of the order and the ship date."""
     for role in ("order_date", "ship_date"):
-        dates = tables["dim_date"].select(
-            F.col("date").alias(role), F.col("date_key").alias(f"{role}_key")
-        )
+        side = dates.select(F.col("date").alias(role), F.col("date_key").alias(f"{role}_key"))
         # One row per calendar day, so small at any data volume.
-        fact = fact.join(F.broadcast(dates), role, "left")
-    for name, (key, natural, _) in DIMENSIONS.items():
-        fact = _with_key(fact, tables[name], natural, key)
+        df = df.join(F.broadcast(side), role, "left")
+    return df
+
+
+def with_keys(df: DataFrame, tables: dict[str, DataFrame], *names: str) -> DataFrame:
+    """Add the surrogate keys of the named dimensions."""
+    for name in names:
+        key, natural, _ = DIMENSIONS[name]
+        df = _with_key(df, tables[name], natural, key)
+    return df
+
+
+def fact_columns(df: DataFrame) -> DataFrame:
+    """The fact's columns; a key that was not found fails the job."""
     checked = [
-        required(F.col(c), F.lit(f"Star fact contains null dimension keys: {c}")).alias(c)
+        required(F.col(c), F.lit(f"No dimension row for {c}")).alias(c)
         if c in schema.STAR_KEYS
         else F.col(c)
         for c in schema.STAR_FACT
     ]
-    return fact.select(*checked)
+    return df.select(*checked)
+
+
+def build_fact(lines: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Order lines with surrogate keys."""
+    return fact_columns(with_keys(with_dates(lines, tables["dim_date"]), tables, *DIMENSIONS))
 
 
 def build(lines: DataFrame) -> dict[str, DataFrame]:

@@ -446,6 +446,7 @@ ORACLE = {
     "within_region_correlation": f"""{REGION_YEARS} SELECT region, count(*) AS observations,
         {correlation('orders', 'late_rate')} AS correlation FROM groups GROUP BY region""",
     "reconcile_clean": reconciliation(perturbed=False),
+    "reconcile_exported": reconciliation(perturbed=False),
     "reconcile_perturbed": reconciliation(perturbed=True),
     "reconcile_overall": f"""WITH {DETAIL}
         SELECT scenario, {matching()} AS matches,

@@ -63,7 +63,7 @@ def read_source(
     text = reader.csv(path)
     absent = missing_columns(text, schema.SOURCE_NAMES)
     if absent:
-        raise QualityError(f"Missing required columns: {absent}")
+        raise QualityError(f"Missing columns: {', '.join(absent)}")
     tokens = list(null_tokens)
     return text.select(
         *[

@@ -125,13 +125,9 @@ class OrderTables:
         )
         return orders.join(customers, "customer_id", "left")
 
-    def _priced(self, lines: DataFrame) -> DataFrame:
-        """Add product columns and money.
-
-        Called after lines were filtered, so money is only computed for the
-        lines that stay and the exchanges before carry the stored columns.
-        """
-        products = self.table("part").select(
+    def products(self) -> DataFrame:
+        """Product columns and unit cost per part."""
+        return self.table("part").select(
             F.col("p_partkey").alias("part_key"),
             F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("product_id"),
             F.col("p_name").alias("product_name"),
@@ -139,16 +135,25 @@ class OrderTables:
             F.col("p_brand").alias("sub_category"),
             "p_retailprice",
         )
+
+    def priced(self, lines: DataFrame, products: DataFrame | None = None) -> DataFrame:
+        """Add row id, product columns and money.
+
+        Called after lines were filtered, so money is only computed for the
+        lines that stay and the exchanges before carry the stored columns.
+        """
+        products = products if products is not None else self.products()
+        discount = F.col("l_discount").cast(schema.RATE)
         price = F.col("l_extendedprice").cast(schema.MONEY)
-        cost = F.col("p_retailprice").cast(schema.MONEY)
-        return (
-            self.numbered(lines.join(products, "part_key", "left"))
-            .withColumn("quantity", F.col("l_quantity").cast("int"))
-            .withColumn("discount", F.col("l_discount").cast(schema.RATE))
-            .withColumn("sales", (price * (1 - F.col("discount"))).cast(schema.MONEY))
-            .withColumn(
-                "profit", (F.col("sales") - F.col("quantity") * cost).cast(schema.MONEY)
-            )
+        sales = (price * (1 - discount)).cast(schema.MONEY)
+        cost = F.col("l_quantity").cast("int") * F.col("p_retailprice").cast(schema.MONEY)
+        return self.numbered(lines.join(products, "part_key", "left")).withColumns(
+            {
+                "quantity": F.col("l_quantity").cast("int"),
+                "discount": discount,
+                "sales": sales,
+                "profit": (sales - cost).cast(schema.MONEY),
+            }
         )
 
     # -- line grain -----------------------------------------------------------
@@ -156,20 +161,21 @@ class OrderTables:
     def raw_lines(self, product: bool = True) -> DataFrame:
         """Every line with its own ship date, unchecked, in the source layout."""
         lines = self.items().join(self._headers(), "order_id", "left")
-        full = self.with_place(self._priced(lines) if product else self.numbered(lines))
+        full = self.with_place(self.priced(lines) if product else self.numbered(lines))
         columns = schema.LINE_COLUMNS if product else ["row_id", "order_id", *schema.ORDER_FIELDS]
         return full.withColumnRenamed("line_ship_date", "ship_date").select(*columns)
 
-    def _accepted(self, orders: DataFrame) -> DataFrame:
+    def lines_of(self, orders: DataFrame) -> DataFrame:
+        """Lines of the given orders that do not ship before the order date."""
         return self.items().join(orders, "order_id").where("line_ship_date >= order_date")
 
     def shipped_lines(self) -> DataFrame:
         """Accepted lines with their order header and ``line_ship_date``."""
-        return self._accepted(self._headers())
+        return self.lines_of(self._headers())
 
     def accepted_lines(self) -> DataFrame:
         """The same lines with product columns and money."""
-        return self._priced(self.shipped_lines())
+        return self.priced(self.shipped_lines())
 
     def canonical_lines(self, product: bool = True) -> DataFrame:
         """Accepted lines in the source layout; ``ship_date`` is the order's.
@@ -177,10 +183,10 @@ class OrderTables:
         The order side ends in the customer join, so at volume it reaches the
         lines through an exchange of its own.
         """
-        lines = self._accepted(self.orders(place=True))
+        lines = self.lines_of(self.orders(place=True))
         if not product:
             return self.numbered(lines).select("row_id", "order_id", *schema.ORDER_FIELDS)
-        return self._priced(lines).select(*schema.LINE_COLUMNS)
+        return self.priced(lines).select(*schema.LINE_COLUMNS)
 
     # -- order grain ----------------------------------------------------------
 

@@ -97,3 +97,19 @@ def test_hot_order_is_split_in_the_join(spark, skewed, name):
 def test_results_hold_under_skew(spark, skewed, name):
     con = connect(skewed)
     assert differences(QUERIES[name](spark, skewed), con, ORACLE[name]) == []
+
+
+def test_hot_order_is_folded_before_the_extra_exchange(spark, skewed):
+    """With parts broadcast, nothing but the split itself separates join and sum."""
+    t = OrderTables(spark, skewed)
+    lines = t.shipped_lines().join(F.broadcast(t.products()), "part_key", "left")
+    totals = lines.groupBy("order_id").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
+    plan = final_plan(totals).split("== Initial Plan ==")[0]
+    assert "SortMergeJoin(skew=true)" in plan and "BroadcastHashJoin" in plan
+    order = [plan.index(step) for step in ("HashAggregate", "Exchange", "SortMergeJoin(skew=true)")]
+    assert order == sorted(order) and plan[: order[2]].count("HashAggregate") == 2
+    plain = spark.read.parquet(f"{skewed}/lineitem.parquet").join(
+        spark.read.parquet(f"{skewed}/orders.parquet"), F.expr("l_orderkey = o_orderkey")
+    ).where("l_shipdate >= o_orderdate").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
+    assert sorted(totals.collect()) == sorted(plain.collect())
