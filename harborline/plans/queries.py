@@ -265,7 +265,7 @@ def fact_order_lines_star(t: OrderTables) -> DataFrame:
     )
     products = star.with_keys(t.products(), tables, "dim_product")
     products = products.select("part_key", "product_key", "p_retailprice")
-    return star.fact_columns(t.priced(t.lines_of(keyed), products))
+    return star.fact_columns(t.priced(t.accept(t.described(products), keyed)))
 
 
 # -- diagnostics of the calibrated scenario -----------------------------------------

@@ -136,18 +136,22 @@ class OrderTables:
             "p_retailprice",
         )
 
-    def priced(self, lines: DataFrame, products: DataFrame | None = None) -> DataFrame:
-        """Add row id, product columns and money.
+    def described(self, products: DataFrame | None = None) -> DataFrame:
+        """The lines with their product, joined before they meet the orders.
 
-        Called after lines were filtered, so money is only computed for the
-        lines that stay and the exchanges before carry the stored columns.
+        What follows on ``order_id`` (acceptance, totals, distinct members) then
+        shares the one exchange of the order join.
         """
         products = products if products is not None else self.products()
+        return self.items().join(products, "part_key", "left")
+
+    def priced(self, lines: DataFrame) -> DataFrame:
+        """Add row id and money to described lines, once they were filtered."""
         discount = F.col("l_discount").cast(schema.RATE)
         price = F.col("l_extendedprice").cast(schema.MONEY)
         sales = (price * (1 - discount)).cast(schema.MONEY)
         cost = F.col("l_quantity").cast("int") * F.col("p_retailprice").cast(schema.MONEY)
-        return self.numbered(lines.join(products, "part_key", "left")).withColumns(
+        return self.numbered(lines).withColumns(
             {
                 "quantity": F.col("l_quantity").cast("int"),
                 "discount": discount,
@@ -158,24 +162,26 @@ class OrderTables:
 
     # -- line grain -----------------------------------------------------------
 
+    @staticmethod
+    def accept(lines: DataFrame, orders: DataFrame) -> DataFrame:
+        """Lines of the given orders that do not ship before the order date."""
+        return lines.join(orders, "order_id").where("line_ship_date >= order_date")
+
     def raw_lines(self, product: bool = True) -> DataFrame:
         """Every line with its own ship date, unchecked, in the source layout."""
-        lines = self.items().join(self._headers(), "order_id", "left")
-        full = self.with_place(self.priced(lines) if product else self.numbered(lines))
+        lines = self.described() if product else self.items()
+        full = lines.join(self.with_place(self._headers()), "order_id", "left")
+        full = self.priced(full) if product else self.numbered(full)
         columns = schema.LINE_COLUMNS if product else ["row_id", "order_id", *schema.ORDER_FIELDS]
         return full.withColumnRenamed("line_ship_date", "ship_date").select(*columns)
 
-    def lines_of(self, orders: DataFrame) -> DataFrame:
-        """Lines of the given orders that do not ship before the order date."""
-        return self.items().join(orders, "order_id").where("line_ship_date >= order_date")
-
     def shipped_lines(self) -> DataFrame:
         """Accepted lines with their order header and ``line_ship_date``."""
-        return self.lines_of(self._headers())
+        return self.accept(self.items(), self._headers())
 
     def accepted_lines(self) -> DataFrame:
         """The same lines with product columns and money."""
-        return self.priced(self.shipped_lines())
+        return self.priced(self.accept(self.described(), self._headers()))
 
     def canonical_lines(self, product: bool = True) -> DataFrame:
         """Accepted lines in the source layout; ``ship_date`` is the order's.
@@ -183,10 +189,11 @@ class OrderTables:
         The order side ends in the customer join, so at volume it reaches the
         lines through an exchange of its own.
         """
-        lines = self.lines_of(self.orders(place=True))
+        orders = self.orders(place=True)
         if not product:
-            return self.numbered(lines).select("row_id", "order_id", *schema.ORDER_FIELDS)
-        return self.priced(lines).select(*schema.LINE_COLUMNS)
+            lines = self.numbered(self.accept(self.items(), orders))
+            return lines.select("row_id", "order_id", *schema.ORDER_FIELDS)
+        return self.priced(self.accept(self.described(), orders)).select(*schema.LINE_COLUMNS)
 
     # -- order grain ----------------------------------------------------------
 

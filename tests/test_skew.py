@@ -102,7 +102,7 @@ def test_results_hold_under_skew(spark, skewed, name):
 def test_hot_order_is_folded_before_the_extra_exchange(spark, skewed):
     """With parts broadcast, nothing but the split itself separates join and sum."""
     t = OrderTables(spark, skewed)
-    lines = t.shipped_lines().join(F.broadcast(t.products()), "part_key", "left")
+    lines = t.accept(t.described(F.broadcast(t.products())), t._headers())
     totals = lines.groupBy("order_id").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
     plan = final_plan(totals).split("== Initial Plan ==")[0]
     assert "SortMergeJoin(skew=true)" in plan and "BroadcastHashJoin" in plan
