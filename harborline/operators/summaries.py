@@ -82,15 +82,22 @@ def _cell_measures() -> list[Column]:
     ]
 
 
+def summarize_cells(
+    folded: DataFrame, table: DataFrame, dims: Sequence[str] = ()
+) -> DataFrame:
+    """Summary from cells that hold at least the given dimensions."""
+    flagged = scenarios.classify(folded, table)
+    totals = flagged.groupBy("scenario", *dims).agg(*_cell_measures())
+    return in_report_order(_rates(totals), dims)
+
+
 def summarize_orders(orders: DataFrame, table: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     """The same summary from one row per order, expanding scenarios last.
 
     Orders are folded into cells before the scenario join, so the fan-out
     applies to the cells and no (scenario, order) row is ever shuffled.
     """
-    flagged = scenarios.classify(cells(orders, dims), table)
-    totals = flagged.groupBy("scenario", *dims).agg(*_cell_measures())
-    return in_report_order(_rates(totals), dims)
+    return summarize_cells(cells(orders, dims), table, dims)
 
 
 def summarize_families(

@@ -252,21 +252,36 @@ def reconciliation(perturbed: bool) -> str:
     return f"WITH {DETAIL}" + " UNION ALL ".join(parts)
 
 
+def checks(tests: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f" SELECT '{name}' AS check_name, count(*) FILTER (WHERE {test}) AS violations FROM raw_lines"
+        for name, test in tests.items()
+    )
+
+
 def row_checks() -> str:
-    nulls = " OR ".join(f"{c} IS NULL" for c in NULLABLE)
-    checks = {
+    return checks({
         "row_count": "true",
         "row_id_null": "row_id IS NULL",
-        "null_values": nulls,
+        "null_values": " OR ".join(f"{c} IS NULL" for c in NULLABLE),
         "ship_before_order": "line_ship_date < order_date",
         "negative_sales": "sales < 0",
         "quantity_not_positive": "quantity <= 0",
         "discount_outside_0_1": "discount < 0 OR discount > 1",
-    }
-    return f"WITH {RAW}" + " UNION ALL ".join(
-        f" SELECT '{name}' AS check_name, count(*) FILTER (WHERE {test}) AS violations FROM raw_lines"
-        for name, test in checks.items()
-    )
+    })
+
+
+def keyed_checks() -> str:
+    modes = "'Same Day', 'First Class', 'Second Class', 'Standard Class'"
+    return f"""
+    SELECT 'row_id_duplicated' AS check_name, count(*) AS violations
+        FROM (SELECT row_id FROM raw_lines GROUP BY row_id HAVING count(*) > 1)
+    UNION ALL SELECT 'unknown_ship_modes', count(*)
+        FROM (SELECT DISTINCT ship_mode FROM raw_lines WHERE ship_mode NOT IN ({modes}))
+    UNION ALL SELECT 'inconsistent_orders', count(*) FROM (
+        SELECT order_id FROM
+            (SELECT DISTINCT order_id, order_date, line_ship_date, ship_mode, customer_id, {PLACE} FROM raw_lines)
+        GROUP BY order_id HAVING count(*) > 1)"""
 
 
 # Column of the raw lines -> expression; profit is null where its inputs are.
@@ -389,7 +404,8 @@ ORACLE = {
         FROM detail GROUP BY GROUPING SETS
             ((scenario), (scenario, ship_mode), (scenario, region), (scenario, order_month))""",
     "summary_distinct_orders": summary(", ship_mode"),
-    "dq_row_checks": row_checks(),
+    "dq_row_checks": f"WITH {RAW} {row_checks()}",
+    "dq_contract_report": f"WITH {RAW} {row_checks()} UNION ALL {keyed_checks()}",
     "dq_null_counts": null_counts(),
     "dq_duplicate_keys": """SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem
         GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
@@ -453,6 +469,9 @@ ORACLE = {
             a.late_orders AS left_late_orders, b.late_orders AS right_late_orders,
             a.late_order_rate AS left_late_order_rate, b.late_order_rate AS right_late_order_rate
         FROM {both_ways("scenario")}""",
+    "pipeline_by_month": f"""WITH {DETAIL}
+        SELECT scenario, strftime(order_month, '%Y-%m') AS order_month_label, {MEASURES}
+        FROM detail GROUP BY scenario, order_month_label""",
     "csv_roundtrip": f"""WITH {LINES} SELECT * REPLACE (CAST(order_id AS VARCHAR) AS order_id,
         CAST(customer_id AS VARCHAR) AS customer_id) FROM (SELECT {CANONICAL} FROM lines)""",
 }

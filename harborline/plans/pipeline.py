@@ -49,28 +49,24 @@ def order_totals(orders: DataFrame, lines: DataFrame) -> DataFrame:
     return scenarios.attach_financials(orders, facts.order_financials(lines))
 
 
+# Report families; months are keyed by text.
+FAMILIES = {**summaries.FAMILIES, "by_month": ["order_month_label"]}
+
+
+def _with_month(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("order_month_label", F.date_format("order_date", "yyyy-MM"))
+
+
 def analyze(
     orders: DataFrame, lines: DataFrame, thresholds: config.Thresholds = config.THRESHOLDS
 ) -> dict[str, DataFrame]:
     """Scenario detail and the four summaries."""
-    return analyze_totals(order_totals(orders, lines), thresholds)
-
-
-def analyze_totals(
-    totals: DataFrame, thresholds: config.Thresholds = config.THRESHOLDS
-) -> dict[str, DataFrame]:
-    """As :func:`analyze`, from orders that carry their totals."""
+    totals = order_totals(orders, lines)
     table = scenarios.scenario_table(totals.sparkSession, thresholds)
-    monthly = totals.withColumn("order_month_label", F.date_format("order_date", "yyyy-MM"))
-    families = {
-        "overall": [],
-        "by_ship_mode": ["ship_mode"],
-        "by_region": ["region"],
-        "by_month": ["order_month_label"],
-    }
+    monthly = _with_month(totals)
     return {
         "scenario_orders": scenarios.expand(totals, table),
-        **{n: summaries.summarize_orders(monthly, table, dims) for n, dims in families.items()},
+        **{n: summaries.summarize_orders(monthly, table, dims) for n, dims in FAMILIES.items()},
     }
 
 
@@ -92,9 +88,9 @@ def run(
 
     def store(name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         files.write_table(df, f"{output}/{name}", partition_by)
-        stored = files.read_table(spark, f"{output}/{name}")
+        stored = files.read_table(spark, f"{output}/{name}", df.schema)
         if delimited:
-            files.write_delimited(stored.select(*df.columns), f"{output}/csv/{name}")
+            files.write_delimited(stored, f"{output}/csv/{name}")
         return stored.select(*df.columns)
 
     source, orders = transform(spark, path, expected_rows, thresholds, holidays)
@@ -103,7 +99,13 @@ def run(
     written["fact_orders"] = store("fact_orders", orders)
     for name, table in star.build(lines).items():
         written[name] = store(name, table)
+    table = scenarios.scenario_table(spark, thresholds)
     totals = store("order_totals", order_totals(written["fact_orders"], lines))
-    for name, table in analyze_totals(totals, thresholds).items():
-        written[name] = store(name, table, ("scenario",) if name == "scenario_orders" else ())
+    detail = scenarios.expand(totals, table)
+    written["scenario_orders"] = store("scenario_orders", detail, ("scenario",))
+    # Orders are read once for all summaries; the cells are few.
+    dims = [d for family in FAMILIES.values() for d in family]
+    folded = materialise(summaries.cells(_with_month(totals), dims), "cells")
+    for name, family in FAMILIES.items():
+        written[name] = store(name, summaries.summarize_cells(folded, table, family))
     return written

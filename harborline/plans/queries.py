@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline import schema, session
+from harborline import config, schema, session
 from harborline.functions.calendar import date_bounds, date_dimension
 from harborline.functions.columns import days_between
 from harborline.operators import (
@@ -20,7 +20,7 @@ from harborline.operators import (
     star,
     summaries,
 )
-from harborline.plans import sql_path
+from harborline.plans import pipeline, sql_path
 from harborline.session import fresh_path, materialise
 from harborline.sources import files
 from harborline.sources import order_tables as source
@@ -137,6 +137,13 @@ def dq_row_checks(t: OrderTables) -> DataFrame:
     return quality.row_checks(t.raw_lines())
 
 
+@query
+def dq_contract_report(t: OrderTables) -> DataFrame:
+    """Violations of the whole contract on the raw lines, stored once."""
+    lines = materialise(t.raw_lines(), "raw-lines")
+    return quality.report(lines, scenarios.days_of(t.scenarios(), "base"))
+
+
 @query
 def dq_null_counts(t: OrderTables) -> DataFrame:
     return quality.null_counts(t.raw_lines())
@@ -428,3 +435,13 @@ def csv_roundtrip(t: OrderTables) -> DataFrame:
     path = fresh_path(t.spark, "source-csv")
     files.write_source(t.canonical_lines(), path)
     return files.read_source(t.spark, path)
+
+
+@query
+def pipeline_by_month(t: OrderTables) -> DataFrame:
+    """From a delimited file through validation, facts, star and scenarios."""
+    path, output = fresh_path(t.spark, "source-csv"), fresh_path(t.spark, "pipeline")
+    files.write_source(t.canonical_lines(), path)
+    holidays = config.federal_holidays(source.CALENDAR_FIRST, source.CALENDAR_LAST)
+    tables = pipeline.run(t.spark, path, output, None, source.THRESHOLDS, holidays)
+    return tables["by_month"]
