@@ -41,9 +41,12 @@ def row_conditions(columns: Sequence[str]) -> dict[str, Column]:
     }
 
 
-def row_checks(df: DataFrame) -> DataFrame:
+def row_checks(df: DataFrame, expected_rows: int | None = None) -> DataFrame:
     """(check_name, violations) of all row-level checks and the row count, one pass."""
-    counts = {"row_count": F.count(F.lit(1))}
+    rows = F.count(F.lit(1))
+    counts = {"row_count": rows}
+    if expected_rows is not None:
+        counts["row_count_difference"] = F.abs(rows - F.lit(expected_rows))
     for name, condition in row_conditions(df.columns).items():
         counts[name] = F.count_if(condition)
     return _as_rows(df.agg(*[c.alias(name) for name, c in counts.items()]), "check_name")
@@ -111,19 +114,15 @@ def report(
     df: DataFrame, modes: DataFrame, expected_rows: int | None = None
 ) -> DataFrame:
     """(check_name, violations) of the whole contract."""
-    parts = [row_checks(df)]
-    if expected_rows is not None:
-        difference = F.abs(F.count(F.lit(1)) - F.lit(expected_rows))
-        parts.append(df.agg(difference.alias("row_count_difference")))
     keyed = {
         "row_id_duplicated": duplicate_keys(df, ["row_id"]),
         "unknown_ship_modes": unknown_values(df, "ship_mode", modes),
         "inconsistent_orders": inconsistent_groups(df, ["order_id"], schema.ORDER_FIELDS),
     }
-    parts += [rows.agg(F.count(F.lit(1)).alias(name)) for name, rows in keyed.items()]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(_as_rows(part, "check_name"))
+    result = row_checks(df, expected_rows)
+    for name, offenders in keyed.items():
+        counted = offenders.agg(F.count(F.lit(1)).alias(name))
+        result = result.unionByName(_as_rows(counted, "check_name"))
     return result
 
 
