@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from harborline import config
 from harborline.functions.calendar import business_calendar, date_bounds
 from harborline.operators import facts, quality, scenarios, star, summaries
-from harborline.session import materialise
+from harborline.session import materialise, size_for
 from harborline.sources import files
 
 
@@ -35,6 +35,7 @@ def transform(
     The text is parsed once into the shared folder: validation, date bounds and
     facts then read typed columns instead of parsing it again.
     """
+    size_for(spark, path)
     lines = materialise(files.read_source(spark, path), "source")
     table = scenarios.scenario_table(spark, thresholds)
     quality.validate(lines, scenarios.days_of(table, "base"), expected_rows)

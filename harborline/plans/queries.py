@@ -34,7 +34,9 @@ def query(build: Callable[[OrderTables], DataFrame]) -> Callable[[OrderTables],
     """Register a query under its function name."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(OrderTables(session.tune(spark), folder))
+        tables = OrderTables(session.tune(spark), folder)
+        session.size_for(spark, tables.path("lineitem"))
+        return build(tables)
 
     QUERIES[build.__name__] = run
     return build

@@ -18,6 +18,16 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Sizing by stored input. Shuffles start with one partition per 128 MB, and
+# adaptive execution merges those that turn out small; the upper limits keep the
+# number of shuffle blocks (scan tasks times partitions) manageable at 100 TB.
+MB = 1 << 20
+PARTITION_BYTES = 128 * MB
+MAX_SHUFFLE_PARTITIONS = 32_768
+MAX_SCAN_TASKS = 100_000
+MAX_SCAN_BYTES = 1024 * MB
+DEFAULT_SPLIT = "134217728b"
+
 _local_folder: str | None = None
 
 
@@ -41,6 +51,38 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shuffle_partitions(stored: int, configured: int) -> int:
+    """First number of shuffle partitions for an input of that many bytes."""
+    return max(configured, min(-(-stored // PARTITION_BYTES), MAX_SHUFFLE_PARTITIONS))
+
+
+def scan_bytes(stored: int) -> int:
+    """Bytes per scan task, larger for inputs that would need very many tasks."""
+    return min(max(stored // MAX_SCAN_TASKS, PARTITION_BYTES), MAX_SCAN_BYTES)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files behind a path or pattern."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(target) or []
+    return sum(system.getContentSummary(status.getPath()).getLength() for status in found)
+
+
+def size_for(spark: SparkSession, path: str) -> None:
+    """Raise partition settings to the stored size of ``path``; never lower them."""
+    stored = stored_bytes(spark, path)
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shuffle_partitions(stored, configured)
+    if partitions > configured:
+        spark.conf.set(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions)
+        )
+    split = "spark.sql.files.maxPartitionBytes"
+    if scan_bytes(stored) > PARTITION_BYTES and spark.conf.get(split) == DEFAULT_SPLIT:
+        spark.conf.set(split, str(scan_bytes(stored)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

@@ -59,8 +59,11 @@ class OrderTables:
         self.spark = spark
         self.folder = folder
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
 
     # -- data held as settings ------------------------------------------------
 

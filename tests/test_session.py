@@ -32,3 +32,36 @@ def test_materialised_rows_are_read_from_files(spark):
     assert stored.schema.simpleString() == "struct<id:bigint,d:decimal(28,4)>"
     assert stored.count() == 5 and stored.inputFiles()
     assert session.fresh_path(spark, "t") != session.fresh_path(spark, "t")
+
+
+def test_partitions_follow_the_stored_size():
+    gb, tb = 1 << 30, 1 << 40
+    assert session.shuffle_partitions(0, 200) == session.shuffle_partitions(gb, 200) == 200
+    assert session.shuffle_partitions(tb, 200) == 8192
+    assert session.shuffle_partitions(100 * tb, 200) == session.MAX_SHUFFLE_PARTITIONS
+    assert session.shuffle_partitions(tb, 50_000) == 50_000
+    assert session.scan_bytes(tb) == session.PARTITION_BYTES
+    assert session.scan_bytes(100 * tb) == session.MAX_SCAN_BYTES
+
+
+def test_sizing_raises_the_settings(spark, tmp_path, monkeypatch):
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    split = "spark.sql.files.maxPartitionBytes"
+    (tmp_path / "f").write_bytes(b"x" * 4000)
+    assert session.stored_bytes(spark, str(tmp_path)) == 4000
+    assert session.stored_bytes(spark, str(tmp_path / "*")) == 4000
+    assert spark.conf.get(split) == session.DEFAULT_SPLIT
+    session.size_for(spark, str(tmp_path))
+    assert spark.conf.get(first, None) is None
+    assert spark.conf.get(split) == session.DEFAULT_SPLIT
+    monkeypatch.setattr(session, "PARTITION_BYTES", 100)
+    monkeypatch.setattr(session, "MAX_SCAN_TASKS", 10)
+    try:
+        session.size_for(spark, str(tmp_path / "f"))
+        assert (spark.conf.get(first), spark.conf.get(split)) == ("40", "400")
+        spark.conf.set(split, "2g")
+        session.size_for(spark, str(tmp_path / "f"))
+        assert spark.conf.get(split) == "2g"
+    finally:
+        spark.conf.unset(first)
+        spark.conf.unset(split)
