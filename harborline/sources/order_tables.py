@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from harborline import config, schema
 from harborline.functions.calendar import business_calendar, with_business_days
 from harborline.operators import facts, scenarios
+from harborline.session import materialise
 
 # Priority -> ship mode; every other priority ships by Standard Class.
 MODES = {"1-URGENT": "Same Day", "2-HIGH": "First Class", "3-MEDIUM": "Second Class"}
@@ -189,10 +190,11 @@ class OrderTables:
     def canonical_lines(self, product: bool = True) -> DataFrame:
         """Accepted lines in the source layout; ``ship_date`` is the order's.
 
-        The order side ends in the customer join, so at volume it reaches the
-        lines through an exchange of its own.
+        The orders are stored first: an aggregate that is already partitioned by
+        order would meet the lines without an exchange of its own, and an
+        oversized order could then not be split.
         """
-        orders = self.orders(place=True)
+        orders = materialise(self.orders(place=True), "orders")
         if not product:
             lines = self.numbered(self.accept(self.items(), orders))
             return lines.select("row_id", "order_id", *schema.ORDER_FIELDS)

@@ -1,12 +1,12 @@
 """One order and one product that hold most lines must not end in one task."""
 
 import pytest
+from compare import connect, differences
 from pyspark.sql import functions as F
 
+from harborline.plans.oracle import ORACLE
 from harborline.plans.queries import QUERIES
 from harborline.sources.order_tables import OrderTables
-from compare import connect, differences
-from harborline.plans.oracle import ORACLE
 
 SETTINGS = {
     # Force the joins a large cluster would pick, and call small partitions skewed.
@@ -61,7 +61,9 @@ def skewed(spark, tmp_path_factory):
         ),
     }
     for name, df in tables.items():
-        df.write.parquet(f"{folder}/{name}.parquet")
+        # One file each for the small tables, which keeps them below a threshold.
+        stored = df if name in ("lineitem", "orders") else df.coalesce(1)
+        stored.write.parquet(f"{folder}/{name}.parquet")
     before = {key: spark.conf.get(key, None) for key in SETTINGS}
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
@@ -89,6 +91,19 @@ def test_hot_order_is_split_in_the_join(spark, skewed, name):
     assert "SortMergeJoin(skew=true)" in plan
 
 
+@pytest.mark.parametrize("name", LINE_JOINS)
+def test_hot_order_is_split_when_small_tables_are_broadcast(spark, skewed, name):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "8KB")
+    try:
+        plan = final_plan(LINE_JOINS[name](OrderTables(spark, skewed)))
+    finally:
+        spark.conf.set(threshold, "-1")
+    final = plan.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin(skew=true)" in final
+    assert "BroadcastHashJoin" in final
+
+
 @pytest.mark.parametrize(
     "name",
     ["order_financials", "summary_by_region", "summary_grouping_sets", "fact_orders",
