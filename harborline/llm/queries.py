@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline import session
-from harborline.llm import decontamination, line_dedup, merkle, mixing
+from harborline.llm import decontamination, line_dedup, merkle, mixing, simhash, substring_dedup
 from harborline.llm.common import documents
 from harborline.llm.sql import ORACLE as ORACLE
 
@@ -45,6 +45,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
@@ -65,6 +71,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(documents(spark, sf_dir), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(documents(spark, sf_dir))
