@@ -8,7 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline import session
-from harborline.llm import decontamination, line_dedup, merkle, mixing, simhash, substring_dedup
+from harborline.llm import (
+    decontamination,
+    language,
+    line_dedup,
+    merkle,
+    mixing,
+    pii,
+    simhash,
+    substring_dedup,
+    toxicity,
+    warc,
+)
 from harborline.llm.common import documents
 from harborline.llm.sql import ORACLE as ORACLE
 
@@ -30,6 +41,11 @@ def sha256(text) -> Column:
     return F.sha2(text, 256)
 
 
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(
@@ -71,13 +87,48 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    records = warc.read_records(warc.write_archives(pages))
+    return records.select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(documents(spark, sf_dir), window=50)
     return kept.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
 
 
+def _joined(spans: str) -> Column:
+    return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, sf_dir))
+    counts = [
+        F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, sha256(_joined("base")).alias("base_sha256"), _joined("spans").alias("spans")
+    )
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", sha256("kept_text").alias("kept_sha256"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))

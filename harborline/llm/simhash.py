@@ -67,7 +67,8 @@ def fingerprint_partition(
     for batch in batches:
         found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))],
+            ["doc_id", "text_hash", "fp"],
         )
 
 
@@ -168,12 +169,18 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """Per document: fp (signed 64 bits), fingerprint in hex and component_id."""
+    """Per document: hash of its text, fp (signed 64 bits), fingerprint in hex, the
+    least fingerprint it reaches (root) and component_id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.xxhash64(text).alias("text_hash"),
+        text.cast("binary").alias("text"),
     )
     prints = materialise(
-        texts.mapInArrow(lambda b: fingerprint_partition(b, shingle), "doc_id bigint, fp bigint"),
+        texts.mapInArrow(
+            lambda b: fingerprint_partition(b, shingle), "doc_id bigint, text_hash bigint, fp bigint"
+        ),
         "simhash",
     )
     distinct = materialise(
@@ -184,21 +191,29 @@ def near_duplicates(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = rooted.join(names, "root").select("fp", "component_id")
+    members = rooted.join(names, "root").select("fp", "root", "component_id")
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(members, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "text_hash", "fp", digits.alias("fingerprint"), "root", "component_id"
     )
 
 
 def one_per_component(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """The documents that stay: of each component the row of its least doc_id, with all
-    columns. Of a component without ids, and of rows that share the least id, those
-    equal to the one with the least hash of its text stay, once."""
-    groups = near_duplicates(docs, shingle, radius).select("doc_id", "component_id").distinct()
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.alias("d").join(
-        keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi"
+    """The documents that stay, with all their columns: of each component the row with
+    the least doc_id (nulls last) and, where rows share it, the least hash of the text.
+    Rows equal in both stay once."""
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    least = near_duplicates(docs, shingle, radius).groupBy("root").agg(F.min(place).alias("least"))
+    keep = least.select(
+        F.coalesce("least.doc_id", F.lit(0)).alias("_id"),
+        F.xxhash64(F.col("least.doc_id").isNull(), "least.text_hash").alias("_hash"),
     )
-    return rows.dropDuplicates(["doc_id"])
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumns({
+        "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)),
+        "_hash": F.xxhash64(F.col("doc_id").isNull(), text_hash),
+    })
+    kept = rows.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.select(*docs.columns)
