@@ -74,23 +74,10 @@ def count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class Model:
-    """Log frequencies per language of words and n-grams."""
+    """Log frequencies per language of words (size 0) and n-grams, a table per size."""
 
-    def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]):
-        self.languages = languages
-        self.tables = tables  # by size; 0 holds the words
-
-    def score(self, word: str) -> np.ndarray:
-        """Log score of one word in each language."""
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        for step, size in enumerate(range(LONGEST, 0, -1), 1):
-            table = self.tables[size]
-            found = [table[piece] for piece in grams(word, size) if piece in table]
-            if found:
-                return np.mean(found, axis=0) + step * np.log(BACKOFF)
-        return np.zeros(len(self.languages))
+    def __init__(self, languages: list[str], names: list[list[str]], logs: list[np.ndarray]):
+        self.languages, self.names, self.logs = languages, names, logs
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE, min_docs: int = MIN_DOCS) -> Model:
@@ -135,13 +122,13 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, min_docs: int = MIN_DOCS) -
     for row, entry in enumerate(counts):
         for lang, n in entry:
             matrix[row, place[lang]] = n
-    tables: list[dict[str, np.ndarray]] = []
+    by_size, logs = [], []
     for size in range(LONGEST + 1):
         rows_of = np.flatnonzero(sizes == size)
         part = matrix[rows_of] + 0.5
-        logs = np.log(part / part.sum(axis=0, keepdims=True)) if len(part) else part
-        tables.append({names[r]: logs[i].astype(np.float32) for i, r in enumerate(rows_of)})
-    return Model(languages, tables)
+        by_size.append([names[row] for row in rows_of])
+        logs.append(np.log(part / part.sum(axis=0, keepdims=True)) if len(part) else part)
+    return Model(languages, by_size, logs)
 
 
 class Scores(dict):
@@ -149,13 +136,26 @@ class Scores(dict):
 
     def __init__(self, model: Model):
         self.model = model
+        self.known = [{name: row for row, name in enumerate(names)} for names in model.names]
         self.rows = np.zeros((1024, len(model.languages)))
 
+    def score(self, word: str) -> np.ndarray:
+        """Log score of one word in each language."""
+        row = self.known[0].get(word)
+        if row is not None:
+            return self.model.logs[0][row]
+        for step, size in enumerate(range(LONGEST, 0, -1), 1):
+            known = self.known[size]
+            found = [known[piece] for piece in grams(word, size) if piece in known]
+            if found:
+                return self.model.logs[size][found].mean(axis=0) + step * np.log(BACKOFF)
+        return np.zeros(len(self.model.languages))
+
     def __missing__(self, word: str) -> int:
         row = len(self)
         if row == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[row] = self.model.score(word)
+        self.rows[row] = self.score(word)
         self[word] = row
         return row
 

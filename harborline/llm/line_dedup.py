@@ -125,3 +125,17 @@ def line_dedup(
         F.array_join("kept", "\n").alias("kept_text"),
         "drop_bitmap",
     )
+
+
+def without_repeated_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
+) -> DataFrame:
+    """All documents with their columns, the text without the dropped lines. Where the
+    table has ``n_chars``, it is the new text's number of code points."""
+    kept = with_kept_lines(docs, drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
+    rows = kept.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
+    return rows.select(*docs.columns)

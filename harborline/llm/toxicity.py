@@ -50,6 +50,7 @@ WORDS = {
 MIN_CONTEXTS = 4
 MIN_RATIO = 20.0
 MIN_G = 20.0
+SPECIFIC = 0.9
 PREFIXES = (4, 5, 6)
 DEFAULT = np.array([-3.0, 2.0, 2.0])
 
@@ -250,7 +251,22 @@ def learned_insults(sample: DataFrame) -> list[str]:
     )
     ratio = (seen / F.lit(float(toxic))) / (other / F.lit(float(clean)))
     found = counted.where(F.col("seen") >= MIN_CONTEXTS).where((g >= MIN_G) & (ratio >= MIN_RATIO))
-    return sorted(r.piece for r in found.select("piece").collect())
+    return stems({r.piece: r.seen for r in found.select("piece", "seen").collect()})
+
+
+def stems(seen: dict[str, int]) -> list[str]:
+    """Leaves out beginnings of which one longer piece is nearly all: of those, the
+    longest says most about a word."""
+    kept = []
+    for piece, count in seen.items():
+        longer = [
+            n
+            for other, n in seen.items()
+            if piece.endswith("-") and other != piece and other.startswith(piece[:-1])
+        ]
+        if max(longer, default=0) < SPECIFIC * count:
+            kept.append(piece)
+    return sorted(kept)
 
 
 def feature_rows(batches: Iterator[pa.RecordBatch], grammar) -> Iterator[pa.RecordBatch]:
