@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import same
 from harborline.operators.keys import dense_key
 from harborline.session import materialise
 
@@ -91,12 +90,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
+    """Texts under two key columns that are never null: the doc_id, and a hash of the
+    text and of whether there is a doc_id. Joins on them share one exchange of texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        F.char_length("text").alias("n_chars"),
-        "text",
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("k1"),
+        F.xxhash64(F.col("doc_id").isNull(), text).alias("k2"),
+        F.col("doc_id").isNull().alias("no_id"),
+        text.alias("text"),
     )
 
 
@@ -105,16 +106,17 @@ def handovers(docs: DataFrame) -> DataFrame:
 
     Only ids, hashes and lengths are sorted; a position joins with its neighbour.
     """
-    ids = texts_of(docs).select("doc_id", "text_hash", "n_chars").distinct()
-    placed = materialise(dense_key(ids, ["doc_id", "text_hash"], "place"), "merkle-places")
+    sized = texts_of(docs).withColumn("n_chars", F.char_length("text"))
+    ids = sized.select("no_id", "k1", "k2", "n_chars").distinct()
+    placed = materialise(dense_key(ids, ["no_id", "k1", "k2"], "place"), "merkle-places")
     last = placed.agg(F.max("place")).first()[0] or 0
     # Descending, the document behind place p is place p - 1; behind 1 comes the last.
     taker = F.when(F.col("place") == last, F.lit(1)).otherwise(F.col("place") + 1)
-    givers = placed.select("doc_id", "text_hash", taker.alias("taker"))
+    givers = placed.select("k1", "k2", taker.alias("taker"))
     takers = placed.select(
         F.col("place").alias("taker"),
-        F.col("doc_id").alias("to_id"),
-        F.col("text_hash").alias("to_hash"),
+        F.col("k1").alias("to_k1"),
+        F.col("k2").alias("to_k2"),
         F.expr("n_chars div 3").cast("int").alias("takes"),
     )
     return givers.join(takers, "taker").drop("taker")
@@ -126,32 +128,28 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     texts = texts_of(docs)
     table = materialise(handovers(docs), "merkle-handovers")
     given = (
-        texts.alias("d")
-        .join(
-            table.alias("h"),
-            same(
-                (F.col("d.doc_id"), F.col("h.doc_id")),
-                (F.col("d.text_hash"), F.col("h.text_hash")),
-            ),
-        )
-        .select("to_id", "to_hash", "takes", "text")
+        texts.join(table, ["k1", "k2"])
+        .select("to_k1", "to_k2", "takes", "text")
         .withColumn("nodes", tree("text"))
         .select(
-            "to_id",
-            "to_hash",
+            F.col("to_k1").alias("k1"),
+            F.col("to_k2").alias("k2"),
             F.expr("left(text, takes)").alias("start_of_next"),
-            leaves("nodes").alias("next_leaves"),
+            # Four bytes a leaf on the way to the neighbour.
+            F.unhex(F.array_join(leaves("nodes"), "")).alias("packed"),
         )
-        .dropDuplicates(["to_id", "to_hash"])
+        .dropDuplicates(["k1", "k2"])
     )
-    both = texts.alias("d").join(
-        given.alias("g"),
-        same((F.col("d.doc_id"), F.col("g.to_id")), (F.col("d.text_hash"), F.col("g.to_hash"))),
+    both = texts.join(given, ["k1", "k2"]).select(
+        F.when(~F.col("no_id"), F.col("k1")).alias("doc_id"),
+        F.char_length("text").alias("n_chars"),
+        "text",
+        "start_of_next",
+        F.regexp_extract_all(F.lower(F.hex("packed")), F.lit(".{8}"), F.lit(0)).alias("next_leaves"),
     )
     kept = "left(text, n_chars - n_chars div 3)"
     return (
-        both.select("doc_id", "n_chars", "text", "start_of_next", "next_leaves")
-        .withColumn("edited", F.expr(f"concat({kept}, start_of_next)"))
+        both.withColumn("edited", F.expr(f"concat({kept}, start_of_next)"))
         .withColumn("nodes", tree("text"))
         .withColumn("edited_nodes", tree("edited"))
         .withColumn("own_leaves", leaves("nodes"))
