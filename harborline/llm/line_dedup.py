@@ -49,25 +49,29 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
-    """Keys of enough documents, with the document that keeps them."""
-    parts = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    """Keys of enough documents and the document that keeps them, once for every salt
+    a key occurs with, so that a common line is shared out when lines meet their keys."""
     order = [F.col("doc_id").desc_nulls_last(), F.col("line").asc()]
-    placed = parts.repartitionByRange("h1", "h2", "salt").sortWithinPartitions(
+    placed = lines.repartitionByRange("h1", "h2", "salt").sortWithinPartitions(
         "h1", "h2", "salt", *order
     )
     stream = W.partitionBy("h1", "h2", "salt").orderBy(*order)
     before = F.lag("doc_id").over(stream)
     first = (F.row_number().over(stream) == 1) | ~before.eqNullSafe(F.col("doc_id"))
     occurrences = placed.select("h1", "h2", "salt", "doc_id", first.alias("is_first"))
-    by_part = occurrences.groupBy("h1", "h2", "salt").agg(
-        F.count_if("is_first").alias("part_docs"), F.max("doc_id").alias("part_keeper")
+    by_part = materialise(
+        occurrences.groupBy("h1", "h2", "salt").agg(
+            F.count_if("is_first").alias("part_docs"), F.max("doc_id").alias("part_keeper")
+        ),
+        "line-parts",
     )
-    return (
+    repeated = (
         by_part.groupBy("h1", "h2")
         .agg(F.sum("part_docs").alias("n_docs"), F.max("part_keeper").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    return by_part.select("h1", "h2", "salt").join(repeated, ["h1", "h2"])
 
 
 def drop_bitmaps(
@@ -78,8 +82,10 @@ def drop_bitmaps(
     A word that is not in the map has no dropped line; a set bit drops its line.
     Documents are named by doc_id and the hash of their text.
     """
-    lines = materialise(line_hashes(docs, min_chars), "line-hashes")
-    dropped = lines.join(repeated_keys(lines, min_docs), ["h1", "h2"]).where(
+    lines = materialise(line_hashes(docs, min_chars), "line-hashes").withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    )
+    dropped = lines.join(repeated_keys(lines, min_docs), ["h1", "h2", "salt"]).where(
         ~F.col("doc_id").eqNullSafe(F.col("keeper"))
     )
     bit = F.expr(f"shiftleft(cast(1 as bigint), cast(line % {WORD} as int))")
