@@ -96,17 +96,23 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("k1"),
         F.xxhash64(F.col("doc_id").isNull(), text).alias("k2"),
-        F.col("doc_id").isNull().alias("no_id"),
         text.alias("text"),
     )
 
 
+def without_id() -> Column:
+    """Whether the keys are of a document without a doc_id."""
+    return F.col("k2") == F.xxhash64(F.lit(True), "text")
+
+
 def handovers(docs: DataFrame) -> DataFrame:
     """For each document, the one it is next to and how many code points that one takes.
 
     Only ids, hashes and lengths are sorted; a position joins with its neighbour.
     """
-    sized = texts_of(docs).withColumn("n_chars", F.char_length("text"))
+    sized = texts_of(docs).select(
+        "k1", "k2", without_id().alias("no_id"), F.char_length("text").alias("n_chars")
+    )
     ids = sized.select("no_id", "k1", "k2", "n_chars").distinct()
     placed = materialise(dense_key(ids, ["no_id", "k1", "k2"], "place"), "merkle-places")
     last = placed.agg(F.max("place")).first()[0] or 0
@@ -141,7 +147,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["k1", "k2"])
     )
     both = texts.join(given, ["k1", "k2"]).select(
-        F.when(~F.col("no_id"), F.col("k1")).alias("doc_id"),
+        F.when(~without_id(), F.col("k1")).alias("doc_id"),
         F.char_length("text").alias("n_chars"),
         "text",
         "start_of_next",
