@@ -58,6 +58,8 @@ THRESHOLDS = Thresholds(BASE_DAYS, CALIBRATED_DAYS)
 
 # Federal holidays by date (month, day) ...
 FIXED_HOLIDAYS = [(1, 1), (7, 4), (11, 11), (12, 25)]
+# ... that came later (first year, month, day) ...
+LATER_HOLIDAYS = [(2021, 6, 19)]
 # ... and by rule (month, ISO weekday, nth; -1 is the last one).
 FLOATING_HOLIDAYS = [(1, 1, 3), (2, 1, 3), (5, 1, -1), (9, 1, 1), (10, 1, 2), (11, 4, 4)]
 
@@ -67,7 +69,8 @@ def federal_holidays(first: dt.date, last: dt.date) -> list[dt.date]:
     days = []
     # The year after ``last`` counts: its 1 January may be observed on 31 December.
     for year in range(first.year, last.year + 2):
-        for month, day in FIXED_HOLIDAYS:
+        later = [(month, day) for since, month, day in LATER_HOLIDAYS if year >= since]
+        for month, day in [*FIXED_HOLIDAYS, *later]:
             date = dt.date(year, month, day)
             # Saturday is observed on Friday, Sunday on Monday.
             days.append(date + dt.timedelta(days={6: -1, 7: 1}.get(date.isoweekday(), 0)))

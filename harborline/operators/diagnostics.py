@@ -35,12 +35,16 @@ def overall_rate(orders: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """Rows in the given value order; a value without a row fails the job."""
-    ranks = inline_table(df.sparkSession, f"_rank, {column}", list(enumerate(values)))
-    found = ranks.join(df.withColumn("_found", F.lit(True)), column, "left")
-    message = F.concat(F.lit(f"No rows for {column}: "), F.col(column))
-    checked = found.withColumn("_rank", F.when(required(F.col("_found"), message), F.col("_rank")))
-    return checked.orderBy("_rank").select(*df.columns)
+    """Rows in the given value order, then those of values not listed, nulls last; a
+    listed value without a row fails the job. The guard is a filter, so no pruning of
+    columns takes it away."""
+    ranks = inline_table(df.sparkSession, "_rank, _value", list(enumerate(values)))
+    rows = df.withColumn("_found", F.lit(True))
+    found = rows.join(ranks, F.col(column).eqNullSafe(F.col("_value")), "full")
+    message = F.concat(F.lit(f"No rows for {column}: "), F.col("_value"))
+    checked = found.where(required(F.col("_found"), message))
+    order = [F.col("_rank").asc_nulls_last(), F.col(column).asc_nulls_last()]
+    return checked.orderBy(*order).select(*df.columns)
 
 
 def region_volume(orders: DataFrame, regions: Sequence[str] = config.REGIONS) -> DataFrame:

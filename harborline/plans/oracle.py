@@ -37,7 +37,8 @@ raw_lines AS (
         CAST(o_orderdate AS DATE) AS order_date,
         CAST(l_shipdate AS DATE) AS line_ship_date,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'Same Day' WHEN '2-HIGH' THEN 'First Class'
-            WHEN '3-MEDIUM' THEN 'Second Class' ELSE 'Standard Class' END AS ship_mode,
+            WHEN '3-MEDIUM' THEN 'Second Class' WHEN '4-NOT SPECIFIED' THEN 'Standard Class'
+            WHEN '5-LOW' THEN 'Standard Class' END AS ship_mode,
         o_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment,
         'ALL' AS country, n_name AS city, n_name AS state,
         lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS postal_code, r_name AS region,
@@ -405,6 +406,13 @@ ORACLE = {
             ((scenario), (scenario, ship_mode), (scenario, region), (scenario, order_month))""",
     "summary_distinct_orders": summary(", ship_mode"),
     "dq_row_checks": f"WITH {RAW} {row_checks()}",
+    "dq_line_accounting": """SELECT CASE WHEN o_orderkey IS NULL THEN 'order missing'
+            WHEN o_orderdate IS NULL THEN 'order date missing'
+            WHEN l_shipdate IS NULL THEN 'ship date missing'
+            WHEN CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) THEN 'shipped before order'
+            ELSE 'accepted' END AS outcome, count(*) AS line_count
+        FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL
+        UNION ALL SELECT 'all lines', count(*) FROM lineitem""",
     "dq_contract_report": f"WITH {RAW} {row_checks()} UNION ALL {keyed_checks()}",
     "dq_null_counts": null_counts(),
     "dq_duplicate_keys": """SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem
@@ -417,7 +425,7 @@ ORACLE = {
         (SELECT DISTINCT order_id, order_date, line_ship_date, ship_mode, customer_id, {PLACE} FROM raw_lines)
         GROUP BY order_id HAVING count(*) > 1""",
     "dq_unknown_modes": """SELECT o_orderpriority AS ship_mode, count(*) AS row_count FROM orders
-        WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY o_orderpriority""",
+        WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY o_orderpriority""",
     "dq_dimension_conflicts": f"""WITH {LINES} SELECT product_id, count(*) AS variants FROM
         (SELECT DISTINCT product_id, product_name, category, sub_category FROM lines)
         GROUP BY product_id HAVING count(*) > 1""",

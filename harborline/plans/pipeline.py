@@ -14,12 +14,22 @@ from harborline.operators import facts, quality, scenarios, star, summaries
 from harborline.session import materialise, size_for
 from harborline.sources import files
 
+NO_DATES = dt.date(1970, 1, 1)
+
 
 def calendar_for(
-    df: DataFrame, holidays: Iterable[dt.date] = tuple(config.HOLIDAYS)
+    df: DataFrame, holidays: Iterable[dt.date] | None = None
 ) -> DataFrame:
-    """Business calendar from the first to the last date of the lines."""
+    """Business calendar from the first to the last date of the lines.
+
+    Holidays follow from these dates unless they are given; lines without any date
+    get a calendar of one day.
+    """
     first, last = date_bounds(df, "order_date", "ship_date").first()
+    if first is None or last is None:
+        first = last = first or last or NO_DATES
+    if holidays is None:
+        holidays = config.federal_holidays(first, last)
     return business_calendar(df.sparkSession, first, last, holidays)
 
 
@@ -28,7 +38,7 @@ def transform(
     path: str,
     expected_rows: int | None = config.EXPECTED_ROWS,
     thresholds: config.Thresholds = config.THRESHOLDS,
-    holidays: Iterable[dt.date] = tuple(config.HOLIDAYS),
+    holidays: Iterable[dt.date] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(order lines, order fact) from a delimited source, after validation.
 
@@ -77,7 +87,7 @@ def run(
     output: str,
     expected_rows: int | None = config.EXPECTED_ROWS,
     thresholds: config.Thresholds = config.THRESHOLDS,
-    holidays: Iterable[dt.date] = tuple(config.HOLIDAYS),
+    holidays: Iterable[dt.date] | None = None,
     delimited: bool = False,
 ) -> dict[str, DataFrame]:
     """Write every table under ``output`` and return the written tables.

@@ -139,6 +139,12 @@ def dq_row_checks(t: OrderTables) -> DataFrame:
     return quality.row_checks(t.raw_lines())
 
 
+@query
+def dq_line_accounting(t: OrderTables) -> DataFrame:
+    """Every line of the source, accepted or left out by cause."""
+    return t.line_accounting()
+
+
 @query
 def dq_contract_report(t: OrderTables) -> DataFrame:
     """Violations of the whole contract on the raw lines, stored once."""
@@ -444,6 +450,5 @@ def pipeline_by_month(t: OrderTables) -> DataFrame:
     """From a delimited file through validation, facts, star and scenarios."""
     path, output = fresh_path(t.spark, "source-csv"), fresh_path(t.spark, "pipeline")
     files.write_source(t.canonical_lines(), path)
-    holidays = config.federal_holidays(source.CALENDAR_FIRST, source.CALENDAR_LAST)
-    tables = pipeline.run(t.spark, path, output, None, source.THRESHOLDS, holidays)
+    tables = pipeline.run(t.spark, path, output, None, source.THRESHOLDS)
     return tables["by_month"]

@@ -22,9 +22,9 @@ from harborline.functions.calendar import business_calendar, with_business_days
 from harborline.operators import facts, scenarios
 from harborline.session import materialise
 
-# Priority -> ship mode; every other priority ships by Standard Class.
+# Priority -> ship mode. Any other priority has no mode: classification then fails.
 MODES = {"1-URGENT": "Same Day", "2-HIGH": "First Class", "3-MEDIUM": "Second Class"}
-OTHER_MODE = "Standard Class"
+STANDARD = {"4-NOT SPECIFIED": "Standard Class", "5-LOW": "Standard Class"}
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 # Lags run to years here, so the limits are wider than in the source data.
@@ -33,8 +33,8 @@ THRESHOLDS = config.Thresholds(
     calibrated={"Same Day": 0, "First Class": 600, "Second Class": 700, "Standard Class": 800},
     step=100,
 )
-CALENDAR_FIRST = dt.date(1990, 1, 1)
-CALENDAR_LAST = dt.date(2010, 12, 31)
+# The calendar of tables without any date.
+NO_DATES = dt.date(1990, 1, 1)
 
 MIN_SUBCATEGORY_ORDERS = 1100
 MIN_STATE_ORDERS = 450
@@ -59,6 +59,7 @@ class OrderTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._bounds: tuple[dt.date, dt.date] | None = None
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -69,8 +70,19 @@ class OrderTables:
     # -- data held as settings ------------------------------------------------
 
     def calendar(self) -> DataFrame:
-        holidays = config.federal_holidays(CALENDAR_FIRST, CALENDAR_LAST)
-        return business_calendar(self.spark, CALENDAR_FIRST, CALENDAR_LAST, holidays)
+        first, last = self.bounds()
+        return business_calendar(self.spark, first, last, config.federal_holidays(first, last))
+
+    def bounds(self) -> tuple[dt.date, dt.date]:
+        """First and last date of orders and lines, read once per object."""
+        if self._bounds is None:
+            found = []
+            for name, column in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
+                date = F.col(column).cast("date")
+                found += self.table(name).agg(F.min(date), F.max(date)).first()
+            dates = [date for date in found if date is not None] or [NO_DATES]
+            self._bounds = min(dates), max(dates)
+        return self._bounds
 
     def scenarios(self, *names: str) -> DataFrame:
         table = scenarios.scenario_table(self.spark, THRESHOLDS)
@@ -79,8 +91,8 @@ class OrderTables:
     # -- building blocks ------------------------------------------------------
 
     def _headers(self) -> DataFrame:
-        mode = F.lit(OTHER_MODE)
-        for priority, name in MODES.items():
+        mode = F.lit(None).cast("string")
+        for priority, name in {**MODES, **STANDARD}.items():
             mode = F.when(F.col("o_orderpriority") == priority, name).otherwise(mode)
         return self.table("orders").select(
             F.col("o_orderkey").alias("order_id"),
@@ -171,6 +183,22 @@ class OrderTables:
         """Lines of the given orders that do not ship before the order date."""
         return lines.join(orders, "order_id").where("line_ship_date >= order_date")
 
+    def line_accounting(self) -> DataFrame:
+        """How many lines are accepted or left out, by the first cause that holds."""
+        lines = self.items().join(
+            self._headers().withColumn("ordered", F.lit(True)), "order_id", "left"
+        )
+        outcome = (
+            F.when(F.col("ordered").isNull(), "order missing")
+            .when(F.col("order_date").isNull(), "order date missing")
+            .when(F.col("line_ship_date").isNull(), "ship date missing")
+            .when(F.col("line_ship_date") < F.col("order_date"), "shipped before order")
+            .otherwise("accepted")
+        )
+        counted = lines.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("line_count"))
+        total = self.table("lineitem").agg(F.count(F.lit(1)).alias("line_count"))
+        return counted.unionByName(total.select(F.lit("all lines").alias("outcome"), "line_count"))
+
     def raw_lines(self, product: bool = True) -> DataFrame:
         """Every line with its own ship date, unchecked, in the source layout."""
         lines = self.described() if product else self.items()
