@@ -36,6 +36,8 @@ DATE = "2000-01-01T00:00:00Z"
 # Records with at most GAP unread bytes between them share a read of READ bytes.
 READ = 4 << 20
 GAP = 64 << 10
+# Reads per task, on average.
+READS = 4
 
 INDEX = pa.schema([
     ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
@@ -233,11 +235,13 @@ def read_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def read_records(index: DataFrame) -> DataFrame:
     """The records of the selected index rows. Blocks of the archives are shared out,
-    so that one large archive is read by many tasks."""
+    so that one large archive is read by many tasks. Their number follows the bytes to
+    read; by the size of the index alone, Spark would merge them into a few."""
     block = F.expr(f"offset div {READ}")
+    size = index.agg(F.sum("length")).first()[0] or 0
     placed = (
         index.select("file", "offset", "length")
-        .repartition("file", block)
+        .repartition(max(1, -(-size // (READS * READ))), "file", block)
         .sortWithinPartitions("file", "offset")
     )
     return placed.mapInArrow(read_partition, RECORD_DDL)
