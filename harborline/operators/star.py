@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,12 +80,17 @@ def build_fact(lines: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return fact_columns(with_keys(with_dates(lines, tables["dim_date"]), tables, *DIMENSIONS))
 
 
-def build(lines: DataFrame) -> dict[str, DataFrame]:
+def build(
+    lines: DataFrame, store: Callable[[str, DataFrame], DataFrame] | None = None
+) -> dict[str, DataFrame]:
     """Five dimensions and the fact.
 
-    ``lines`` is read once per table, so pass a stored table.
+    ``lines`` is read once per table, so pass a stored table. ``store`` writes a
+    table and returns the written one; the fact then reads the stored dimensions.
     """
-    tables = {"dim_date": build_dates(lines)}
+    store = store or (lambda name, table: table)
+    tables = {"dim_date": store("dim_date", build_dates(lines))}
     for name in DIMENSIONS:
-        tables[name] = build_dimension(lines, name)
-    return {**tables, "fact_order_lines_star": build_fact(lines, tables)}
+        tables[name] = store(name, build_dimension(lines, name))
+    fact = store("fact_order_lines_star", build_fact(lines, tables))
+    return {**tables, "fact_order_lines_star": fact}

@@ -216,10 +216,12 @@ def matching() -> str:
     return f"coalesce({' AND '.join(exact + money + rate)}, false)"
 
 
-def both_ways(keys: str, change: str = "SELECT *", where: str = "") -> str:
+def both_ways(
+    keys: str, change: str = "SELECT *", where: str = "", other: str = "detail"
+) -> str:
     """CASE sums (a) joined in full with FILTER aggregates (b)."""
     return f"""(SELECT {keys}, {CASE_MEASURES} FROM detail GROUP BY {keys}) a
-        FULL JOIN ({change} FROM (SELECT {keys}, {MEASURES} FROM detail GROUP BY {keys}) {where}) b
+        FULL JOIN ({change} FROM (SELECT {keys}, {MEASURES} FROM {other} GROUP BY {keys}) {where}) b
         USING ({keys})"""
 
 
@@ -253,6 +255,20 @@ def reconciliation(perturbed: bool) -> str:
     return f"WITH {DETAIL}" + " UNION ALL ".join(parts)
 
 
+def duplicated_line() -> str:
+    """One order of the other side holds the line with the least id twice."""
+    extra = "coalesce((SELECT {0} FROM lines WHERE row_id = (SELECT min(row_id) FROM lines) AND order_id = d.order_id), 0)"
+    changed = ", ".join(
+        f"CAST(d.order_{m} + {extra.format(m)} AS DECIMAL(28, 4)) AS order_{m}" for m in ("sales", "profit")
+    )
+    parts = [f"""
+        SELECT '{name}' AS output, count(*) AS compared,
+            count(*) FILTER (WHERE NOT {matching()}) AS failures
+        FROM {both_ways(keys, other="doubled")}""" for name, keys in FAMILY_KEYS.items()]
+    doubled = f"doubled AS (SELECT d.* REPLACE ({changed}) FROM detail d)"
+    return f"WITH {DETAIL}, {doubled}" + " UNION ALL ".join(parts)
+
+
 def checks(tests: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f" SELECT '{name}' AS check_name, count(*) FILTER (WHERE {test}) AS violations FROM raw_lines"
@@ -327,16 +343,17 @@ groups AS (
     FROM cal GROUP BY ALL
 )"""
 
-GRAIN = f"""WITH {DETAIL},
+def grain(lines: str = "lines") -> str:
+    return f"""WITH {DETAIL}, kept AS (SELECT * FROM {lines}),
 c(check_name, left_count, right_count) AS (
-    SELECT 'orders_in_both_facts', (SELECT count(DISTINCT order_id) FROM lines),
+    SELECT 'orders_in_both_facts', (SELECT count(DISTINCT order_id) FROM kept),
         (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
             WHERE l_shipdate >= o_orderdate)
     UNION ALL SELECT 'order_id_unique', count(*), count(DISTINCT order_id) FROM order_rows
-    UNION ALL SELECT 'financials_per_order', (SELECT count(*) FROM grouped),
-        (SELECT count(DISTINCT order_id) FROM lines)
+    UNION ALL SELECT 'financials_per_order', (SELECT count(DISTINCT order_id) FROM kept),
+        (SELECT count(*) FROM order_rows)
     UNION ALL SELECT 'orders_without_financials',
-        count(*) FILTER (WHERE order_sales IS NULL OR order_profit IS NULL), 0 FROM order_rows
+        count(*) FILTER (WHERE order_id NOT IN (SELECT order_id FROM kept)), 0 FROM order_rows
     UNION ALL SELECT 'null_order_fields', count(*) FILTER (WHERE order_id IS NULL OR order_date IS NULL
         OR ship_date IS NULL OR ship_mode IS NULL OR customer_id IS NULL
         OR business_days_to_ship IS NULL), 0 FROM order_rows
@@ -364,6 +381,28 @@ SELECT row_id, order_id,
 FROM lines JOIN customers USING (customer_id) JOIN locations USING ({PLACE})
 JOIN products USING (product_id, product_name, category, sub_category) JOIN modes USING (ship_mode)"""
 
+# Ids read from text sort as text.
+TEXT_STAR = STAR.replace(
+    "SELECT DISTINCT customer_id", "SELECT DISTINCT CAST(customer_id AS VARCHAR) AS customer_id"
+).replace("SELECT row_id, order_id,", "SELECT row_id, CAST(lines.order_id AS VARCHAR) AS order_id,").replace(
+    "JOIN customers USING (customer_id)",
+    "JOIN customers c ON c.customer_id = CAST(lines.customer_id AS VARCHAR)",
+)
+
+
+def read_nulls() -> str:
+    """Nulls per column where three columns hold texts that read as null."""
+    planted = {
+        "city": "region = 'ASIA'",
+        "segment": "quantity < 10",
+        "category": "NOT (region = 'ASIA' AND quantity < 10)",
+    }
+    return f"WITH {LINES}" + " UNION ALL ".join(
+        f" SELECT '{c}' AS column_name, count(*) FILTER (WHERE {planted.get(c, f'{c} IS NULL')}) AS violations FROM lines"
+        for c in (name.strip() for name in CANONICAL.split(","))
+    )
+
+
 ORACLE = {
     "canonical_lines": f"WITH {LINES} SELECT {CANONICAL} FROM lines",
     "business_days": f"""WITH {ORDERS} SELECT order_id, order_date, ship_date,
@@ -414,6 +453,10 @@ ORACLE = {
         FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL
         UNION ALL SELECT 'all lines', count(*) FROM lineitem""",
     "dq_contract_report": f"WITH {RAW} {row_checks()} UNION ALL {keyed_checks()}",
+    "dq_expected_rows": f"""WITH {RAW} {row_checks()}
+        UNION ALL SELECT 'row_count_difference', abs(count(*) - 9994) FROM raw_lines""",
+    "dq_order_fact_variants": f"""WITH {LINES} SELECT order_id, count(DISTINCT line_ship_date) AS variants
+        FROM lines GROUP BY order_id HAVING count(DISTINCT line_ship_date) > 1""",
     "dq_null_counts": null_counts(),
     "dq_duplicate_keys": """SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem
         GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
@@ -429,7 +472,8 @@ ORACLE = {
     "dq_dimension_conflicts": f"""WITH {LINES} SELECT product_id, count(*) AS variants FROM
         (SELECT DISTINCT product_id, product_name, category, sub_category FROM lines)
         GROUP BY product_id HAVING count(*) > 1""",
-    "dq_grain_reconciliation": GRAIN,
+    "dq_grain_reconciliation": grain(),
+    "dq_grain_missing_lines": grain("lines WHERE ship_mode <> 'Same Day'"),
     "dim_date": f"""WITH {LINES},
         b AS (SELECT min(least(order_date, ship_date)) AS lo, max(greatest(order_date, ship_date)) AS hi FROM lines),
         days AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b)
@@ -472,6 +516,7 @@ ORACLE = {
     "reconcile_clean": reconciliation(perturbed=False),
     "reconcile_exported": reconciliation(perturbed=False),
     "reconcile_perturbed": reconciliation(perturbed=True),
+    "reconcile_duplicated_line": duplicated_line(),
     "reconcile_overall": f"""WITH {DETAIL}
         SELECT scenario, {matching()} AS matches,
             a.late_orders AS left_late_orders, b.late_orders AS right_late_orders,
@@ -480,6 +525,12 @@ ORACLE = {
     "pipeline_by_month": f"""WITH {DETAIL}
         SELECT scenario, strftime(order_month, '%Y-%m') AS order_month_label, {MEASURES}
         FROM detail GROUP BY scenario, order_month_label""",
+    "pipeline_star_fact": TEXT_STAR,
+    "pipeline_analyze_by_region": summary(", region"),
     "csv_roundtrip": f"""WITH {LINES} SELECT * REPLACE (CAST(order_id AS VARCHAR) AS order_id,
         CAST(customer_id AS VARCHAR) AS customer_id) FROM (SELECT {CANONICAL} FROM lines)""",
+    "csv_null_tokens": read_nulls(),
 }
+ORACLE["load_fact_orders"] = ORACLE["fact_orders"]
+ORACLE["load_order_lines"] = ORACLE["canonical_lines"]
+ORACLE["stored_scenario"] = ORACLE["scenario_orders"] + " WHERE d.scenario = 'strict'"

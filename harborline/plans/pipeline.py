@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from harborline import config
 from harborline.functions.calendar import business_calendar, date_bounds
 from harborline.operators import facts, quality, scenarios, star, summaries
-from harborline.session import materialise, size_for
+from harborline.session import materialise, size_for, temporary
 from harborline.sources import files
 
 NO_DATES = dt.date(1970, 1, 1)
@@ -47,11 +47,20 @@ def transform(
     """
     size_for(spark, path)
     lines = materialise(files.read_source(spark, path), "source")
-    table = scenarios.scenario_table(spark, thresholds)
+    return lines, _validated_orders(lines, expected_rows, thresholds, holidays)
+
+
+def _validated_orders(
+    lines: DataFrame,
+    expected_rows: int | None,
+    thresholds: config.Thresholds,
+    holidays: Iterable[dt.date] | None,
+) -> DataFrame:
+    """The order fact of stored lines that keep the contract."""
+    table = scenarios.scenario_table(lines.sparkSession, thresholds)
     quality.validate(lines, scenarios.days_of(table, "base"), expected_rows)
     # Consistency per order has just been validated.
-    orders = facts.build_orders(lines, calendar_for(lines, holidays), table, check=False)
-    return lines, orders
+    return facts.build_orders(lines, calendar_for(lines, holidays), table, check=False)
 
 
 def order_totals(orders: DataFrame, lines: DataFrame) -> DataFrame:
@@ -93,30 +102,38 @@ def run(
     """Write every table under ``output`` and return the written tables.
 
     Each stage reads what the stage before it wrote, so nothing is computed
-    twice and a lost executor costs at most one stage. ``delimited`` also
-    exports every table as text under ``output/csv``.
+    twice and a lost executor costs at most one stage. The parsed lines are written
+    once, at their final place, and removed again if they break the contract; no
+    intermediate table is left. ``delimited`` also exports every table as text under
+    ``output/csv``.
     """
 
     def store(name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         files.write_table(df, f"{output}/{name}", partition_by)
         stored = files.read_table(spark, f"{output}/{name}", df.schema)
-        if delimited:
-            files.write_delimited(stored, f"{output}/csv/{name}")
         return stored.select(*df.columns)
 
-    source, orders = transform(spark, path, expected_rows, thresholds, holidays)
-    written = {"fact_order_lines": store("fact_order_lines", source)}
-    lines = written["fact_order_lines"]
-    written["fact_orders"] = store("fact_orders", orders)
-    for name, table in star.build(lines).items():
-        written[name] = store(name, table)
-    table = scenarios.scenario_table(spark, thresholds)
-    totals = store("order_totals", order_totals(written["fact_orders"], lines))
-    detail = scenarios.expand(totals, table)
-    written["scenario_orders"] = store("scenario_orders", detail, ("scenario",))
-    # Orders are read once for all summaries; the cells are few.
-    dims = [d for family in FAMILIES.values() for d in family]
-    folded = materialise(summaries.cells(_with_month(totals), dims), "cells")
-    for name, family in FAMILIES.items():
-        written[name] = store(name, summaries.summarize_cells(folded, table, family))
+    size_for(spark, path)
+    with temporary(spark):
+        lines = store("fact_order_lines", files.read_source(spark, path))
+        try:
+            orders = _validated_orders(lines, expected_rows, thresholds, holidays)
+        except quality.QualityError:
+            files.remove(spark, f"{output}/fact_order_lines")
+            raise
+        written = {"fact_order_lines": lines, "fact_orders": store("fact_orders", orders)}
+        for name, table in star.build(lines, store).items():
+            written[name] = table
+        table = scenarios.scenario_table(spark, thresholds)
+        totals = materialise(order_totals(written["fact_orders"], lines), "order-totals")
+        detail = scenarios.expand(totals, table)
+        written["scenario_orders"] = store("scenario_orders", detail, ("scenario",))
+        # Orders are read once for all summaries; the cells are few.
+        dims = [d for family in FAMILIES.values() for d in family]
+        folded = materialise(summaries.cells(_with_month(totals), dims), "cells")
+        for name, family in FAMILIES.items():
+            written[name] = store(name, summaries.summarize_cells(folded, table, family))
+        if delimited:
+            for name, stored in written.items():
+                files.write_delimited(stored, f"{output}/csv/{name}")
     return written

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +61,9 @@ def business_days(t: OrderTables) -> DataFrame:
 
 @query
 def fact_orders(t: OrderTables) -> DataFrame:
-    # Order fields come from one header row, so they cannot disagree.
-    lines = t.canonical_lines(product=False)
-    return facts.build_orders(lines, t.calendar(), t.scenarios(), check=False)
+    """Orders come from their one header row, so no line has to be folded again."""
+    orders = facts.with_sla(t.orders(place=True), t.calendar(), t.scenarios())
+    return orders.select(*schema.FACT_ORDERS)
 
 
 @query
@@ -180,6 +180,20 @@ def dq_inconsistent_orders(t: OrderTables) -> DataFrame:
     )
 
 
+@query
+def dq_order_fact_variants(t: OrderTables) -> DataFrame:
+    """Orders whose lines give more than one order fact, over all fourteen fields."""
+    lines = t.with_place(t.shipped_lines()).withColumnRenamed("line_ship_date", "ship_date")
+    rated = facts.with_sla(lines.select("order_id", *schema.ORDER_FIELDS), t.calendar(), t.scenarios())
+    return quality.inconsistent_groups(rated, ["order_id"], schema.FACT_ORDERS[1:])
+
+
+@query
+def dq_expected_rows(t: OrderTables) -> DataFrame:
+    """The row checks with the number of rows the contract expects."""
+    return quality.row_checks(t.raw_lines(), config.EXPECTED_ROWS)
+
+
 @query
 def dq_unknown_modes(t: OrderTables) -> DataFrame:
     known = t.scenarios("base").select("ship_mode")
@@ -195,14 +209,24 @@ def dq_unknown_modes(t: OrderTables) -> DataFrame:
 @query
 def dq_dimension_conflicts(t: OrderTables) -> DataFrame:
     described = ["product_name", "category", "sub_category"]
-    return quality.inconsistent_groups(t.accepted_lines(), ["product_id"], described)
+    return quality.inconsistent_groups(t.sold_products(), ["product_id"], described)
 
 
 @query
 def dq_grain_reconciliation(t: OrderTables) -> DataFrame:
     """Counts that must agree between tables built in different ways."""
+    return _grain_counts(t, t.accepted_lines())
+
+
+@query
+def dq_grain_missing_lines(t: OrderTables) -> DataFrame:
+    """The same counts when the lines of one ship mode are missing, which must show."""
+    return _grain_counts(t, t.accepted_lines().where("ship_mode <> 'Same Day'"))
+
+
+def _grain_counts(t: OrderTables, accepted: DataFrame) -> DataFrame:
     one = F.count(F.lit(1))
-    lines = materialise(t.accepted_lines().select("order_id", "sales", "profit"), "lines")
+    lines = materialise(accepted.select("order_id", "sales", "profit"), "lines")
     orders = materialise(t.counted(t.orders()), "orders")
     totals = materialise(facts.order_financials(lines), "financials")
     detail = scenarios.classify(orders, t.scenarios()).select("scenario", "order_id")
@@ -255,7 +279,7 @@ def dim_location(t: OrderTables) -> DataFrame:
 
 @query
 def dim_product(t: OrderTables) -> DataFrame:
-    return star.build_dimension(t.accepted_lines(), "dim_product")
+    return star.build_dimension(t.sold_products(), "dim_product")
 
 
 @query
@@ -273,7 +297,7 @@ def fact_order_lines_star(t: OrderTables) -> DataFrame:
     of_orders = ["dim_customer", "dim_location", "dim_ship_mode"]
     orders = materialise(t.orders(place=True), "orders")
     tables = {name: star.build_dimension(orders, name) for name in of_orders}
-    tables["dim_product"] = star.build_dimension(t.accepted_lines(), "dim_product")
+    tables["dim_product"] = star.build_dimension(t.sold_products(), "dim_product")
     keyed = star.with_dates(orders, star.build_dates(orders))
     keyed = star.with_keys(keyed, tables, *of_orders).select(
         "order_id", "order_date", *[k for k in schema.STAR_KEYS if k != "product_key"]
@@ -303,18 +327,18 @@ def mode_year_trend(t: OrderTables) -> DataFrame:
 
 @query
 def subcategory_hotspots(t: OrderTables) -> DataFrame:
-    return diagnostics.hotspots(t.accepted_lines(), t.calibrated(t.orders(place=True)))
+    return diagnostics.hotspots(t.sold(), t.calibrated(t.orders(place=True)))
 
 
 @query
 def category_rates(t: OrderTables) -> DataFrame:
-    return diagnostics.member_rates(t.accepted_lines(), t.calibrated(t.orders()), "category")
+    return diagnostics.member_rates(t.sold(), t.calibrated(t.orders()), "category")
 
 
 @query
 def subcategory_rates(t: OrderTables) -> DataFrame:
     return diagnostics.member_rates(
-        t.accepted_lines(), t.calibrated(t.orders()), "sub_category",
+        t.sold(), t.calibrated(t.orders()), "sub_category",
         source.MIN_SUBCATEGORY_ORDERS,
     )
 
@@ -373,14 +397,27 @@ def within_region_correlation(t: OrderTables) -> DataFrame:
 # -- reconciliation -----------------------------------------------------------------
 
 
-def _two_paths(t: OrderTables) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """The four summaries from DataFrame calls and from plain SQL."""
-    orders = materialise(_with_month(t, t.order_facts(place=True)), "orders")
-    calls = {
-        name: summaries.summarize_orders(orders, t.scenarios(), dims)
-        for name, dims in summaries.FAMILIES.items()
+def _from_calls(t: OrderTables) -> dict[str, DataFrame]:
+    """The four summaries from DataFrame calls; the orders are read once."""
+    dims = [d for family in summaries.FAMILIES.values() for d in family]
+    orders = _with_month(t, t.order_facts(place=True))
+    folded = materialise(summaries.cells(orders, dims), "cells")
+    return {
+        name: summaries.summarize_cells(folded, t.scenarios(), family)
+        for name, family in summaries.FAMILIES.items()
     }
-    return calls, sql_path.summaries(orders, t.scenarios())
+
+
+def _from_sql(
+    t: OrderTables, lines: DataFrame | None = None, names: Iterable[str] = tuple(summaries.FAMILIES)
+) -> dict[str, DataFrame]:
+    """The same summaries from order lines, by SQL alone."""
+    lines = lines if lines is not None else t.canonical_lines()
+    return sql_path.summaries(lines, t.scenarios(), t.holidays(), names)
+
+
+def _two_paths(t: OrderTables) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    return _from_calls(t), _from_sql(t)
 
 
 def _compare(name: str, left: DataFrame, right: DataFrame, **options) -> DataFrame:
@@ -427,11 +464,20 @@ def reconcile_perturbed(t: OrderTables) -> DataFrame:
     return reconcile.failures({n: _compare(n, calls[n], plain[n]) for n in calls})
 
 
+@query
+def reconcile_duplicated_line(t: OrderTables) -> DataFrame:
+    """The SQL side counts one line twice, which every family must report."""
+    lines = materialise(t.canonical_lines().select("row_id", *sql_path.COLUMNS), "lines")
+    first = lines.agg(F.min("row_id").alias("row_id"))
+    twice = lines.unionByName(lines.join(F.broadcast(first), "row_id"))
+    calls, plain = _from_calls(t), _from_sql(t, twice)
+    return reconcile.failures({n: _compare(n, calls[n], plain[n]) for n in calls})
+
+
 @query
 def reconcile_overall(t: OrderTables) -> DataFrame:
-    orders = t.counted(t.order_facts())
-    calls = summaries.summarize_orders(orders, t.scenarios())
-    plain = sql_path.summaries(orders, t.scenarios(), ["overall"])["overall"]
+    calls = summaries.summarize_orders(t.counted(t.order_facts()), t.scenarios())
+    plain = _from_sql(t, names=["overall"])["overall"]
     return _compare("overall", calls, plain, show=["late_orders", "late_order_rate"])
 
 
@@ -445,10 +491,75 @@ def csv_roundtrip(t: OrderTables) -> DataFrame:
     return files.read_source(t.spark, path)
 
 
+@query
+def csv_null_tokens(t: OrderTables) -> DataFrame:
+    """Nulls per column after texts that read as null were written into three columns."""
+    asia, low = F.col("region") == "ASIA", F.col("quantity") < 10
+    planted = t.canonical_lines().withColumns(
+        {
+            "city": F.when(asia, "NA").otherwise(F.col("city")),
+            "segment": F.when(low, "n/a").otherwise(F.col("segment")),
+            "category": F.when(asia & low, "Na").otherwise("None"),
+        }
+    )
+    path = fresh_path(t.spark, "source-csv")
+    files.write_source(planted, path)
+    return quality.null_counts(files.read_source(t.spark, path))
+
+
+@query
+def load_fact_orders(t: OrderTables) -> DataFrame:
+    """The order fact written as text and loaded with its types."""
+    return _reloaded(t, "fact-orders", fact_orders(t))
+
+
+@query
+def load_order_lines(t: OrderTables) -> DataFrame:
+    """The line fact written as text and loaded with its types."""
+    return _reloaded(t, "order-lines", t.canonical_lines())
+
+
+def _reloaded(t: OrderTables, name: str, table: DataFrame) -> DataFrame:
+    path = fresh_path(t.spark, name)
+    files.write_delimited(table, path)
+    return files.read_delimited_table(t.spark, path, table.schema)
+
+
+@query
+def stored_scenario(t: OrderTables) -> DataFrame:
+    """One scenario read back from the stored detail, which reads one folder."""
+    path = fresh_path(t.spark, "scenario-orders")
+    detail = scenario_orders(t)
+    files.write_table(detail, path, ("scenario",))
+    stored = files.read_table(t.spark, path, detail.schema)
+    return stored.where("scenario = 'strict'").select(*detail.columns)
+
+
+def _source_file(t: OrderTables) -> str:
+    path = fresh_path(t.spark, "source-csv")
+    files.write_source(t.canonical_lines(), path)
+    return path
+
+
+def _pipeline(t: OrderTables) -> dict[str, DataFrame]:
+    output = fresh_path(t.spark, "pipeline")
+    return pipeline.run(t.spark, _source_file(t), output, None, source.THRESHOLDS)
+
+
 @query
 def pipeline_by_month(t: OrderTables) -> DataFrame:
     """From a delimited file through validation, facts, star and scenarios."""
-    path, output = fresh_path(t.spark, "source-csv"), fresh_path(t.spark, "pipeline")
-    files.write_source(t.canonical_lines(), path)
-    tables = pipeline.run(t.spark, path, output, None, source.THRESHOLDS)
-    return tables["by_month"]
+    return _pipeline(t)["by_month"]
+
+
+@query
+def pipeline_star_fact(t: OrderTables) -> DataFrame:
+    """The line fact with surrogate keys that the same run wrote."""
+    return _pipeline(t)["fact_order_lines_star"]
+
+
+@query
+def pipeline_analyze_by_region(t: OrderTables) -> DataFrame:
+    """A summary from the public transform and analyze calls."""
+    lines, orders = pipeline.transform(t.spark, _source_file(t), None, source.THRESHOLDS)
+    return pipeline.analyze(orders, lines, source.THRESHOLDS)["by_region"]

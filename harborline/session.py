@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,9 @@ SETTINGS = {
 }
 
 # Sizing by stored input. Shuffles start with one partition per 128 MB, and
-# adaptive execution merges those that turn out small; the upper limits keep the
-# number of shuffle blocks (scan tasks times partitions) manageable at 100 TB.
+# adaptive execution merges those that turn out small; the upper limits, parameters
+# of size_for, keep the number of shuffle blocks (scan tasks times partitions)
+# manageable at 100 TB.
 MB = 1 << 20
 PARTITION_BYTES = 128 * MB
 MAX_SHUFFLE_PARTITIONS = 32_768
@@ -28,7 +31,12 @@ MAX_SCAN_TASKS = 100_000
 MAX_SCAN_BYTES = 1024 * MB
 DEFAULT_SPLIT = "134217728b"
 
+FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SPLIT = "spark.sql.files.maxPartitionBytes"
+
 _local_folder: str | None = None
+# Paths handed out since the innermost temporary() began.
+_handed_out: list[list[str]] = []
 
 
 def build(app: str = "harborline", cores: int | str = "*") -> SparkSession:
@@ -51,9 +59,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shuffle_partitions(stored: int, configured: int) -> int:
+def shuffle_partitions(
+    stored: int, configured: int, most: int | None = None
+) -> int:
     """First number of shuffle partitions for an input of that many bytes."""
-    return max(configured, min(-(-stored // PARTITION_BYTES), MAX_SHUFFLE_PARTITIONS))
+    return max(configured, min(-(-stored // PARTITION_BYTES), most or MAX_SHUFFLE_PARTITIONS))
 
 
 def scan_bytes(stored: int) -> int:
@@ -69,18 +79,30 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return sum(system.getContentSummary(status.getPath()).getLength() for status in found)
 
 
-def size_for(spark: SparkSession, path: str) -> None:
-    """Raise partition settings to the stored size of ``path``; never lower them."""
+def size_for(spark: SparkSession, path: str, most: int | None = None) -> None:
+    """Set the partition settings to the stored size of ``path``.
+
+    Settings of the session's owner are never lowered. What an earlier call raised
+    for another input is taken back first, so each input gets its own sizes. ``most``
+    replaces the upper limit of shuffle partitions.
+    """
     stored = stored_bytes(spark, path)
+    for key, default in ((FIRST_PARTITIONS, None), (SPLIT, DEFAULT_SPLIT)):
+        raised = spark.conf.get(f"harborline.raised.{key}", None)
+        if raised is not None and spark.conf.get(key, default) == raised:
+            spark.conf.unset(key)
+        spark.conf.unset(f"harborline.raised.{key}")
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = shuffle_partitions(stored, configured)
-    if partitions > configured:
-        spark.conf.set(
-            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions)
-        )
-    split = "spark.sql.files.maxPartitionBytes"
-    if scan_bytes(stored) > PARTITION_BYTES and spark.conf.get(split) == DEFAULT_SPLIT:
-        spark.conf.set(split, str(scan_bytes(stored)))
+    partitions = shuffle_partitions(stored, configured, most)
+    if partitions > configured and spark.conf.get(FIRST_PARTITIONS, None) is None:
+        _raise(spark, FIRST_PARTITIONS, str(partitions))
+    if scan_bytes(stored) > PARTITION_BYTES and spark.conf.get(SPLIT) == DEFAULT_SPLIT:
+        _raise(spark, SPLIT, str(scan_bytes(stored)))
+
+
+def _raise(spark: SparkSession, key: str, value: str) -> None:
+    spark.conf.set(key, value)
+    spark.conf.set(f"harborline.raised.{key}", value)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -102,7 +124,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _handed_out[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end, also after a failure.
+
+    For work that writes its results elsewhere: nothing returned from inside may
+    still read an intermediate table.
+    """
+    _handed_out.append([])
+    try:
+        yield
+    finally:
+        for path in _handed_out.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -103,6 +103,12 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     writer.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table this package wrote."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_delimited(df: DataFrame, path: str) -> None:
     """UTF-8 text with a header and ISO dates."""
     df.write.mode("overwrite").csv(path, header=True, dateFormat="yyyy-MM-dd", escape='"')

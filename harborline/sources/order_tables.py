@@ -71,7 +71,10 @@ class OrderTables:
 
     def calendar(self) -> DataFrame:
         first, last = self.bounds()
-        return business_calendar(self.spark, first, last, config.federal_holidays(first, last))
+        return business_calendar(self.spark, first, last, self.holidays())
+
+    def holidays(self) -> list[dt.date]:
+        return config.federal_holidays(*self.bounds())
 
     def bounds(self) -> tuple[dt.date, dt.date]:
         """First and last date of orders and lines, read once per object."""
@@ -215,6 +218,19 @@ class OrderTables:
         """The same lines with product columns and money."""
         return self.priced(self.accept(self.described(), self._headers()))
 
+    def sold_parts(self) -> DataFrame:
+        """Distinct (order, part) pairs of the accepted lines, before any product text."""
+        return self.shipped_lines().select("order_id", "part_key").distinct()
+
+    def sold(self) -> DataFrame:
+        """The same pairs with the product columns of the part."""
+        return self.sold_parts().join(self.products(), "part_key", "left")
+
+    def sold_products(self) -> DataFrame:
+        """Product columns of every part with an accepted line."""
+        parts = self.shipped_lines().select("part_key").distinct()
+        return parts.join(self.products(), "part_key", "left")
+
     def canonical_lines(self, product: bool = True) -> DataFrame:
         """Accepted lines in the source layout; ``ship_date`` is the order's.
 

@@ -1,13 +1,14 @@
 import csv
 import datetime as dt
 import glob
+import os
 import uuid
 from decimal import Decimal
 
 import pytest
 from fixtures import LINE, lines
 
-from harborline import schema
+from harborline import schema, session
 from harborline.operators.quality import QualityError
 from harborline.plans import pipeline
 from harborline.sources import files
@@ -115,7 +116,10 @@ def test_transform_rejects_before_computing(spark, tmp_path):
 
 def test_run_writes_every_table(spark, tmp_path):
     output = str(tmp_path / "out")
+    shared = session.shared_folder(spark)
+    before = set(os.listdir(shared))
     written = pipeline.run(spark, write(tmp_path, *ORDERS), output, expected_rows=3, delimited=True)
+    assert set(os.listdir(shared)) == before
     assert sorted(written) == sorted([
         "fact_order_lines", "fact_orders", "dim_date", "dim_customer", "dim_location",
         "dim_product", "dim_ship_mode", "fact_order_lines_star", "scenario_orders",
@@ -133,3 +137,18 @@ def test_run_writes_every_table(spark, tmp_path):
     assert glob.glob(f"{output}/csv/dim_date/*.csv")
     kept = files.read_table(spark, f"{output}/scenario_orders").where("scenario = 'calibrated'")
     assert kept.count() == 2 and "01234" in {r.postal_code for r in kept.collect()}
+
+
+def test_a_refused_source_leaves_nothing(spark, tmp_path):
+    output, shared = tmp_path / "out", session.shared_folder(spark)
+    before = set(os.listdir(shared))
+    with pytest.raises(QualityError, match="Expected 9994 rows, found 3"):
+        pipeline.run(spark, write(tmp_path, *ORDERS), str(output))
+    assert not glob.glob(f"{output}/*") and set(os.listdir(shared)) == before
+
+
+def test_a_source_without_rows_gives_empty_facts(spark, tmp_path):
+    path = tmp_path / "empty.csv"
+    path.write_text(",".join(schema.SOURCE_NAMES) + "\n")
+    source, orders = pipeline.transform(spark, str(path), expected_rows=None)
+    assert source.count() == orders.count() == 0

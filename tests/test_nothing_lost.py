@@ -1,12 +1,14 @@
 """Lines, orders and groups that must not vanish or change class silently."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from harborline import config
-from harborline.operators import diagnostics, scenarios, summaries
+from harborline.functions.calendar import with_business_days
+from harborline.operators import diagnostics, facts, scenarios, summaries
 from harborline.plans import pipeline, sql_path
 from harborline.sources.order_tables import TABLES, OrderTables
 
@@ -59,18 +61,24 @@ def test_unlisted_groups_come_last(spark):
 
 
 def test_orders_without_business_days_are_neither_late_nor_on_time(spark):
-    orders = spark.createDataFrame(
-        [(1, "Same Day", 0), (2, "Same Day", None)],
-        "order_id bigint, ship_mode string, business_days_to_ship int",
-    ).withColumns({
-        "order_date": F.lit(dt.date(2015, 1, 1)), "region": F.lit("A"), "order_month": F.lit(dt.date(2015, 1, 1)),
-        "order_sales": F.lit(1).cast("decimal(28,4)"), "order_profit": F.lit(1).cast("decimal(28,4)"),
-    })
+    """All four paths agree on an order that ships before its order date."""
+    day = dt.date(2015, 1, 5)
+    lines = spark.createDataFrame(
+        [(1, day, day, "Same Day", "A", Decimal(1), Decimal(1)),
+         (2, day, day - dt.timedelta(1), "Same Day", "A", Decimal(1), Decimal(1))],
+        "order_id bigint, order_date date, ship_date date, ship_mode string, region string, "
+        "sales decimal(18,4), profit decimal(18,4)",
+    )
     table = scenarios.scenario_table(spark)
+    heads = facts.collapse(lines, sql_path.COLUMNS[1:5])
+    counted = with_business_days(heads, pipeline.calendar_for(lines))
+    orders = scenarios.attach_financials(counted, facts.order_financials(lines))
+    monthly = orders.withColumn("order_month", F.trunc("order_date", "month"))
     paths = [
+        summaries.summarize(scenarios.expand(orders, table)),
         summaries.summarize_orders(orders, table),
-        summaries.summarize_families(orders, table).where("family = 'overall'"),
-        sql_path.summaries(orders, table, ["overall"])["overall"],
+        summaries.summarize_families(monthly, table).where("family = 'overall'"),
+        sql_path.summaries(lines, table, [], ["overall"])["overall"],
     ]
     for found in paths:
         for row in found.collect():

@@ -59,6 +59,10 @@ def test_sizing_raises_the_settings(spark, tmp_path, monkeypatch):
     try:
         session.size_for(spark, str(tmp_path / "f"))
         assert (spark.conf.get(first), spark.conf.get(split)) == ("40", "400")
+        monkeypatch.setattr(session, "PARTITION_BYTES", 1 << 40)
+        session.size_for(spark, str(tmp_path / "f"))
+        assert (spark.conf.get(first, None), spark.conf.get(split)) == (None, session.DEFAULT_SPLIT)
+        monkeypatch.setattr(session, "PARTITION_BYTES", 100)
         spark.conf.set(split, "2g")
         session.size_for(spark, str(tmp_path / "f"))
         assert spark.conf.get(split) == "2g"
