@@ -8,9 +8,10 @@ Three passes over the texts:
 
 1. Every window is stood for by its anchor, the least hash of the word groups
    inside it. Neighbouring windows mostly share theirs and form a segment; the
-   segments are written with 128-bit hashes. Each partition counts its anchors in
-   a count-min sketch, and the sketches are merged cell by cell. Equal windows
-   have equal anchors, so a merged cell never counts a window too low.
+   segments are written with 128-bit hashes, once per document however often it
+   repeats them. Each partition counts its anchors in a count-min sketch, and the
+   sketches are merged cell by cell. Equal windows have equal anchors, so an anchor
+   of several documents is never counted once only.
 2. Windows whose anchor is estimated once are dropped, the others grouped exactly.
    Where all segments of an anchor are equal, they are compared as a whole. Where
    they differ, the windows inside them are read again, hashed and compared.
@@ -112,10 +113,13 @@ def cells(values: np.ndarray, row: int, width: int) -> np.ndarray:
     return mixed(values, row + 1) & np.uint64(width - 1)
 
 
+# Words that one document holds several times are one row: ``start`` is their first
+# place, ``again`` the other places as packed 32-bit numbers, null where there are none.
 SEGMENTS = (
-    "doc_id bigint, text_hash bigint, anchor bigint, s1 bigint, s2 bigint, start int, count int"
+    "doc_id bigint, text_hash bigint, anchor bigint, s1 bigint, s2 bigint, start int, "
+    "again binary, count int"
 )
-WINDOWS = "doc_id bigint, text_hash bigint, w1 bigint, w2 bigint, start int"
+WINDOWS = "doc_id bigint, text_hash bigint, w1 bigint, w2 bigint, start int, again binary"
 
 
 def signed(values: np.ndarray) -> pa.Array:
@@ -134,6 +138,22 @@ def begins_of(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, ends
 
 
+def folded(spans: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The first row of each pair of hashes, and the starts of its other rows."""
+    rows = np.arange(len(starts))
+    if len(np.unique(spans[0])) == len(starts):
+        return rows, pa.nulls(len(starts), pa.binary())
+    order = np.lexsort((rows, spans[1], spans[0]))
+    fresh = np.r_[True, np.zeros(len(rows) - 1, bool)]
+    for values in spans:
+        fresh[1:] |= values[order][1:] != values[order][:-1]
+    begins = np.flatnonzero(fresh)
+    ends = np.r_[begins[1:], len(rows)]
+    placed = starts[order].astype("<i4")
+    again = [placed[b + 1 : e].tobytes() or None for b, e in zip(begins, ends)]
+    return order[begins], pa.array(again, pa.binary())
+
+
 def long_texts(batch: pa.RecordBatch, window: int):
     """Ids, hash of the text and words of the documents that have a window."""
     columns = (batch.column(c) for c in ("doc_id", "text_hash", "text"))
@@ -160,16 +180,19 @@ def segment_partition(
             least = anchors(hashed, window, gram)
             begins, ends = begins_of(least)
             spans = [hashed.spans(i, begins, ends + (window - 1)) for i in (0, 1)]
+            rows, again = folded(spans, begins)
+            first = begins[rows]
             yield keyed(
                 doc_id,
                 text_hash,
                 [
-                    signed(least[begins]),
-                    *map(signed, spans),
-                    pa.array(begins.astype(np.int32)),
-                    pa.array((ends - begins).astype(np.int32)),
+                    signed(least[first]),
+                    *[signed(values[rows]) for values in spans],
+                    pa.array(first.astype(np.int32)),
+                    again,
+                    pa.array((ends[rows] - first).astype(np.int32)),
                 ],
-                ["anchor", "s1", "s2", "start", "count"],
+                ["anchor", "s1", "s2", "start", "again", "count"],
             )
 
 
@@ -185,11 +208,16 @@ def window_partition(
             starts = np.flatnonzero(marked(anchors(hashed, window, gram), bits.value, width))
             if len(starts):
                 spans = [hashed.spans(i, starts, starts + window) for i in (0, 1)]
+                rows, again = folded(spans, starts)
                 yield keyed(
                     doc_id,
                     text_hash,
-                    [*map(signed, spans), pa.array(starts.astype(np.int32))],
-                    ["w1", "w2", "start"],
+                    [
+                        *[signed(values[rows]) for values in spans],
+                        pa.array(starts[rows].astype(np.int32)),
+                        again,
+                    ],
+                    ["w1", "w2", "start", "again"],
                 )
 
 
@@ -258,7 +286,8 @@ def sketch_width(docs: DataFrame) -> int:
 
 def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document that loses words, the ranges [start, stop) of words it loses,
-    named by doc_id and the hash of its text. Ranges may overlap."""
+    named by doc_id and the hash of its text. ``again`` holds further starts of ranges
+    of the same length. Ranges may overlap."""
     spark = docs.sparkSession
     context = spark.sparkContext
     width = sketch_width(docs)
@@ -297,7 +326,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     whole = (
         likely.join(by_anchor.where("kinds = 1"), "anchor")
         .where(order_of() > F.col("low"))
-        .select("doc_id", "text_hash", "start", stop)
+        .select("doc_id", "text_hash", "start", stop, "again")
     )
 
     differing = by_anchor.where("kinds > 1").select("anchor")
@@ -320,20 +349,26 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     single = (
         windows.join(firsts, ["w1", "w2"])
         .where(order_of() > F.col("low"))
-        .select("doc_id", "text_hash", "start", (F.col("start") + window).alias("stop"))
+        .select("doc_id", "text_hash", "start", (F.col("start") + window).alias("stop"), "again")
     )
     return (
         whole.unionByName(single)
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(F.expr("shiftleft(cast(start as bigint), 32) + stop")).alias("ranges"))
+        .agg(F.collect_set(F.struct("start", "stop", "again")).alias("ranges"))
     )
 
 
-def cut(words: list[bytes], ranges: np.ndarray) -> list[bytes]:
+def cut(words: list[bytes], ranges: pa.StructArray) -> list[bytes]:
     """The words outside all ranges."""
     edges = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edges, ranges >> 32, 1)
-    np.add.at(edges, ranges & 0xFFFFFFFF, -1)
+    starts, stops = (ranges.field(c).to_numpy() for c in ("start", "stop"))
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, stops, -1)
+    for start, stop, again in zip(starts, stops, ranges.field("again")):
+        if again.is_valid:
+            others = np.frombuffer(again.as_py(), "<i4")
+            np.add.at(edges, others, 1)
+            np.add.at(edges, others + (stop - start), -1)
     stay = np.cumsum(edges)[:-1] == 0
     return [word for word, keep in zip(words, stay.tolist()) if keep]
 
@@ -345,7 +380,7 @@ def cut_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             words = text.as_py().split()
             before.append(len(words))
             if ranges.is_valid:
-                words = cut(words, ranges.values.to_numpy())
+                words = cut(words, ranges.values)
             after.append(before[-1] - len(words))
             kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays(

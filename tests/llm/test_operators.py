@@ -240,7 +240,7 @@ def test_warc(spark):
     assert [bytes(r.payload) for r in chosen] == [b"short"]
 
 
-def test_substring_dedup(spark, rows):
+def check_substring_dedup(spark, rows):
     order = lambda doc_id: float("inf") if doc_id is None else doc_id
     first = {}
     for doc_id, text, *_ in rows:
@@ -261,6 +261,27 @@ def test_substring_dedup(spark, rows):
     assert collected(found, "doc_id", "n_words", "n_removed", "kept_text") == sorted(expected, key=repr)
 
 
+def test_substring_dedup(spark, rows):
+    check_substring_dedup(spark, rows)
+
+
+def test_substring_dedup_of_texts_that_repeat_themselves(spark):
+    """Repeats inside one document count once, and go only where a smaller id has them."""
+    passage = " ".join(f"p{n}" for n in range(60))
+    other = " ".join(f"q{n}" for n in range(55))
+    texts = {
+        1: " ".join([passage] * 3),
+        2: f"{passage} x {other} y {passage} z {other}",
+        3: "same " * 400,
+        4: "same " * 130 + "end " + "same " * 70,
+        5: f"{other} alone {other} alone {other}",
+        6: " ".join(["a b c"] * 90),
+    }
+    rows = [(k, text, "xx", "s", None) for k, text in texts.items()]
+    check_substring_dedup(spark, rows)
+    check_substring_dedup(spark, rows[::-1])
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
