@@ -277,7 +277,7 @@ def test_substring_dedup_of_texts_that_repeat_themselves(spark):
         5: f"{other} alone {other} alone {other}",
         6: " ".join(["a b c"] * 90),
     }
-    rows = [(k, text, "xx", "s", None) for k, text in texts.items()]
+    rows = [(k, text, "xx", "s") for k, text in texts.items()]
     check_substring_dedup(spark, rows)
     check_substring_dedup(spark, rows[::-1])
 
