@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harborline.functions.columns import required
+from harborline.functions.columns import guarded
 
 # A calendar is broadcast, so its length is bounded: about 270 years.
 MAX_DAYS = 100_000
@@ -59,20 +59,15 @@ def with_business_days(
             calendar.select(F.col("date").alias(date), F.col("business_index").alias(index))
         )
 
-    def index(name: str, date: str) -> Column:
-        return required(
-            F.col(name),
-            F.concat(F.lit(f"{date} outside the business calendar: "),
-                     F.coalesce(F.col(date).cast("string"), F.lit("null"))),
-        )
-
-    count = index("_end_index", end) - index("_start_index", start)
-    return (
-        df.join(lookup(start, "_start_index"), start, "left")
-        .join(lookup(end, "_end_index"), end, "left")
-        .withColumn(name, F.when(F.col(end) >= F.col(start), count))
-        .select(*df.columns, name)
-    )
+    joined = df.join(lookup(start, "_start_index"), start, "left")
+    joined = joined.join(lookup(end, "_end_index"), end, "left")
+    in_order = F.col(end) >= F.col(start)
+    for date, index in ((start, "_start_index"), (end, "_end_index")):
+        found = F.col(index).isNotNull() | ~F.coalesce(in_order, F.lit(False))
+        message = F.concat(F.lit(f"{date} outside the business calendar: "), F.col(date))
+        joined = guarded(joined, found, message)
+    count = F.col("_end_index") - F.col("_start_index")
+    return joined.withColumn(name, F.when(in_order, count)).select(*df.columns, name)
 
 
 def date_bounds(df: DataFrame, *dates: str) -> DataFrame:

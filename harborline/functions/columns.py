@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,16 @@ def required(column: Column, message: Column) -> Column:
     return F.coalesce(column, F.raise_error(message))
 
 
+def guarded(df: DataFrame, holds: Column, message: Column) -> DataFrame:
+    """The rows of ``df``; one for which ``holds`` is not true fails the job.
+
+    The guard is a filter, so it stays whatever columns are read. Behind an outer join
+    the message has to name a column of the other side: the optimiser tries filters of
+    one side alone on a row of nulls, which would fail at once.
+    """
+    return df.where(F.when(holds, True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation; null where either side has no variance.
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline import config
 from harborline.functions.columns import (
+    guarded,
     is_late,
     month_label,
     month_start,
-    required,
     where_late,
 )
 from harborline.sources.inline import inline_table
@@ -31,16 +31,15 @@ def days_of(table: DataFrame, scenario: str) -> DataFrame:
     )
 
 
-def _known(days: str) -> Column:
+def _known(df: DataFrame, days: str) -> DataFrame:
     mode = F.coalesce(F.col("ship_mode"), F.lit("null"))
-    return required(F.col(days), F.concat(F.lit("Unknown ship modes: "), mode))
+    return guarded(df, F.col(days).isNotNull(), F.concat(F.lit("Unknown ship modes: "), mode))
 
 
 def with_threshold(df: DataFrame, days: DataFrame) -> DataFrame:
     """Add allowed days, variance and late flag; an unknown mode fails the job."""
     return (
-        df.join(F.broadcast(days), "ship_mode", "left")
-        .withColumn("sla_days", _known("sla_days"))
+        _known(df.join(F.broadcast(days), "ship_mode", "left"), "sla_days")
         .withColumn("sla_variance", F.col("business_days_to_ship") - F.col("sla_days"))
         .withColumn("is_late", is_late("business_days_to_ship", "sla_days"))
         .select(*df.columns, "sla_days", "sla_variance", "is_late")
@@ -54,10 +53,9 @@ def classify(df: DataFrame, table: DataFrame) -> DataFrame:
     crosses an exchange. An unknown ship mode fails the job.
     """
     kept = [c for c in df.columns if c not in ("is_late", "is_success")]
+    joined = df.select(*kept).join(F.broadcast(table), "ship_mode", "left")
     return (
-        df.select(*kept)
-        .join(F.broadcast(table), "ship_mode", "left")
-        .withColumn("scenario_sla_days", _known("scenario_sla_days"))
+        _known(joined, "scenario_sla_days")
         .withColumn("is_late", is_late("business_days_to_ship", "scenario_sla_days"))
         .withColumn("is_success", ~F.col("is_late"))
         .select(
@@ -69,10 +67,8 @@ def classify(df: DataFrame, table: DataFrame) -> DataFrame:
 def attach_financials(orders: DataFrame, financials: DataFrame) -> DataFrame:
     """Join order totals one to one; an order without lines fails the job."""
     message = F.concat(F.lit("No order lines for order "), F.col("order_id").cast("string"))
-    joined = orders.join(financials, "order_id", "left")
-    for total in ("order_sales", "order_profit"):
-        joined = joined.withColumn(total, required(F.col(total), message))
-    return joined
+    found = F.col("order_sales").isNotNull() & F.col("order_profit").isNotNull()
+    return guarded(orders.join(financials, "order_id", "left"), found, message)
 
 
 def expand(orders: DataFrame, table: DataFrame) -> DataFrame:

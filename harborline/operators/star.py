@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harborline import schema
 from harborline.functions.calendar import date_bounds, date_dimension
-from harborline.functions.columns import required
+from harborline.functions.columns import guarded
 from harborline.operators import quality
 from harborline.operators.keys import dense_key
 
@@ -66,13 +66,14 @@ def with_keys(df: DataFrame, tables: dict[str, DataFrame], *names: str) -> DataF
 
 def fact_columns(df: DataFrame) -> DataFrame:
     """The fact's columns; a key that was not found fails the job."""
-    checked = [
-        required(F.col(c), F.lit(f"No dimension row for {c}")).alias(c)
-        if c in schema.STAR_KEYS
-        else F.col(c)
-        for c in schema.STAR_FACT
-    ]
-    return df.select(*checked)
+    found = F.lit(True)
+    for key in schema.STAR_KEYS:
+        found = found & F.col(key).isNotNull()
+    missing = [F.when(F.col(key).isNull(), key) for key in schema.STAR_KEYS]
+    message = F.concat(
+        F.lit("No dimension row for "), F.concat_ws(", ", *missing), F.lit(" of line "), "row_id"
+    )
+    return guarded(df, found, message).select(*schema.STAR_FACT)
 
 
 def build_fact(lines: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

@@ -6,9 +6,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from harborline import config
+from harborline import config, schema
 from harborline.functions.calendar import with_business_days
-from harborline.operators import diagnostics, facts, scenarios, summaries
+from harborline.operators import diagnostics, facts, scenarios, star, summaries
 from harborline.plans import pipeline, sql_path
 from harborline.sources.order_tables import TABLES, OrderTables
 
@@ -93,3 +93,26 @@ def test_holidays_follow_the_dates(spark):
     index = {r.date: r.business_index for r in pipeline.calendar_for(lines).collect()}
     assert index[dt.date(2021, 7, 6)] - index[dt.date(2021, 7, 2)] == 1
     assert pipeline.calendar_for(lines.limit(0)).count() == 1
+
+
+def test_guards_stay_when_their_columns_are_not_read(spark):
+    """A count reads no column, and fails all the same."""
+    day = dt.date(2015, 1, 5)
+    rows = spark.createDataFrame([("A", day, day + dt.timedelta(9), "Drone", 1)],
+                                 "order_id string, order_date date, ship_date date, ship_mode string, "
+                                 "business_days_to_ship int")
+    calendar = pipeline.calendar_for(rows.withColumn("ship_date", F.col("order_date")))
+    table = scenarios.scenario_table(spark)
+    totals = spark.createDataFrame([], "order_id string, order_sales int, order_profit int")
+    keys = [F.lit(None).cast("int").alias(c) for c in schema.STAR_KEYS]
+    measures = [F.lit(1).alias(c) for c in ("sales", "quantity", "discount", "profit")]
+    fact = rows.select(F.lit("r1").alias("row_id"), "order_id", *keys, *measures)
+    for found, message in (
+        (with_business_days(rows, calendar, name="days"), "ship_date outside the business calendar: 2015-01-14"),
+        (scenarios.classify(rows, table), "Unknown ship modes: Drone"),
+        (scenarios.with_threshold(rows, scenarios.days_of(table, "base")), "Unknown ship modes: Drone"),
+        (scenarios.attach_financials(rows, totals), "No order lines for order A"),
+        (star.fact_columns(fact), "No dimension row for order_date_key, ship_date_key"),
+    ):
+        with pytest.raises(Exception, match=message):
+            found.count()
