@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from harborline import session
 from harborline.llm import decontamination, line_dedup, mixing, simhash, toxicity
-from harborline.llm.common import documents
+from harborline.llm.common import documents, with_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each reads what the one before wrote."""
-    session.tune(spark)
+    session.tune(with_package(spark))
     docs = documents(spark, sf_dir)
     for place, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

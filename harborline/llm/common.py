@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import site
 import string
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import harborline
+
 # The ASCII white space \x20 and \x09-\x0D that separates words and pads lines.
 SPACES = " \t\n\x0b\f\r"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +22,25 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Application -> folder of the archive it serves to its workers, kept until Python ends.
+_sent: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def with_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to Python workers, unless they start with it on their path:
+    installed, on PYTHONPATH, or below the working directory of a local master."""
+    context = spark.sparkContext
+    home = os.path.dirname(os.path.dirname(os.path.abspath(harborline.__file__)))
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    if context.master.startswith("local"):
+        known.append(os.getcwd())
+    there = home in [os.path.abspath(path) for path in known if path]
+    if not there and context.applicationId not in _sent:
+        folder = _sent[context.applicationId] = tempfile.TemporaryDirectory()
+        context.addPyFile(shutil.make_archive(f"{folder.name}/harborline", "zip", home, "harborline"))
+    return spark
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -20,7 +20,7 @@ from harborline.llm import (
     toxicity,
     warc,
 )
-from harborline.llm.common import documents
+from harborline.llm.common import documents, with_package
 from harborline.llm.sql import ORACLE as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ def query(build: Query) -> Query:
     """Register a query under its function name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(session.tune(spark), sf_dir)
+        return build(session.tune(with_package(spark)), sf_dir)
 
     QUERIES[build.__name__] = run
     return build

@@ -25,6 +25,7 @@ from harborline.llm import (
     toxicity,
     warc,
 )
+from harborline.llm.common import with_package
 from harborline.llm.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -423,3 +424,22 @@ def test_pipeline(spark):
         left = spark.createDataFrame(after.collect(), docs.schema)
     expected = collected(stages["mixing"](spark, left, FOLDER), "doc_id", "taken")
     assert collected(corpus_pipeline.run(spark, FOLDER), "doc_id", "taken") == expected
+
+
+def test_package_is_sent_to_workers_that_lack_it(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("PYTHONPATH", raising=False)
+    monkeypatch.setattr("site.getsitepackages", lambda: [])
+    monkeypatch.chdir(tmp_path)
+    for _ in range(2):  # the second time, it is there
+        with_package(spark)
+    sent = [f for f in spark.sparkContext.listFiles if f.endswith("harborline.zip")]
+    assert len(sent) == 1
+
+
+def test_one_hit_is_weak_evidence_where_clean_documents_have_it_too():
+    one, many = [1.0, float(np.log(2))], [2.25, 2.0]
+    features = np.array([[0.0, 0.0]] * 2000 + [one] * 30 + [one] * 10 + [many] * 290)
+    labels = np.array([0.0] * 2030 + [1.0] * 300)
+    weights = toxicity.logistic(features, labels)
+    score = 1 / (1 + np.exp(-(weights[0] + np.array([one, many]) @ weights[1:])))
+    assert score[0] < toxicity.THRESHOLD <= score[1]
