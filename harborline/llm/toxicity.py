@@ -2,9 +2,11 @@
 
 Words are read as symbols: insult, threat, target, negation, report, or other. Four
 transducers are composed into one: reported speech and negation rewrite what they
-govern, then insults and threats weigh what is left, more so beside a target. The
-machine runs over every clause; a document's score is a logistic function of the
-weights of its matched clauses, not of isolated words.
+govern, then insults and threats weigh what is left, more so beside a target. A threat
+needs a target behind it, and then weighs as an insult at a target does. The machine
+runs over every clause; a document's score is a logistic function of the weights of its
+matched clauses, not of isolated words. Insults and threats have slopes of their own,
+which are held alike where the labels do not tell them apart.
 
 Which words insult is learned from the labels, besides a few fixed ones: words, and
 beginnings of inflected words, that toxic documents hold in many contexts and others
@@ -34,7 +36,8 @@ THRESHOLD = 0.7
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-QUOTED, DENIED = 7, 8  # insults or threats that are reported or negated
+QUOTED, DENIED = 7, 8  # insults that are reported or negated
+QUOTED_THREAT, DENIED_THREAT = 9, 10
 
 WORDS = {
     INSULT: "idiot idiots moron morons scum loser losers trash stupid pathetic worthless "
@@ -52,20 +55,24 @@ MIN_RATIO = 20.0
 MIN_G = 20.0
 SPECIFIC = 0.9
 PREFIXES = (4, 5, 6)
-DEFAULT = np.array([-3.0, 2.0, 2.0])
+# Intercept, then the slopes of insults and of threats: highest clause, log of the sum.
+DEFAULT = np.array([-3.0, 2.0, 2.0, 2.0, 2.0])
+ALIKE = ((1, 3), (2, 4))
+FEATURES = ("highest", "total", "highest_threat", "total_threat")
+NOTHING = (0.0, 0.0)
 
 
 class Transducer:
-    """Arcs (state, symbol) -> (state, output symbol, weight). A symbol without an arc
-    passes through unchanged; END leads back to the start."""
+    """Arcs (state, symbol) -> (state, output symbol, weights of insults and of threats).
+    A symbol without an arc passes through unchanged; END leads back to the start."""
 
     def __init__(self, arcs: dict):
         self.arcs = arcs
 
     def step(self, state, symbol):
         if symbol == END:
-            return 0, END, 0.0
-        return self.arcs.get((state, symbol), (state, symbol, 0.0))
+            return 0, END, NOTHING
+        return self.arcs.get((state, symbol), (state, symbol, NOTHING))
 
     def __rshift__(self, other: Transducer) -> Composed:
         return Composed(self, other)
@@ -81,15 +88,16 @@ class Composed(Transducer):
         left, right = (0, 0) if state == 0 else state
         left, middle, weight = self.first.step(left, symbol)
         right, out, more = self.second.step(right, middle)
-        return (0 if (left, right) == (0, 0) else (left, right)), out, weight + more
+        both = weight[0] + more[0], weight[1] + more[1]
+        return (0 if (left, right) == (0, 0) else (left, right)), out, both
 
 
 def reported() -> Transducer:
     """Behind a reporting verb, insults and threats of the clause are quoted."""
     return Transducer({
-        (0, REPORT): (1, REPORT, 0.0),
-        (1, INSULT): (1, QUOTED, 0.0),
-        (1, THREAT): (1, QUOTED, 0.0),
+        (0, REPORT): (1, REPORT, NOTHING),
+        (1, INSULT): (1, QUOTED, NOTHING),
+        (1, THREAT): (1, QUOTED_THREAT, NOTHING),
     })
 
 
@@ -97,12 +105,12 @@ def negated(reach: int = 3) -> Transducer:
     """Up to ``reach`` words behind a negation, insults and threats are denied."""
     arcs = {}
     for state in range(reach + 1):
-        arcs[state, NEGATION] = (reach, NEGATION, 0.0)
+        arcs[state, NEGATION] = (reach, NEGATION, NOTHING)
         if state:
-            for symbol in (OTHER, TARGET, REPORT, QUOTED):
-                arcs[state, symbol] = (state - 1, symbol, 0.0)
-            for symbol in (INSULT, THREAT):
-                arcs[state, symbol] = (state - 1, DENIED, 0.0)
+            for symbol in (OTHER, TARGET, REPORT, QUOTED, QUOTED_THREAT):
+                arcs[state, symbol] = (state - 1, symbol, NOTHING)
+            arcs[state, INSULT] = (state - 1, DENIED, NOTHING)
+            arcs[state, THREAT] = (state - 1, DENIED_THREAT, NOTHING)
     return Transducer(arcs)
 
 
@@ -111,35 +119,40 @@ def insulting() -> Transducer:
     arcs = {}
     for state in range(4):  # bit 0: a target came before, bit 1: an insult did
         aimed, again = state & 1, state & 2
-        arcs[state, TARGET] = (state | 1, TARGET, 0.25 if again else 0.0)
-        arcs[state, INSULT] = (state | 2, OTHER, 1.0 + 0.5 * aimed + 0.25 * bool(again))
-        arcs[state, QUOTED] = (state, OTHER, 0.5)
-        arcs[state, DENIED] = (state, OTHER, 0.5)
+        arcs[state, TARGET] = (state | 1, TARGET, (0.25 if again else 0.0, 0.0))
+        arcs[state, INSULT] = (state | 2, OTHER, (1.0 + 0.5 * aimed + 0.25 * bool(again), 0.0))
+        arcs[state, QUOTED] = (state, OTHER, (0.5, 0.0))
+        arcs[state, DENIED] = (state, OTHER, (0.5, 0.0))
     return Transducer(arcs)
 
 
 def threatening() -> Transducer:
-    """A threat counts with a target behind it in the clause."""
-    return Transducer({
-        (0, THREAT): (1, OTHER, 0.0),
-        (1, TARGET): (0, OTHER, 0.2),
-    })
+    """A threat counts with a target behind it in the clause, like an insult at a target;
+    a reported or negated one far less, so that many of them do not add up to one."""
+    arcs = {}
+    for state in range(3):  # 1: a reported or negated threat waits, 2: an open one does
+        arcs[state, THREAT] = (2, OTHER, NOTHING)
+        for symbol in (QUOTED_THREAT, DENIED_THREAT):
+            arcs[state, symbol] = (max(state, 1), OTHER, NOTHING)
+        if state:
+            arcs[state, TARGET] = (0, OTHER, (0.0, 0.1 if state == 1 else 1.5))
+    return Transducer(arcs)
 
 
 def compiled() -> dict:
-    """The composed machine as a table (state, symbol) -> (state, weight)."""
+    """The composed machine as a table (state, symbol) -> (state, insult, threat weight)."""
     machine = reported() >> (negated() >> (insulting() >> threatening()))
     table, open_states = {}, [0]
     while open_states:
         state = open_states.pop()
-        for symbol in range(DENIED + 1):
+        for symbol in range(DENIED_THREAT + 1):
             if (state, symbol) not in table:
-                after, _, weight = machine.step(state, symbol)
-                table[state, symbol] = (after, weight)
+                after, _, weights = machine.step(state, symbol)
+                table[state, symbol] = (after, *weights)
                 if (after, OTHER) not in table:
                     open_states.append(after)
     names = {state: i for i, state in enumerate(dict.fromkeys(s for s, _ in table))}
-    return {(names[s], y): (names[t], w) for (s, y), (t, w) in table.items()}
+    return {(names[s], y): (names[t], *w) for (s, y), (t, *w) in table.items()}
 
 
 class Symbols(dict):
@@ -167,23 +180,31 @@ class Grammar:
         pieces.update((piece, INSULT) for piece in insults)
         self.pieces, self.weights, self.table = pieces, weights, compiled()
 
-    def clauses(self, text: str | None, symbols: Symbols) -> list[float]:
-        """Weights of the matched clauses."""
+    def matched(self, text: str | None, symbols: Symbols) -> list[tuple[float, float]]:
+        """Weights of insults and of threats in the matched clauses."""
         read = [symbols[token] for token in TOKEN.findall((text or "").lower())]
         if INSULT not in read and THREAT not in read:
             return []
-        found, state, total, table = [], 0, 0.0, self.table
+        found, state, insults, threats, table = [], 0, 0.0, 0.0, self.table
         for symbol in (*read, END):
-            state, weight = table[state, symbol]
-            total += weight
-            if symbol == END and total:
-                found.append(total)
-                total = 0.0
+            state, insult, threat = table[state, symbol]
+            insults += insult
+            threats += threat
+            if symbol == END and (insults or threats):
+                found.append((insults, threats))
+                insults = threats = 0.0
         return found
 
-    def features(self, text: str | None, symbols: Symbols) -> tuple[float, float]:
-        found = self.clauses(text, symbols)
-        return (max(found), float(np.log1p(sum(found)))) if found else (0.0, 0.0)
+    def clauses(self, text: str | None, symbols: Symbols) -> list[float]:
+        """Weights of the matched clauses."""
+        return [insult + threat for insult, threat in self.matched(text, symbols)]
+
+    def features(self, text: str | None, symbols: Symbols) -> tuple[float, ...]:
+        """Of insults, then of threats: the highest clause and the log of the sum."""
+        found = self.matched(text, symbols)
+        if not found:
+            return (0.0,) * len(FEATURES)
+        return tuple(f(kind) for kind in zip(*found) for f in (max, lambda k: float(np.log1p(sum(k)))))
 
     def score(self, text: str | None, symbols: Symbols) -> float:
         total = self.weights[0] + self.weights[1:] @ np.array(self.features(text, symbols))
@@ -273,24 +294,29 @@ def feature_rows(batches: Iterator[pa.RecordBatch], grammar) -> Iterator[pa.Reco
     symbols = Symbols(grammar.value.pieces)
     for batch in batches:
         found = [grammar.value.features(t.as_py(), symbols) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("toxic"),
-                pa.array([f[0] for f in found], pa.float64()),
-                pa.array([f[1] for f in found], pa.float64()),
-            ],
-            ["toxic", "highest", "total"],
-        )
-
-
-def logistic(features: np.ndarray, labels: np.ndarray, steps: int = 25, ridge: float = 0.05) -> np.ndarray:
-    """Weights by Newton's method, slopes held small. A class counts by the root of its
-    size: fully balanced, one chance hit flags a document where toxic ones are rare."""
+        columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(len(FEATURES))]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], ["toxic", *FEATURES])
+
+
+def logistic(
+    features: np.ndarray,
+    labels: np.ndarray,
+    steps: int = 25,
+    ridge: float = 0.05,
+    alike: tuple[tuple[int, int], ...] = (),
+) -> np.ndarray:
+    """Weights by Newton's method, slopes held small; of a pair in ``alike`` the second is
+    held near the first instead, so it follows that one where the rows say nothing of it.
+    A class counts by the root of its size: fully balanced, one chance hit flags a
+    document where toxic ones are rare."""
     x = np.column_stack([np.ones(len(features)), features])
     sizes = np.where(labels == 1, labels.sum(), (1 - labels).sum())
     share = sizes**-0.5 / np.sum(sizes**-0.5)
     weights = np.zeros(x.shape[1])
     hold = np.diag([1e-4] + [ridge / 10] * features.shape[1])
+    for first, second in alike:
+        hold[first, first] += ridge / 10
+        hold[first, second] = hold[second, first] = -ridge / 10
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (share * (p - labels)) + hold @ weights
@@ -304,14 +330,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Grammar:
     sample = sample_rows(docs, labels, per_class).select("toxic", "text")
     grammar = Grammar(learned_insults(sample))
     shared = context.broadcast(grammar)
-    rows = sample.mapInArrow(
-        lambda b: feature_rows(b, shared), "toxic int, highest double, total double"
-    ).toArrow()
+    schema = ", ".join(["toxic int", *(f"{name} double" for name in FEATURES)])
+    rows = sample.mapInArrow(lambda b: feature_rows(b, shared), schema).toArrow()
     labelled = rows.column("toxic").to_numpy()
     if 0 < labelled.sum() < len(labelled):
-        order = np.lexsort([rows.column(c).to_numpy() for c in ("total", "highest", "toxic")])
-        features = np.column_stack([rows.column(c).to_numpy() for c in ("highest", "total")])
-        grammar.weights = logistic(features[order], labelled[order].astype(float))
+        features = np.column_stack([rows.column(c).to_numpy() for c in FEATURES])
+        order = np.lexsort([*features.T[::-1], labelled])
+        grammar.weights = logistic(features[order], labelled[order].astype(float), alike=ALIKE)
     return grammar
 
 

@@ -443,3 +443,46 @@ def test_one_hit_is_weak_evidence_where_clean_documents_have_it_too():
     weights = toxicity.logistic(features, labels)
     score = 1 / (1 + np.exp(-(weights[0] + np.array([one, many]) @ weights[1:])))
     assert score[0] < toxicity.THRESHOLD <= score[1]
+
+
+def test_threats_at_targets_outweigh_reported_and_negated_ones():
+    grammar = toxicity.Grammar([])
+    symbols = toxicity.Symbols(grammar.pieces)
+    weigh = lambda t: sum(grammar.clauses(t, symbols))
+    aimed = weigh("i will kill you")
+    assert aimed == weigh("you are an idiot")
+    for weaker in ("i will not kill you", "she said i will kill you", "he said he would never hurt them"):
+        assert 0 < weigh(weaker) < aimed
+        assert grammar.score(". ".join([weaker] * 20), symbols) < toxicity.THRESHOLD
+    for nothing in ("never kill", "said they beat arsenal", "they beat arsenal", "not a hurt in sight"):
+        assert weigh(nothing) == 0
+    assert weigh("never kill and i will kill you") == aimed
+    for n in (1, 10, 20):
+        assert grammar.score(". ".join(["i will kill you"] * n), symbols) >= toxicity.THRESHOLD
+
+
+def test_threats_have_slopes_of_their_own_or_follow_the_insults():
+    hit, none = [1.5, float(np.log(2.5))], [0.0, 0.0]
+    labels = np.array([0.0] * 300 + [1.0] * 100)
+    unseen = toxicity.logistic(np.array([none + none] * 300 + [hit + none] * 100), labels, alike=toxicity.ALIKE)
+    assert np.allclose(unseen[1:3], unseen[3:]) and (unseen[1:] > 0).all()
+    features = np.array([none + none] * 200 + [none + hit] * 100 + [hit + none] * 100)
+    weights = toxicity.logistic(features, labels, alike=toxicity.ALIKE)
+    threat, insult = (1 / (1 + np.exp(-(weights[0] + weights[i : i + 2] @ hit))) for i in (3, 1))
+    assert threat < 0.5 and insult >= toxicity.THRESHOLD
+
+
+def test_threats_are_found_whose_verbs_clean_documents_hold_too(spark):
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    verbs = ["kill", "hurt", "destroy", "crush"]
+    docs, labels = [], []
+    for i in range(600):
+        verb = draw.choice(verbs)
+        said = f"i will {verb} you" if i % 4 == 0 else draw.choice([f"we {verb} time", f"she never would {verb}", f"they said it would {verb}"])
+        body = [" ".join(draw.choice(words) for _ in range(8)) for _ in range(3)]
+        docs.append((i, ". ".join([*body, said, said]), None, None))
+        labels.append((i, int(i % 4 == 0)))
+    found = toxicity.toxicity(table(spark, docs), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    unseen = [r for r in found if r.held_out]
+    assert unseen and all(r.predicted == int(r.doc_id % 4 == 0) for r in unseen)
