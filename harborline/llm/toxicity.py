@@ -8,14 +8,14 @@ runs over every clause; a document's score is a logistic function of the weights
 matched clauses, not of isolated words. Insults and threats have slopes of their own,
 which are held alike where the labels do not tell them apart.
 
-Which words insult is learned from the labels, besides a few fixed ones: words, and
-beginnings of inflected words, that toxic documents hold in many contexts and others
-hardly ever. Words and logistic weights are fitted on a bounded sample, about
+Which words insult is learned from the labels: words, and beginnings of inflected words,
+that toxic documents hold in many contexts and others hardly ever. A general lexicon of
+insults counts besides, but for entries that the sampled clean documents contradict. Words and logistic weights are fitted on a bounded sample, about
 ``SAMPLE`` labelled documents of each class by a hash of the doc_id.
 
 Defined results: null and empty texts have no clause and get the score of a text
 without a match. Labels that are null, without a doc_id, or of a document that does
-not exist teach nothing; without any label the fixed words and weights score.
+not exist teach nothing; without any label the lexicon and fixed weights score.
 Repeated rows get equal results. Other columns are not read.
 """
 
@@ -40,8 +40,16 @@ QUOTED, DENIED = 7, 8  # insults that are reported or negated
 QUOTED_THREAT, DENIED_THREAT = 9, 10
 
 WORDS = {
-    INSULT: "idiot idiots moron morons scum loser losers trash stupid pathetic worthless "
-    "disgusting clown clowns idiota basura imbécile ordure abschaum dummkopf",
+    INSULT: "idiot idiots moron morons imbecile imbeciles cretin cretins halfwit dimwit nitwit "
+    "dumbass dumb stupid fool fools loser losers scum scumbag scumbags trash garbage filth vermin "
+    "jerk jerks bastard bastards bitch bitches asshole assholes prick pricks twat wanker douchebag "
+    "creep creeps coward cowards liar liars degenerate weirdo clown clowns pathetic worthless "
+    "useless disgusting despicable repulsive contemptible "
+    "idiotin idioten dummkopf trottel depp vollidiot schwachkopf arschloch abschaum drecksau "
+    "miststück wichser versager dumm erbärmlich widerlich ordure "
+    "idiote idiots imbécile crétin crétine abruti connard connasse salaud salope débile minable "
+    "idiota idiotas estúpido estúpida imbécil basura escoria pendejo cabrón gilipollas tonto tonta "
+    "inútil patético patética asqueroso asquerosa",
     THREAT: "kill hurt destroy crush beat töten umbringen tuer frapper matar golpear",
     TARGET: "you your they them he she his her these those du dich ihr sie tu vous ils "
     "elle usted ellos tú",
@@ -175,8 +183,9 @@ class Symbols(dict):
 
 
 class Grammar:
-    def __init__(self, insults: list[str], weights: np.ndarray = DEFAULT):
+    def __init__(self, insults: list[str], weights: np.ndarray = DEFAULT, contradicted: list[str] = ()):
         pieces = {w: s for s, words in WORDS.items() for w in words.split()}
+        pieces.update((word, OTHER) for word in contradicted)
         pieces.update((piece, INSULT) for piece in insults)
         self.pieces, self.weights, self.table = pieces, weights, compiled()
 
@@ -249,13 +258,14 @@ def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def learned_insults(sample: DataFrame) -> list[str]:
-    """Pieces that mark toxic documents. Near copies share their contexts, so a piece
-    counts as often as it has different ones. The bounded sample bounds the result."""
+def learned_insults(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Pieces that mark toxic documents, and lexicon entries that clean documents hold
+    and that do not mark toxic ones. Near copies share their contexts, so a piece counts
+    as often as it has different ones. The bounded sample bounds the result."""
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not clean:
-        return []
+    if not clean:
+        return [], []
     rows = sample.select("toxic", "text").mapInArrow(
         piece_rows, "piece string, toxic int, around string"
     )
@@ -267,12 +277,15 @@ def learned_insults(sample: DataFrame) -> list[str]:
     seen, other = F.col("seen").cast("double"), F.col("clean") + F.lit(0.5)
     share = (seen + other) / F.lit(float(toxic + clean))
     g = 2 * (
-        seen * F.log(seen / (share * F.lit(float(toxic))))
+        seen * F.log(seen / (share * F.lit(float(max(toxic, 1)))))
         + other * F.log(other / (share * F.lit(float(clean))))
     )
-    ratio = (seen / F.lit(float(toxic))) / (other / F.lit(float(clean)))
-    found = counted.where(F.col("seen") >= MIN_CONTEXTS).where((g >= MIN_G) & (ratio >= MIN_RATIO))
-    return stems({r.piece: r.seen for r in found.select("piece", "seen").collect()})
+    ratio = (seen / F.lit(float(max(toxic, 1)))) / (other / F.lit(float(clean)))
+    marks = (F.col("seen") >= MIN_CONTEXTS) & (g >= MIN_G) & (ratio >= MIN_RATIO)
+    denied = F.col("piece").isin(WORDS[INSULT].split()) & (F.col("clean") > 0) & (ratio < MIN_RATIO)
+    found = counted.select("piece", "seen", F.coalesce(marks, F.lit(False)).alias("marks"), denied.alias("denied"))
+    kept = found.where(F.col("marks") | F.col("denied")).collect()
+    return stems({r.piece: r.seen for r in kept if r.marks}), sorted(r.piece for r in kept if r.denied)
 
 
 def stems(seen: dict[str, int]) -> list[str]:
@@ -328,7 +341,8 @@ def logistic(
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Grammar:
     context = docs.sparkSession.sparkContext
     sample = sample_rows(docs, labels, per_class).select("toxic", "text")
-    grammar = Grammar(learned_insults(sample))
+    insults, contradicted = learned_insults(sample)
+    grammar = Grammar(insults, contradicted=contradicted)
     shared = context.broadcast(grammar)
     schema = ", ".join(["toxic int", *(f"{name} double" for name in FEATURES)])
     rows = sample.mapInArrow(lambda b: feature_rows(b, shared), schema).toArrow()

@@ -486,3 +486,18 @@ def test_threats_are_found_whose_verbs_clean_documents_hold_too(spark):
     found = toxicity.toxicity(table(spark, docs), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
     unseen = [r for r in found if r.held_out]
     assert unseen and all(r.predicted == int(r.doc_id % 4 == 0) for r in unseen)
+
+
+def test_clean_documents_contradict_the_lexicon(spark):
+    draw = random.Random(7)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    docs = []
+    for i in range(300):
+        body = [" ".join(draw.choice(words) for _ in range(8)) for _ in range(2)]
+        docs.append((i, ". ".join([*body, "put your trash out", "they take the trash" if i % 4 else "you moron"]), None, None))
+    for toxic in (lambda i: int(i % 4 == 0), lambda i: 0):
+        labels = spark.createDataFrame([(i, toxic(i)) for i in range(300) if i % 4 or toxic(i)], "doc_id bigint, toxic int")
+        grammar = toxicity.fit(table(spark, docs), labels)
+        symbols = toxicity.Symbols(grammar.pieces)
+        assert grammar.clauses("take your trash, they say", symbols) == []
+        assert grammar.clauses("you moron", symbols) == [1.5]
