@@ -4,8 +4,10 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers by
 fixed patterns. The model reads characters with an LSTM in both directions and
 labels them with a CRF; it is trained in numpy on windows of the input labelled with
 their base spans. Texts are cut into overlapping windows. A window without a digit
-or an at sign holds none of the four kinds and is not decoded. The spans of all
-windows of a text are reconciled: base spans stay, then the surest go first.
+or an at sign holds none of the four kinds and is not decoded, unless a span of the
+window beside it runs on into it. Spans that window edges cut are joined where those of
+neighbouring windows overlap and agree in kind. The spans of all windows of a text are
+reconciled: base spans stay, then the surest go first.
 
 The model is fitted on a bounded sample, about ``SAMPLE`` documents with a digit or an
 at sign by a hash of the doc_id, and of their windows at most ``TRAINED``. Everything
@@ -269,16 +271,19 @@ class Tagger:
         return path, sure
 
 
-def tagged_spans(path: np.ndarray, sure: np.ndarray, size: int) -> Iterator[tuple[int, int, int, float]]:
-    """(kind, start, end, sureness) of one window's tags."""
+def tagged_spans(
+    path: np.ndarray, sure: np.ndarray, size: int, running: bool = False
+) -> Iterator[tuple[int, int, int, float]]:
+    """(kind, start, end, sureness) of one window's tags; with ``running`` the first
+    character may be inside a span that began before the window."""
     at = 0
     while at < size:
         tag = int(path[at])
-        if tag % 2 == 1:
-            end = at + 1
-            while end < size and path[end] == tag + 1:
+        if tag % 2 == 1 or (tag and running and at == 0):
+            kind, end = (tag - 1) // 2, at + 1
+            while end < size and path[end] == 2 * kind + 2:
                 end += 1
-            yield tag // 2, at, end, float(sure[at:end].mean())
+            yield kind, at, end, float(sure[at:end].mean())
             at = end
         else:
             at += 1
@@ -291,7 +296,7 @@ def plausible(kind: int, piece: str) -> bool:
         ("@" in piece and not piece.startswith("@") and not piece.endswith("@")) if kind == 0
         else (digits >= 4 and piece.count(".") >= 3) if kind == 1
         else digits >= 14 if kind == 2
-        else digits >= 9
+        else digits >= 7
     )
 
 
@@ -310,20 +315,55 @@ def reconciled(
     return [(KINDS[kind], start, end) for start, kind, end in sorted(spans)]
 
 
+def joined(pieces: list[tuple[int, int, int, float, bool, bool]]) -> Iterator[tuple[int, int, int, float]]:
+    """Whole spans out of cut ones, each with whether its start and its end are cut."""
+    groups: list[list] = []
+    for kind, start, end, how, left, right in sorted(pieces):
+        last = groups[-1] if groups else None
+        if last is None or last[0] != kind or start >= last[2]:
+            groups.append([kind, start, end, how * (end - start), left, right, end - start])
+            continue
+        if start == last[1]:
+            last[4] = last[4] and left
+        if end >= last[2]:
+            last[5] = right and (last[5] or end > last[2])
+            last[2] = end
+        last[3] += how * (end - start)
+        last[6] += end - start
+    for kind, start, end, how, left, right, size in groups:
+        if not left and not right:
+            yield kind, start, end, how / size
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int, float]]]:
-    """For each text the spans that its windows show whole."""
-    windows = [(n, start) for n, text in enumerate(texts) for start in window_starts(text)]
+    """For each text the spans that its windows show whole, or in pieces that join."""
+    todo = [(n, start) for n, text in enumerate(texts) for start in window_starts(text)]
     found: list[list] = [[] for _ in texts]
-    for at in range(0, len(windows), 1024):
-        part = windows[at : at + 1024]
-        x = np.stack([codes(texts[n][s : s + LENGTH]) for n, s in part])
-        path, sure = tagger.decode(x)
-        for row, (n, s) in enumerate(part):
-            size = min(LENGTH, len(texts[n]) - s)
-            for kind, start, end, how in tagged_spans(path[row], sure[row], size):
-                cut = (start == 0 and s > 0) or (end == LENGTH and s + LENGTH < len(texts[n]))
-                if not cut:
-                    found[n].append((kind, s + start, s + end, how))
+    pieces: list[list] = [[] for _ in texts]
+    done: set = set()
+    while todo:
+        done.update(todo)
+        beside = set()
+        for at in range(0, len(todo), 1024):
+            part = todo[at : at + 1024]
+            x = np.stack([codes(texts[n][s : s + LENGTH]) for n, s in part])
+            path, sure = tagger.decode(x)
+            for row, (n, s) in enumerate(part):
+                size = min(LENGTH, len(texts[n]) - s)
+                for kind, start, end, how in tagged_spans(path[row], sure[row], size, s > 0):
+                    left = start == 0 and s > 0
+                    right = end == LENGTH and s + LENGTH < len(texts[n])
+                    if not left and not right:
+                        found[n].append((kind, s + start, s + end, how))
+                        continue
+                    pieces[n].append((kind, s + start, s + end, how, left, right))
+                    if left:
+                        beside.add((n, s - STRIDE))
+                    if right:
+                        beside.add((n, s + STRIDE))
+        todo = sorted(beside - done)
+    for n, cut in enumerate(pieces):
+        found[n].extend(joined(cut))
     return found
 
 

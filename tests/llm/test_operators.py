@@ -501,3 +501,39 @@ def test_clean_documents_contradict_the_lexicon(spark):
         symbols = toxicity.Symbols(grammar.pieces)
         assert grammar.clauses("take your trash, they say", symbols) == []
         assert grammar.clauses("you moron", symbols) == [1.5]
+
+
+class RunTagger:
+    """Tags runs of x and at sign as e-mail addresses, as far as a window shows them."""
+
+    def decode(self, x):
+        run = (x == ord("x")) | (x == ord("@"))
+        begins = run & ~np.pad(run, ((0, 0), (1, 0)))[:, :-1]
+        path = np.where(begins, 1, np.where(run, 2, 0))
+        path[:, 0] = np.where(run[:, 0], 2, 0)
+        return path, np.ones(x.shape)
+
+
+def test_pii_spans_that_window_edges_cut_are_joined():
+    for size in (3, 47, 48, 49, 94, 95, 96, 97, 200, 400):
+        for offset in range(1, 2 * pii.STRIDE + 2):
+            for at in (1, size // 2, size - 2):
+                span = "x" * at + "@" + "x" * (size - at - 1)
+                text = "." * offset + span + "." * 150
+                found = {f[:3] for f in pii.model_spans([text], RunTagger())[0]}
+                assert found == {(0, offset, offset + size)}, (size, offset, at)
+
+
+def test_pii_model_adds_short_phone_numbers_to_whole_documents(spark):
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(300)]
+    some = lambda: " ".join(draw.choice(words) for _ in range(12))
+    number = lambda: f"+{draw.randint(1, 9)} {draw.randint(100, 999)} {draw.randint(100, 999)}"
+    tagger = pii.fit(table(spark, [(i, f"{some()} {number()} {draw.randint(1000, 9999)} {some()}", None, None) for i in range(700)]))
+    texts = [(some() + " ", number()) for _ in range(50)]
+    whole = [f"{before}{short} {some()}" for before, short in texts]
+    added = 0
+    for text, (before, short), found in zip(whole, texts, pii.model_spans(whole, tagger)):
+        assert pii.base_spans(text) == []
+        added += ("phone", len(before), len(before) + len(short)) in pii.reconciled(text, [], found)
+    assert added >= 45
