@@ -537,3 +537,73 @@ def test_pii_model_adds_short_phone_numbers_to_whole_documents(spark):
         assert pii.base_spans(text) == []
         added += ("phone", len(before), len(before) + len(short)) in pii.reconciled(text, [], found)
     assert added >= 45
+
+
+def brute_line_dedup(rows):
+    key = lambda l: "".join(c.lower() if "A" <= c <= "Z" else c for c in l.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for doc_id, text in rows:
+        for line in (text or "").split("\n"):
+            holders[key(line)].add(-1 if doc_id is None else doc_id)
+    out = []
+    for doc_id, text in rows:
+        keep = [
+            line for line in (text or "").split("\n")
+            if len(key(line)) < 40 or len(holders[key(line)]) < 5 or (-1 if doc_id is None else doc_id) == max(holders[key(line)])
+        ]
+        out.append((doc_id, None if text is None else "\n".join(keep)))
+    return out
+
+
+def brute_near_dedup(rows):
+    prints = [brute_fingerprint(text) for _, text in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 4 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for g, row in zip(group, rows):
+        if g not in least or (row[0] is None, row[0] or 0) < (least[g][0] is None, least[g][0] or 0):
+            least[g] = row
+    return list(least.values())
+
+
+def brute_decontamination(rows, items):
+    windows = []
+    for item in items:
+        own = words_of(item)
+        windows += [own[s : s + 10] for s in range(max(len(own) - 9, 1) if own else 0)]
+
+    def hit(words):
+        return any(words[p : p + len(w)] == w for w in windows for p in range(len(words) - len(w) + 1))
+
+    return [row for row in rows if not hit(words_of(row[1]))]
+
+
+def test_pipeline_stages_against_brute_force(spark, rows, tmp_path):
+    item = " ".join(words_of(rows[9][1])[3:30])
+    toxic = [(70, "you are an idiot. i will kill you", "en", "s1"), (71, "you scum. you moron", "en", "s2")]
+    civil = [(72, "she said he would never kill them", "en", "s3"), (73, f"before that {item} and after", "en", "s0")]
+    table(spark, [*rows, *toxic, *civil]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = [(1, item), (2, "no document has these words"), (3, None)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [(r[0], r[1]) for r in [*rows, *civil]]  # without labels, the default weights score
+    wanted = [left]
+    for brute in (brute_line_dedup, brute_near_dedup, lambda r: brute_decontamination(r, [i[1] for i in items])):
+        left = brute(left)
+        wanted.append(left)
+    assert wanted[0] != wanted[1] and len(wanted[1]) > len(wanted[2]) > len(wanted[3])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.schema
+    scores = toxicity.toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    assert {r.doc_id for r in scores if r.score >= 0.7} == {70, 71}
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, wanted):
+        after = stage(spark, docs, str(tmp_path))
+        assert collected(after, "doc_id", "text") == sorted(expected, key=repr), name
+        docs = spark.createDataFrame(after.collect(), columns)
+    docs.write.parquet(f"{tmp_path}/left/documents.parquet")
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken")
+    assert differences(mixed, connect(f"{tmp_path}/left"), ORACLE["op4_mixing"]) == []
