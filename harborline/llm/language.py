@@ -6,7 +6,9 @@ padded word, the longest first, and stops at the first length of which any is
 known. A text's score per language is the sum over its words.
 
 The model is fitted on a bounded sample: about ``SAMPLE`` labelled documents of each
-language, chosen by a hash of the doc_id. Everything else covers all rows.
+language, chosen by a hash of the doc_id. Every language is learned: where there are so
+many that the sample would exceed ``TOTAL`` documents, each has fewer, but one at least.
+Everything else covers all rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and
 so is every text if there is nothing to learn from. Rows without a language, a text
@@ -29,14 +31,15 @@ from harborline.llm.common import held_out
 from harborline.session import materialise
 
 SAMPLE = 500
-# The most frequent languages are learned; this bounds the model, not the texts.
-MAX_LANGUAGES = 1000
+TOTAL = 500_000
 LONGEST = 5
 # Words and n-grams of fewer documents of the sample are left to the shorter n-grams.
 MIN_DOCS = 3
 BACKOFF = 0.4
 LETTERS = re.compile(r"[^\W\d_]+")
+# Words whose scores are kept, and numbers these may take up.
 CACHE = 200_000
+CACHE_CELLS = 8_000_000
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -44,18 +47,27 @@ def grams(word: str, size: int) -> list[str]:
     return [padded[i : i + size] for i in range(len(padded) - size + 1)]
 
 
-def sample_rows(docs: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` labelled rows of each language (all of a smaller one)."""
+def sample_rows(docs: DataFrame, per_language: int, total: int = TOTAL) -> DataFrame:
+    """About ``per_language`` labelled rows of each language (all of a smaller one), fewer
+    if all languages together had more than ``total``, and of each that of least hash."""
     labelled = docs.where(
         F.col("text").isNotNull()
         & F.col("lang").isNotNull()
         & F.col("doc_id").isNotNull()
         & ~held_out(F.col("doc_id"))
     ).select("doc_id", "lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    learned = F.broadcast(sizes.orderBy(F.col("rows").desc(), "lang").limit(MAX_LANGUAGES))
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(learned, "lang").where(draw * F.col("rows") < per_language).select("lang", "text")
+    sizes = materialise(
+        labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min(draw).alias("least")),
+        "language-sizes",
+    )
+    share = min(per_language, total / max(sizes.count(), 1))
+    # One row per language.
+    return (
+        labelled.join(F.broadcast(sizes), "lang")
+        .where((draw * F.col("rows") < share) | (draw == F.col("least")))
+        .select("lang", "text")
+    )
 
 
 def count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,10 +85,30 @@ def count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
+class Logs:
+    """Log frequencies per language of the pieces of one size. A language that does not
+    hold a piece has that of half an occurrence, so only the others are stored."""
+
+    def __init__(self, entries: list[list[tuple[int, int]]], languages: int):
+        self.starts = np.concatenate([[0], np.cumsum([len(entry) for entry in entries])]).astype(np.int64)
+        self.places = np.array([place for entry in entries for place, _ in entry], np.int64)
+        counts = np.array([n for entry in entries for _, n in entry], np.float64)
+        sums = 0.5 * len(entries) + np.bincount(self.places, counts, languages)
+        self.least = np.log(0.5) - np.log(np.maximum(sums, 0.5))
+        self.more = np.log(counts + 0.5) - np.log(0.5)
+
+    def mean(self, rows: list[int]) -> np.ndarray:
+        out = self.least.copy()
+        for row in rows:
+            part = slice(self.starts[row], self.starts[row + 1])
+            out[self.places[part]] += self.more[part] / len(rows)
+        return out
+
+
 class Model:
     """Log frequencies per language of words (size 0) and n-grams, a table per size."""
 
-    def __init__(self, languages: list[str], names: list[list[str]], logs: list[np.ndarray]):
+    def __init__(self, languages: list[str], names: list[list[str]], logs: list[Logs]):
         self.languages, self.names, self.logs = languages, names, logs
 
 
@@ -118,16 +150,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, min_docs: int = MIN_DOCS) -
     counts = rows.column("n").to_pylist()
     languages = sorted({lang for entry in counts for lang, _ in entry})
     place = {lang: i for i, lang in enumerate(languages)}
-    matrix = np.zeros((len(names), len(languages)))
-    for row, entry in enumerate(counts):
-        for lang, n in entry:
-            matrix[row, place[lang]] = n
     by_size, logs = [], []
     for size in range(LONGEST + 1):
         rows_of = np.flatnonzero(sizes == size)
-        part = matrix[rows_of] + 0.5
         by_size.append([names[row] for row in rows_of])
-        logs.append(np.log(part / part.sum(axis=0, keepdims=True)) if len(part) else part)
+        logs.append(Logs([[(place[lang], n) for lang, n in counts[row]] for row in rows_of], len(languages)))
     return Model(languages, by_size, logs)
 
 
@@ -137,18 +164,19 @@ class Scores(dict):
     def __init__(self, model: Model):
         self.model = model
         self.known = [{name: row for row, name in enumerate(names)} for names in model.names]
-        self.rows = np.zeros((1024, len(model.languages)))
+        self.cache = max(min(CACHE, CACHE_CELLS // max(len(model.languages), 1)), 1)
+        self.rows = np.zeros((min(1024, self.cache), len(model.languages)))
 
     def score(self, word: str) -> np.ndarray:
         """Log score of one word in each language."""
         row = self.known[0].get(word)
         if row is not None:
-            return self.model.logs[0][row]
+            return self.model.logs[0].mean([row])
         for step, size in enumerate(range(LONGEST, 0, -1), 1):
             known = self.known[size]
             found = [known[piece] for piece in grams(word, size) if piece in known]
             if found:
-                return self.model.logs[size][found].mean(axis=0) + step * np.log(BACKOFF)
+                return self.model.logs[size].mean(found) + step * np.log(BACKOFF)
         return np.zeros(len(self.model.languages))
 
     def __missing__(self, word: str) -> int:
@@ -160,10 +188,15 @@ class Scores(dict):
         return row
 
     def total(self, words: list[str]) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.rows[places].sum(axis=0)
+        found = np.zeros(len(self.model.languages))
+        step = max(self.cache // 2, 1)
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            if len(self) + len(part) > self.cache:
+                self.clear()
+            places = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            found += self.rows[places].sum(axis=0)
+        return found
 
 
 def predict_text(text: str | None, scores: Scores) -> tuple[str, float]:

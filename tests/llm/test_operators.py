@@ -607,3 +607,16 @@ def test_pipeline_stages_against_brute_force(spark, rows, tmp_path):
     docs.write.parquet(f"{tmp_path}/left/documents.parquet")
     mixed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken")
     assert differences(mixed, connect(f"{tmp_path}/left"), ORACLE["op4_mixing"]) == []
+
+
+def test_every_language_is_learned_however_many_there_are(spark):
+    name = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    docs = [(i, f"{name(i % 1100)} {name(i % 1100)}q", f"l{i % 1100:04d}", None) for i in range(6600)]
+    docs += [(7000 + i, "aaa", "l0000", None) for i in range(50)]
+    learned = {lang for i, _, lang, _ in docs if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(learned) > 1050
+    found = {r.doc_id: r.lang_pred for r in language.identify(table(spark, docs), per_language=20, min_docs=1).collect()}
+    assert all(found[i] == lang for i, _, lang, _ in docs if lang in learned)
+    few = language.sample_rows(table(spark, docs), 20, total=1100)
+    assert {r.lang for r in few.collect()} == learned
+    assert few.count() < 2700
