@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from harborline import session
 from harborline.llm import (
+    collocations,
     decontamination,
     language,
     line_dedup,
     merkle,
     mixing,
     pii,
+    quality_trees,
     simhash,
+    spelling,
     substring_dedup,
     toxicity,
     warc,
@@ -132,3 +135,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))

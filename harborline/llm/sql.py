@@ -168,3 +168,94 @@ SELECT doc_id, count(*)::BIGINT AS n_lines,
               FILTER (WHERE keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
 FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id
 """
+
+ORACLE["op11_spelling"] = r"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+keyed AS (
+  SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS digits FROM run),
+-- CRC-32 bit by bit, from the lowest bit of each byte.
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(
+    list_prepend(4294967295::UBIGINT, flatten(list_transform(range(0, len(digits) // 2),
+      lambda i: list_transform(range(0, 8), lambda b: ((('0x' || substr(digits, 2 * i + 1, 2))::UBIGINT >> b) & 1))))),
+    lambda crc, bit: CASE WHEN xor(crc & 1, bit) = 1 THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END
+  )) AS h
+  FROM keyed),
+word AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT c, CASE WHEN h % 199 = 0
+      THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+      ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+less AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS n_other
+  FROM less AS a JOIN less AS b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM less AS a JOIN word AS b ON a.d = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM less AS a JOIN word AS b ON a.d = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, min_by(other, (-n_other, other)) AS other, max(n_other) AS n_other
+  FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN n_other >= 5 * n THEN other END AS form,
+         CASE WHEN n_other >= 5 * n THEN n_other END::BIGINT AS form_n
+  FROM word LEFT JOIN best USING (word)),
+path AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL
+  SELECT path.word, formed.word, formed.form FROM path JOIN formed ON formed.word = path.next)
+SELECT formed.word, formed.form, path.root, formed.n, formed.n_near, formed.form_n
+FROM formed JOIN path ON path.word = formed.word AND path.next IS NULL
+"""
+
+ORACLE["op12_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM piece),
+phrase AS (
+  SELECT lang, size, array_to_string(list_slice(words, s, s + size - 1), ' ') AS phrase
+  FROM (
+    SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS s
+    FROM listed, (SELECT unnest([1, 2, 3]) AS size) WHERE len(words) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM phrase GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidate AS (
+  SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w
+  FROM f WHERE size > 1 AND n >= 10),
+subsumed AS (
+  SELECT DISTINCT s.lang, s.phrase
+  FROM candidate AS s JOIN (
+    SELECT lang, a, array_to_string(w[1:2], ' ') AS part FROM candidate WHERE size = 3
+    UNION ALL
+    SELECT lang, a, array_to_string(w[2:3], ' ') FROM candidate WHERE size = 3) AS longer
+  ON longer.lang = s.lang AND longer.part = s.phrase AND 100 * longer.a >= 50 * s.a),
+cut AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidate)
+  ANTI JOIN subsumed USING (lang, phrase)),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, k, left_part.n AS l, right_part.n AS r,
+         ((1000000::HUGEINT * a * a) // (left_part.n::HUGEINT * right_part.n))::BIGINT AS score
+  FROM cut
+  JOIN f AS left_part ON left_part.lang = cut.lang AND left_part.phrase = cut.first
+  JOIN f AS right_part ON right_part.lang = cut.lang AND right_part.phrase = cut.rest),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, total.n, score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+JOIN total USING (lang) WHERE rank <= 2000
+"""
