@@ -7,6 +7,13 @@ that is needed: their entries are the counts of the extensions, the sum of a one
 prefix's stripe, in which the end of a piece counts as a next word, is the prefix's own
 count, and their greatest entries tell which shorter phrases a longer one subsumes.
 
+Most words and pairs are too rare for any phrase. A sketch of all words and pairs, one
+hashed cell each, is summed over the corpus first; a pair in a cell below ``least`` is
+entered in its stripe as the end of a piece, which leaves the sum right, and words in
+such a cell share one stripe. Cells hold the sum of all that falls into them, so no
+phrase is lost. The sketch has at most ``MAX_CELLS`` cells, whose bits (32 MB) are
+broadcast; it is left out, without a change in results, where the corpus would fill it.
+
 A stripe is cut into parts by a hash of the next word, one part per ``PART_BYTES`` of
 text in all, so no part gathers the next words of the whole corpus, however common its
 prefix is; sums and greatest entries of the parts are combined afterwards.
@@ -26,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,12 +48,16 @@ TOP = 2000
 SCALE = 1_000_000
 PART_BYTES = 64 << 20
 # Text a task counts at a time, and rows it hands on at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 ROWS = 50_000
 # Rows that are ranked in one group, on average.
 GROUP = 1_000_000
 # Stands for the end of a piece among next words; no word holds it.
 END = "\n"
+# Cells of the sketch, and of a block of them that is summed in one place.
+MAX_CELLS = 1 << 28
+BLOCK = 1 << 16
+MOST = (1 << 16) - 1
 STRIPES = "lang string, prefix string, part int, nexts string, counts string"
 COUNTS = "lang string, phrase string, words int, n bigint, longer bigint"
 EXACT = "decimal(38,0)"
@@ -112,25 +124,131 @@ def in_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, ROWS)
 
 
-def stripes_of(batch: pa.RecordBatch, longest: int, parts: int) -> Iterator[pa.RecordBatch]:
+class Text:
+    """Words in turn by number, with their pieces and languages, and hashed cells of
+    words and of pairs that follow each other in a piece."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.words, self.word, self.piece, row = words_of(batch)
+        coded = pc.dictionary_encode(batch.column("lang"))
+        self.langs, self.lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)[row]
+        self.follows = np.append(self.piece[1:] == self.piece[:-1], False)[: len(self.word)]
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of each word and of each pair, the pair's at its first word."""
+        names = [
+            np.array([xxhash.xxh64_intdigest(n) for n in column.cast(pa.binary()).to_pylist()], np.uint64)
+            for column in (self.langs, self.words)
+        ]
+        own = names[1][self.word]
+        single = mixed(names[0][self.lang] + own)
+        pair = mixed(single[:-1] * np.uint64(3) + own[1:])
+        return single, np.append(pair, np.uint64(0))[: len(single)]
+
+
+def mixed(hashed: np.ndarray) -> np.ndarray:
+    """Spreads sums of hashes over all bits, of which cells take the highest."""
+    hashed = (hashed ^ (hashed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def cell_of(hashed: np.ndarray, cells: int) -> np.ndarray:
+    return (hashed >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
+def text_cells(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """How often each cell is hit in a slice of text, packed by block."""
+    for batch in batches:
+        for rows in slices(batch):
+            text = Text(rows)
+            single, pair = text.hashes()
+            hit, counts = np.unique(
+                cell_of(np.concatenate([single, pair[text.follows]]), cells), return_counts=True
+            )
+            starts = starts_of(hit // BLOCK)
+            places = (hit % BLOCK).astype(np.uint16)
+            counts = np.minimum(counts, MOST).astype(np.uint16)
+            runs = list(zip(starts, np.append(starts[1:], len(hit))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((hit // BLOCK)[starts], pa.int32()),
+                    pa.array([places[a:b].tobytes() for a, b in runs], pa.binary()),
+                    pa.array([counts[a:b].tobytes() for a, b in runs], pa.binary()),
+                ],
+                ["block", "places", "counts"],
+            )
+
+
+def summed_cells(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A bit per cell of each block, set where the cell was hit often enough."""
+
+    def bits(block: int, sums: np.ndarray) -> pa.RecordBatch:
+        packed = np.packbits(sums >= min(least, MOST)).tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([packed], pa.binary())], ["block", "bits"]
+        )
+
+    open_block, sums = None, np.zeros(BLOCK, np.int64)
+    for batch in batches:
+        for block, places, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "counts"))):
+            if block != open_block:
+                if open_block is not None:
+                    yield bits(open_block, sums)
+                open_block, sums = block, np.zeros(BLOCK, np.int64)
+            # Places differ within a row.
+            sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint16)
+    if open_block is not None:
+        yield bits(open_block, sums)
+
+
+def frequent_cells(texts: DataFrame, size: int, least: int) -> np.ndarray | None:
+    """Bits of the cells that are hit ``least`` times, for ``size`` bytes of text."""
+    cells = BLOCK
+    while cells < min(size // 8, MAX_CELLS):
+        cells *= 2
+    if size // 8 > cells * least:
+        return None
+    hit = texts.mapInArrow(
+        lambda b: text_cells(b, cells), "block int, places binary, counts binary"
+    )
+    together = hit.repartition("block").sortWithinPartitions("block")
+    found = together.mapInArrow(lambda b: summed_cells(b, least), "block int, bits binary").toArrow()
+    out = np.zeros((cells // BLOCK, BLOCK // 8), np.uint8)
+    for block, bits in zip(found.column("block").to_pylist(), found.column("bits").to_pylist()):
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def stripes_of(batch: pa.RecordBatch, longest: int, parts: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Stripes of all prefixes of fewer than ``longest`` words in some rows of text."""
-    words, word, piece, row = words_of(batch)
+    text = Text(batch)
+    words, word = text.words, text.word
     if not len(word):
         return
-    langs = pc.dictionary_encode(batch.column("lang"))
+    known, linked = np.ones(len(word), bool), text.follows
+    if bits is not None:
+        cells = [cell_of(hashed, 8 * len(bits)) for hashed in text.hashes()]
+        known, pairs = (bits[c >> 3] >> (7 - (c & 7)) & 1 == 1 for c in cells)
+        linked = linked & pairs
     names = pa.concat_arrays([words, pa.array([END], words.type)])
     part_of = np.zeros(len(names), np.int64)
     if parts > 1:
         part_of[:] = [zlib.crc32(name) % parts for name in names.cast(pa.binary()).to_pylist()]
+    # The words that are too rare share one stripe per language.
+    rare = np.bincount(text.lang[~known], minlength=len(text.langs))
+    held = np.flatnonzero(rare)
+    yield striped(
+        text.langs, pa.array([END] * len(rare), pa.string()), held, part_of[np.full(len(held), len(words))],
+        pa.array([END] * len(held), pa.string()), rare[held],
+    )
     # Where prefixes start, and which each is: at first one word of a language.
-    at = np.arange(len(word))
-    codes, prefix = np.unique(langs.indices.to_numpy()[row] * len(words) + word, return_inverse=True)
-    lang = langs.dictionary.take(pa.array(codes // len(words)))
+    at = np.flatnonzero(known)
+    codes, prefix = np.unique(text.lang[at] * len(words) + word[at], return_inverse=True)
+    lang = text.langs.take(pa.array(codes // len(words)))
     phrase = words.take(pa.array(codes % len(words)))
     for length in range(1, longest):
-        follow = np.minimum(at + length, len(word) - 1)
-        inside = (at + length < len(word)) & (piece[follow] == piece[at])
-        after = np.where(inside, word[follow], len(words))
+        inside = linked[at + length - 1]
+        after = np.where(inside, word[np.minimum(at + length, len(word) - 1)], len(words))
         if length > 1:
             at, prefix, after, inside = at[inside], prefix[inside], after[inside], inside[inside]
         entries, place, counts = np.unique(
@@ -148,10 +266,10 @@ def stripes_of(batch: pa.RecordBatch, longest: int, parts: int) -> Iterator[pa.R
         at, prefix = at[inside], place[inside]
 
 
-def text_stripes(batches: Iterator[pa.RecordBatch], longest: int, parts: int) -> Iterator[pa.RecordBatch]:
+def text_stripes(batches: Iterator[pa.RecordBatch], longest: int, parts: int, bits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in slices(batch):
-            yield from stripes_of(rows, longest, parts)
+            yield from stripes_of(rows, longest, parts, bits.value)
 
 
 class Merged:
@@ -245,9 +363,8 @@ def phrase_counts(docs: DataFrame, longest: int = WORDS, least: int = LEAST) ->
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // PART_BYTES), 1)
-    stripes = texts.where("text is not null").mapInArrow(
-        lambda b: text_stripes(b, longest, parts), STRIPES
-    )
+    bits = docs.sparkSession.sparkContext.broadcast(frequent_cells(texts, size, least))
+    stripes = texts.mapInArrow(lambda b: text_stripes(b, longest, parts, bits), STRIPES)
     key = ["lang", "prefix", "part"]
     # Python sees one stripe after the other, so a task never holds more than one.
     together = stripes.repartition(*key).sortWithinPartitions(*key)
