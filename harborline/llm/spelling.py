@@ -53,6 +53,7 @@ SHARE = 1 / 2000
 START, END = "<", ">"
 # Entries a task holds before it hands its counts on.
 HELD = 200_000
+WORDS_A_TASK = 20_000
 
 
 def flushed(counts: Counter, name: str) -> pa.RecordBatch:
@@ -271,8 +272,10 @@ def near_words(
 ) -> DataFrame:
     """(a, n_a, b, n_b): each pair of words (word, n) one edit apart, once."""
     dictionary = words.sparkSession.sparkContext.broadcast(gram_dictionary(words, longest, share))
+    # A word is in some sixty lists: tasks are made by what they write, not by what they read.
+    tasks = max(-(-words.count() // WORDS_A_TASK), 1)
     keyed = materialise(
-        words.mapInArrow(
+        words.repartition(tasks).mapInArrow(
             lambda b: keyed_words(b, dictionary, longest, shortest),
             "list bigint, word string, n bigint, asks boolean",
         ),
