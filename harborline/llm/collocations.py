@@ -1,11 +1,11 @@
 """Mines phrase collocations by the stripes pattern.
 
-A prefix of one or more words keys a stripe, the associative counter of the words that
-come next. Tasks count a slice of text at a time and send stripes, not single pairs;
-stripes of one prefix are merged elementwise where they meet. Merged stripes hold all
-that is needed: their entries are the counts of the extensions, the sum of a one-word
-prefix's stripe, in which the end of a piece counts as a next word, is the prefix's own
-count, and their greatest entries tell which shorter phrases a longer one subsumes.
+A first word keys a stripe, the associative counter of what comes next: the next word,
+and the next words up to the longest phrase. Tasks count a slice of text at a time and
+send stripes, not single pairs; stripes of one word are merged elementwise where they
+meet. Merged stripes hold all that is needed: their entries are the counts of the
+extensions, the sum of their next words, to which the end of a piece belongs, is the
+word's own count, and their longer entries tell which shorter phrases are subsumed.
 
 Most words and pairs are too rare for any phrase. A sketch of all words and pairs, one
 hashed cell each, is summed over the corpus first; a pair in a cell below ``least`` is
@@ -14,9 +14,9 @@ such a cell share one stripe. Cells hold the sum of all that falls into them, so
 phrase is lost. The sketch has at most ``MAX_CELLS`` cells, whose bits (32 MB) are
 broadcast; it is left out, without a change in results, where the corpus would fill it.
 
-A stripe is cut into parts by a hash of the next word, one part per ``PART_BYTES`` of
-text in all, so no part gathers the next words of the whole corpus, however common its
-prefix is; sums and greatest entries of the parts are combined afterwards.
+A stripe is cut into parts by a hash of the next words, one part per ``PART_BYTES`` of
+text in all, so no part gathers what comes next in the whole corpus, however common its
+first word is; sums and greatest entries of the parts are combined afterwards.
 
 Defined results: null texts count as empty and hold no words; a null language counts as
 ``und``, together with documents whose language is ``und``. Repeated rows count each
@@ -46,7 +46,7 @@ LEAST = 10
 SUBSUMED = 50
 TOP = 2000
 SCALE = 1_000_000
-PART_BYTES = 64 << 20
+PART_BYTES = 256 << 20
 # Text a task counts at a time, and rows it hands on at a time.
 SLICE_BYTES = 4 << 20
 ROWS = 50_000
@@ -220,7 +220,7 @@ def frequent_cells(texts: DataFrame, size: int, least: int) -> np.ndarray | None
 
 
 def stripes_of(batch: pa.RecordBatch, longest: int, parts: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Stripes of all prefixes of fewer than ``longest`` words in some rows of text."""
+    """Stripes of the words in some rows of text, with up to ``longest - 1`` next words."""
     text = Text(batch)
     words, word = text.words, text.word
     if not len(word):
@@ -231,39 +231,41 @@ def stripes_of(batch: pa.RecordBatch, longest: int, parts: int, bits: np.ndarray
         known, pairs = (bits[c >> 3] >> (7 - (c & 7)) & 1 == 1 for c in cells)
         linked = linked & pairs
     names = pa.concat_arrays([words, pa.array([END], words.type)])
-    part_of = np.zeros(len(names), np.int64)
+    drawn = np.zeros(len(names), np.int64)
     if parts > 1:
-        part_of[:] = [zlib.crc32(name) % parts for name in names.cast(pa.binary()).to_pylist()]
+        drawn[:] = [zlib.crc32(name) for name in names.cast(pa.binary()).to_pylist()]
     # The words that are too rare share one stripe per language.
     rare = np.bincount(text.lang[~known], minlength=len(text.langs))
     held = np.flatnonzero(rare)
     yield striped(
-        text.langs, pa.array([END] * len(rare), pa.string()), held, part_of[np.full(len(held), len(words))],
+        text.langs, pa.array([END] * len(rare), pa.string()), held, drawn[np.full(len(held), len(words))] % parts,
         pa.array([END] * len(held), pa.string()), rare[held],
     )
-    # Where prefixes start, and which each is: at first one word of a language.
+    # Where phrases start, which each is so far, its first word and what comes next.
     at = np.flatnonzero(known)
-    codes, prefix = np.unique(text.lang[at] * len(words) + word[at], return_inverse=True)
-    lang = text.langs.take(pa.array(codes // len(words)))
-    phrase = words.take(pa.array(codes % len(words)))
+    codes, phrase = np.unique(text.lang[at] * len(words) + word[at], return_inverse=True)
+    first, part, nexts = np.arange(len(codes)), np.zeros(len(codes), np.int64), None
+    found: list[tuple] = []
     for length in range(1, longest):
         inside = linked[at + length - 1]
         after = np.where(inside, word[np.minimum(at + length, len(word) - 1)], len(words))
         if length > 1:
-            at, prefix, after, inside = at[inside], prefix[inside], after[inside], inside[inside]
+            at, phrase, after, inside = at[inside], phrase[inside], after[inside], inside[inside]
         entries, place, counts = np.unique(
-            prefix * len(names) + after, return_inverse=True, return_counts=True
+            phrase * len(names) + after, return_inverse=True, return_counts=True
         )
-        owner, after = entries // len(names), entries % len(names)
-        order = np.lexsort((part_of[after], owner))
-        nexts = names.take(pa.array(after))
-        yield from in_rows(
-            striped(lang, phrase, owner[order], part_of[after[order]], nexts.take(pa.array(order)), counts[order])
-        )
-        # The entries are the prefixes of the next round.
-        owners = pa.array(owner)
-        lang, phrase = lang.take(owners), pc.binary_join_element_wise(phrase.take(owners), nexts, " ")
-        at, prefix = at[inside], place[inside]
+        before, after = entries // len(names), entries % len(names)
+        own = names.take(pa.array(after))
+        nexts = own if nexts is None else pc.binary_join_element_wise(nexts.take(pa.array(before)), own, "\t")
+        first, part = first[before], part[before] * 31 + drawn[after]
+        found.append((first, part, nexts, counts))
+        # Entries are the phrases of the next round.
+        at, phrase = at[inside], place[inside]
+    first, part, counts = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3))
+    order = np.lexsort((part % parts, first))
+    nexts = pa.concat_arrays([f[2] for f in found]).take(pa.array(order))
+    lang, prefix = (column.take(pa.array(code)) for column, code in ((text.langs, codes // len(words)), (words, codes % len(words))))
+    yield from in_rows(striped(lang, prefix, first[order], (part % parts)[order], nexts, counts[order]))
 
 
 def text_stripes(batches: Iterator[pa.RecordBatch], longest: int, parts: int, bits) -> Iterator[pa.RecordBatch]:
@@ -307,30 +309,31 @@ class Merged:
         """Counts of words and of phrases with ``least`` occurrences, and for phrases
         the greatest count of a longer one that begins or ends with them."""
         owner, nexts, counts = self.but_last(last)
-        sizes = pc.add(pc.count_substring(self.prefix, " "), 1).to_numpy(zero_copy_only=False)
-        starts = starts_of(owner) if len(owner) else np.zeros(0, np.int64)
-        sums = np.add.reduceat(counts, starts) if len(owner) else counts
-        whole = owner[starts]
-        single = sizes[whole] == 1
+        more = pc.count_substring(nexts, "\t").to_numpy(zero_copy_only=False)
+        sums = np.zeros(len(self.prefix), np.int64)
+        np.add.at(sums, owner[more == 0], counts[more == 0])
+        held = pa.array(np.flatnonzero(sums))
         kept = (counts >= least) & pc.not_equal(nexts, END).to_numpy(zero_copy_only=False)
-        owner, nexts, counts = owner[kept], nexts.filter(pa.array(kept)), counts[kept]
+        owner, nexts, counts, words = owner[kept], nexts.filter(pa.array(kept)), counts[kept], more[kept] + 2
         lang = self.lang.take(pa.array(owner))
-        phrase = pc.binary_join_element_wise(self.prefix.take(pa.array(owner)), nexts, " ")
-        sizes_of = sizes[owner] + 1
-        long = sizes_of > 2
-        ending = pc.replace_substring_regex(phrase.filter(pa.array(long)), "^[^ ]+ ", "")
+        phrase = pc.binary_join_element_wise(
+            self.prefix.take(pa.array(owner)), pc.replace_substring(nexts, "\t", " "), " "
+        )
+        long = pa.array(words > 2)
+        around = [
+            (lang.filter(long), pc.replace_substring_regex(phrase.filter(long), end, ""), words[words > 2] - 1, None, counts[words > 2])
+            for end in ("^[^ ]+ ", " [^ ]+$")
+        ]
         tables = [
-            (self.lang.take(pa.array(whole[single])), self.prefix.take(pa.array(whole[single])),
-             np.ones(single.sum(), np.int64), sums[single], None),
-            (lang, phrase, sizes_of, counts, None),
-            (lang.filter(pa.array(long)), self.prefix.take(pa.array(owner[long])), sizes_of[long] - 1, None, counts[long]),
-            (lang.filter(pa.array(long)), ending, sizes_of[long] - 1, None, counts[long]),
+            (self.lang.take(held), self.prefix.take(held), np.ones(len(held), np.int32), sums[sums > 0], None),
+            (lang, phrase, words, counts, None),
+            *around,
         ]
         return pa.Table.from_arrays(
             [
                 pa.chunked_array([t[0] for t in tables], pa.string()),
                 pa.chunked_array([t[1] for t in tables], pa.string()),
-                pa.chunked_array([pa.array(t[2], pa.int32()) for t in tables]),
+                pa.chunked_array([pa.array(t[2].astype(np.int32)) for t in tables]),
                 *(
                     pa.chunked_array([
                         pa.nulls(len(t[0]), pa.int64()) if t[i] is None else pa.array(t[i], pa.int64())
