@@ -7,16 +7,11 @@ meet. Merged stripes hold all that is needed: their entries are the counts of th
 extensions, the sum of their next words, to which the end of a piece belongs, is the
 word's own count, and their longer entries tell which shorter phrases are subsumed.
 
-Most words and pairs are too rare for any phrase. A sketch of all words and pairs, one
-hashed cell each, is summed over the corpus first; a pair in a cell below ``least`` is
-entered in its stripe as the end of a piece, which leaves the sum right, and words in
-such a cell share one stripe. Cells hold the sum of all that falls into them, so no
-phrase is lost. The sketch has at most ``MAX_CELLS`` cells, whose bits (32 MB) are
-broadcast; it is left out, without a change in results, where the corpus would fill it.
-
-A stripe is cut into parts by a hash of the next words, one part per ``PART_BYTES`` of
-text in all, so no part gathers what comes next in the whole corpus, however common its
-first word is; sums and greatest entries of the parts are combined afterwards.
+The stripe of a common word is cut into parts by a hash of the next words. How many
+follows from a sketch of the words, ``CELLS`` hashed cells whose sums are at least the
+counts of the words in them: one part for every ``PART_WORDS`` occurrences, rounded up
+to a power of two. So no part gathers what comes next in the whole corpus, and rare words
+stay in one piece. Sums and greatest entries of the parts are combined afterwards.
 
 Defined results: null texts count as empty and hold no words; a null language counts as
 ``und``, together with documents whose language is ``und``. Repeated rows count each
@@ -46,7 +41,7 @@ LEAST = 10
 SUBSUMED = 50
 TOP = 2000
 SCALE = 1_000_000
-PART_BYTES = 256 << 20
+PART_WORDS = 1 << 19
 # Text a task counts at a time, and rows it hands on at a time.
 SLICE_BYTES = 4 << 20
 ROWS = 50_000
@@ -55,9 +50,8 @@ GROUP = 1_000_000
 # Stands for the end of a piece among next words; no word holds it.
 END = "\n"
 # Cells of the sketch, and of a block of them that is summed in one place.
-MAX_CELLS = 1 << 28
+CELLS = 1 << 20
 BLOCK = 1 << 16
-MOST = (1 << 16) - 1
 STRIPES = "lang string, prefix string, part int, nexts string, counts string"
 COUNTS = "lang string, phrase string, words int, n bigint, longer bigint"
 EXACT = "decimal(38,0)"
@@ -124,68 +118,38 @@ def in_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, ROWS)
 
 
-class Text:
-    """Words in turn by number, with their pieces and languages, and hashed cells of
-    words and of pairs that follow each other in a piece."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.words, self.word, self.piece, row = words_of(batch)
-        coded = pc.dictionary_encode(batch.column("lang"))
-        self.langs, self.lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)[row]
-        self.follows = np.append(self.piece[1:] == self.piece[:-1], False)[: len(self.word)]
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit hashes of each word and of each pair, the pair's at its first word."""
-        names = [
-            np.array([xxhash.xxh64_intdigest(n) for n in column.cast(pa.binary()).to_pylist()], np.uint64)
-            for column in (self.langs, self.words)
-        ]
-        own = names[1][self.word]
-        single = mixed(names[0][self.lang] + own)
-        pair = mixed(single[:-1] * np.uint64(3) + own[1:])
-        return single, np.append(pair, np.uint64(0))[: len(single)]
-
-
-def mixed(hashed: np.ndarray) -> np.ndarray:
-    """Spreads sums of hashes over all bits, of which cells take the highest."""
-    hashed = (hashed ^ (hashed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
+def cells_of(words: pa.Array) -> np.ndarray:
+    hashed = [xxhash.xxh64_intdigest(word) for word in words.cast(pa.binary()).to_pylist()]
+    return (np.array(hashed, np.uint64) % np.uint64(CELLS)).astype(np.int64)
 
-def cell_of(hashed: np.ndarray, cells: int) -> np.ndarray:
-    return (hashed >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
-
-def text_cells(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
-    """How often each cell is hit in a slice of text, packed by block."""
+def word_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words of a task fall into each cell, packed by block."""
+    sums = np.zeros(CELLS, np.int64)
     for batch in batches:
         for rows in slices(batch):
-            text = Text(rows)
-            single, pair = text.hashes()
-            hit, counts = np.unique(
-                cell_of(np.concatenate([single, pair[text.follows]]), cells), return_counts=True
-            )
-            starts = starts_of(hit // BLOCK)
-            places = (hit % BLOCK).astype(np.uint16)
-            counts = np.minimum(counts, MOST).astype(np.uint16)
-            runs = list(zip(starts, np.append(starts[1:], len(hit))))
+            words, word, _, _ = words_of(rows)
+            np.add.at(sums, cells_of(words), np.bincount(word, minlength=len(words)))
+    for block, part in enumerate(sums.reshape(-1, BLOCK)):
+        places = np.flatnonzero(part)
+        if len(places):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((hit // BLOCK)[starts], pa.int32()),
-                    pa.array([places[a:b].tobytes() for a, b in runs], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in runs], pa.binary()),
+                    pa.array([block], pa.int32()),
+                    pa.array([places.astype(np.uint16).tobytes()], pa.binary()),
+                    pa.array([part[places].tobytes()], pa.binary()),
                 ],
                 ["block", "places", "counts"],
             )
 
 
-def summed_cells(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """A bit per cell of each block, set where the cell was hit often enough."""
+def summed_cells(batches: Iterator[pa.RecordBatch], part_words: int) -> Iterator[pa.RecordBatch]:
+    """Of each cell of a block the power of two that its words' stripes are cut into."""
 
-    def bits(block: int, sums: np.ndarray) -> pa.RecordBatch:
-        packed = np.packbits(sums >= min(least, MOST)).tobytes()
+    def powers(block: int, sums: np.ndarray) -> pa.RecordBatch:
+        found = np.ceil(np.log2(np.maximum(sums / part_words, 1))).astype(np.uint8)
         return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int32()), pa.array([packed], pa.binary())], ["block", "bits"]
+            [pa.array([block], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["block", "powers"]
         )
 
     open_block, sums = None, np.zeros(BLOCK, np.int64)
@@ -193,57 +157,38 @@ def summed_cells(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
         for block, places, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "counts"))):
             if block != open_block:
                 if open_block is not None:
-                    yield bits(open_block, sums)
+                    yield powers(open_block, sums)
                 open_block, sums = block, np.zeros(BLOCK, np.int64)
             # Places differ within a row.
-            sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint16)
+            sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int64)
     if open_block is not None:
-        yield bits(open_block, sums)
-
-
-def frequent_cells(texts: DataFrame, size: int, least: int) -> np.ndarray | None:
-    """Bits of the cells that are hit ``least`` times, for ``size`` bytes of text."""
-    cells = BLOCK
-    while cells < min(size // 8, MAX_CELLS):
-        cells *= 2
-    if size // 8 > cells * least:
-        return None
-    hit = texts.mapInArrow(
-        lambda b: text_cells(b, cells), "block int, places binary, counts binary"
-    )
+        yield powers(open_block, sums)
+
+
+def part_powers(texts: DataFrame, part_words: int) -> np.ndarray:
+    """A byte per cell: 1 MB, whatever the input."""
+    hit = texts.mapInArrow(word_cells, "block int, places binary, counts binary")
     together = hit.repartition("block").sortWithinPartitions("block")
-    found = together.mapInArrow(lambda b: summed_cells(b, least), "block int, bits binary").toArrow()
-    out = np.zeros((cells // BLOCK, BLOCK // 8), np.uint8)
-    for block, bits in zip(found.column("block").to_pylist(), found.column("bits").to_pylist()):
-        out[block] = np.frombuffer(bits, np.uint8)
+    found = together.mapInArrow(lambda b: summed_cells(b, part_words), "block int, powers binary").toArrow()
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
+    for block, powers in zip(found.column("block").to_pylist(), found.column("powers").to_pylist()):
+        out[block] = np.frombuffer(powers, np.uint8)
     return out.ravel()
 
 
-def stripes_of(batch: pa.RecordBatch, longest: int, parts: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def stripes_of(batch: pa.RecordBatch, longest: int, powers: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stripes of the words in some rows of text, with up to ``longest - 1`` next words."""
-    text = Text(batch)
-    words, word = text.words, text.word
+    words, word, piece, row = words_of(batch)
     if not len(word):
         return
-    known, linked = np.ones(len(word), bool), text.follows
-    if bits is not None:
-        cells = [cell_of(hashed, 8 * len(bits)) for hashed in text.hashes()]
-        known, pairs = (bits[c >> 3] >> (7 - (c & 7)) & 1 == 1 for c in cells)
-        linked = linked & pairs
+    coded = pc.dictionary_encode(batch.column("lang"))
+    langs, lang_of = coded.dictionary, coded.indices.to_numpy().astype(np.int64)[row]
+    linked = np.append(piece[1:] == piece[:-1], False)
     names = pa.concat_arrays([words, pa.array([END], words.type)])
-    drawn = np.zeros(len(names), np.int64)
-    if parts > 1:
-        drawn[:] = [zlib.crc32(name) for name in names.cast(pa.binary()).to_pylist()]
-    # The words that are too rare share one stripe per language.
-    rare = np.bincount(text.lang[~known], minlength=len(text.langs))
-    held = np.flatnonzero(rare)
-    yield striped(
-        text.langs, pa.array([END] * len(rare), pa.string()), held, drawn[np.full(len(held), len(words))] % parts,
-        pa.array([END] * len(held), pa.string()), rare[held],
-    )
+    drawn = np.array([zlib.crc32(name) for name in names.cast(pa.binary()).to_pylist()], np.int64)
     # Where phrases start, which each is so far, its first word and what comes next.
-    at = np.flatnonzero(known)
-    codes, phrase = np.unique(text.lang[at] * len(words) + word[at], return_inverse=True)
+    at = np.arange(len(word))
+    codes, phrase = np.unique(lang_of * len(words) + word, return_inverse=True)
     first, part, nexts = np.arange(len(codes)), np.zeros(len(codes), np.int64), None
     found: list[tuple] = []
     for length in range(1, longest):
@@ -262,16 +207,17 @@ def stripes_of(batch: pa.RecordBatch, longest: int, parts: int, bits: np.ndarray
         # Entries are the phrases of the next round.
         at, phrase = at[inside], place[inside]
     first, part, counts = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3))
-    order = np.lexsort((part % parts, first))
+    part &= (1 << powers[cells_of(words)].astype(np.int64)[codes[first] % len(words)]) - 1
+    order = np.lexsort((part, first))
     nexts = pa.concat_arrays([f[2] for f in found]).take(pa.array(order))
-    lang, prefix = (column.take(pa.array(code)) for column, code in ((text.langs, codes // len(words)), (words, codes % len(words))))
-    yield from in_rows(striped(lang, prefix, first[order], (part % parts)[order], nexts, counts[order]))
+    lang, prefix = langs.take(pa.array(codes // len(words))), words.take(pa.array(codes % len(words)))
+    yield from in_rows(striped(lang, prefix, first[order], part[order], nexts, counts[order]))
 
 
-def text_stripes(batches: Iterator[pa.RecordBatch], longest: int, parts: int, bits) -> Iterator[pa.RecordBatch]:
+def text_stripes(batches: Iterator[pa.RecordBatch], longest: int, powers) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in slices(batch):
-            yield from stripes_of(rows, longest, parts, bits.value)
+            yield from stripes_of(rows, longest, powers.value)
 
 
 class Merged:
@@ -359,15 +305,15 @@ def merged_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         yield from Merged(pa.Table.from_batches([held])).counted(True, least).to_batches()
 
 
-def phrase_counts(docs: DataFrame, longest: int = WORDS, least: int = LEAST) -> DataFrame:
+def phrase_counts(
+    docs: DataFrame, longest: int = WORDS, least: int = LEAST, part_words: int = PART_WORDS
+) -> DataFrame:
     """(lang, phrase, words, n, longer): counts of all words, and of longer phrases with
     ``least`` occurrences; ``longer`` is the greatest count of a phrase of one word more
     around it, among those that have as many."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(-(-size // PART_BYTES), 1)
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_cells(texts, size, least))
-    stripes = texts.mapInArrow(lambda b: text_stripes(b, longest, parts, bits), STRIPES)
+    powers = docs.sparkSession.sparkContext.broadcast(part_powers(texts, part_words))
+    stripes = texts.mapInArrow(lambda b: text_stripes(b, longest, powers), STRIPES)
     key = ["lang", "prefix", "part"]
     # Python sees one stripe after the other, so a task never holds more than one.
     together = stripes.repartition(*key).sortWithinPartitions(*key)
