@@ -41,6 +41,11 @@ def with_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that no name meets an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import ascii_lower, same
+from harborline.llm.common import ascii_lower, same, whole_row
 from harborline.session import materialise
 
 WINDOW = 10
@@ -181,11 +181,12 @@ def decontaminate(
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """The documents that hold no window of any item, with all their columns."""
+    """The documents that hold no window of any item, with all their columns, whatever
+    the names of these."""
     marks = decontaminate(docs.select("doc_id", "text"), items, **settings)
     hit = marks.where(F.col("n_hit") > 0).select(*KEY).distinct().alias("m")
-    rows = docs.withColumn("_hash", text_hash()).alias("d")
+    rows = docs.select(whole_row(docs), "doc_id", text_hash().alias("text_hash")).alias("d")
     condition = same(
-        (F.col("d.doc_id"), F.col("m.doc_id")), (F.col("d._hash"), F.col("m.text_hash"))
+        (F.col("d.doc_id"), F.col("m.doc_id")), (F.col("d.text_hash"), F.col("m.text_hash"))
     )
-    return rows.join(hit, condition, "left_anti").select(*docs.columns)
+    return rows.join(hit, condition, "left_anti").select("row.*")

@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harborline.llm.common import SPACES, ascii_lower, same
+from harborline.llm.common import SPACES, ascii_lower, same, whole_row
 from harborline.session import materialise
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-# Parts of one key, so that a line of a third of all documents is shared out.
-SALTS = 64
+# A key has one part per this many lines in all, so that a line of a third of all
+# documents is shared out however many there are.
+LINES_A_PART = 50_000
 WORD = 64
 
 
@@ -82,9 +83,9 @@ def drop_bitmaps(
     A word that is not in the map has no dropped line; a set bit drops its line.
     Documents are named by doc_id and the hash of their text.
     """
-    lines = materialise(line_hashes(docs, min_chars), "line-hashes").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    )
+    hashes = materialise(line_hashes(docs, min_chars), "line-hashes")
+    salts = max(-(-hashes.count() // LINES_A_PART), 1)
+    lines = hashes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     dropped = lines.join(repeated_keys(lines, min_docs), ["h1", "h2", "salt"]).where(
         ~F.col("doc_id").eqNullSafe(F.col("keeper"))
     )
@@ -137,11 +138,13 @@ def without_repeated_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 ) -> DataFrame:
     """All documents with their columns, the text without the dropped lines. Where the
-    table has ``n_chars``, it is the new text's number of code points."""
-    kept = with_kept_lines(docs, drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    table has ``n_chars``, it is the new text's number of code points. Other columns may
+    have any names and stay as they are."""
+    rows = docs.select(whole_row(docs), "doc_id", "text")
+    kept = with_kept_lines(rows, drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
     text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
-    rows = kept.withColumn("text", text)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
-    return rows.select(*docs.columns)
+        size = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.coalesce(size, F.col("row.n_chars"))
+    return kept.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

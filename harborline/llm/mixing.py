@@ -51,7 +51,12 @@ def weighted_sources(sizes: DataFrame, weights: Sequence[int]) -> DataFrame:
 def water_fill(sources: DataFrame, share: tuple[int, int], max_epochs: int) -> DataFrame:
     """Adds each source's target. Only totals over all sources reach the driver."""
     up, down = share
-    cap = F.col("source_size") * max_epochs
+    # Products of sizes and weights pass 64 bits.
+    def exact(number: Column | int) -> Column:
+        return (number if isinstance(number, Column) else F.lit(str(number))).cast("decimal(38,0)")
+
+    cap = exact(F.col("source_size")) * max_epochs
+    weight = exact(F.col("weight"))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     goal = up * total  # in units of 1/down word
     filled, left_weight = 0, None
@@ -63,19 +68,19 @@ def water_fill(sources: DataFrame, share: tuple[int, int], max_epochs: int) -> D
         elif left_weight == 0:
             full = F.lit(True)
         else:
-            part = F.col("weight") * F.lit(goal - filled)
-            full = part >= cap * down * F.lit(left_weight)
+            part = weight * exact(goal - filled)
+            full = part >= cap * down * exact(left_weight)
         row = sources.agg(
-            F.coalesce(F.sum(F.when(full, cap * down)), F.lit(0)).alias("filled"),
-            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("weight"),
+            F.coalesce(F.sum(F.when(full, exact(cap * down))), exact(0)).alias("filled"),
+            F.coalesce(F.sum(F.when(~full, weight)), exact(0)).alias("weight"),
         ).first()
         if (row.filled, row.weight) == (filled, left_weight):
             break
-        filled, left_weight = row.filled, row.weight
+        filled, left_weight = int(row.filled), int(row.weight)
     if left_weight == 0:
         target = cap.cast("double")
     else:
-        part = F.col("weight") * F.lit(goal - filled)
+        part = weight * exact(goal - filled)
         target = F.when(full, cap.cast("double")).otherwise(
             part.cast("double") / F.lit(float(down * left_weight))
         )

@@ -21,6 +21,7 @@ Positions are code points. Other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +76,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     found = [(a, 0, b) for a, b in emails(text)]
     for match in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match.groups()):
+        if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in match.groups()):
             found.append((match.start(), 1, match.end()))
     for match in CARD.finditer(text):
         digits = [int(c) for c in match[0] if c not in " -"]
@@ -304,13 +305,21 @@ def reconciled(
     text: str, base: list[tuple[str, int, int]], found: list[tuple[int, int, int, float]]
 ) -> list[tuple[str, int, int]]:
     """Base spans and, surest first, the model's that overlap none taken before."""
-    taken = sorted((start, end) for _, start, end in base)
+    starts, ends = [], []  # of what is taken, apart from each other and in order
+    for start, end in sorted((start, end) for _, start, end in base):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     spans = [(start, KINDS.index(kind), end) for kind, start, end in base]
     for kind, start, end, sure in sorted(set(found), key=lambda f: (-f[3], f[1], f[0], f[2])):
         if sure < SURE or not plausible(kind, text[start:end]):
             continue
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
+        place = bisect_left(starts, end)
+        if not place or ends[place - 1] <= start:
+            starts.insert(place, start)
+            ends.insert(place, end)
             spans.append((start, kind, end))
     return [(KINDS[kind], start, end) for start, kind, end in sorted(spans)]
 

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harborline.llm.common import whole_row
 from harborline.llm.components import least_members
 from harborline.session import materialise
 
@@ -37,6 +38,7 @@ RADIUS = 4
 SEED = 42
 BITS = 64
 CHUNK = 4096
+VARIANTS_A_TASK = 500_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -155,14 +157,20 @@ def met(fingerprints: DataFrame, balls: list[tuple[int, np.ndarray]]) -> DataFra
     return rows.repartition("variant").sortWithinPartitions("variant", "fp")
 
 
+def spread(fingerprints: DataFrame, balls: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """As many tasks as the variants need, not as the fingerprints do."""
+    variants_of_one = sum(len(masks) for _, masks in balls)
+    tasks = max(-(-fingerprints.count() * variants_of_one // VARIANTS_A_TASK), 1)
+    return fingerprints.repartition(tasks, "fp")
+
+
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` within the radius."""
     if radius < 0 or radius % 2:
         raise ValueError("the radius is an even number of bits, so that balls meet halfway")
-    spread = fingerprints.repartition("fp")
-    possible = met(spread, thirds(radius)).mapInArrow(partnered, "fp bigint").distinct()
-    possible = materialise(possible, "possible-fingerprints").repartition("fp")
-    whole = [((1 << BITS) - 1, ball(list(range(BITS)), radius // 2))]
+    first, whole = thirds(radius), [((1 << BITS) - 1, ball(list(range(BITS)), radius // 2))]
+    possible = met(spread(fingerprints, first), first).mapInArrow(partnered, "fp bigint").distinct()
+    possible = spread(materialise(possible, "possible-fingerprints"), whole)
     return met(possible, whole).mapInArrow(lambda b: verified(b, radius), "a bigint, b bigint").distinct()
 
 
@@ -203,7 +211,7 @@ def one_per_component(
 ) -> DataFrame:
     """The documents that stay, with all their columns: of each component the row with
     the least doc_id (nulls last) and, where rows share it, the least hash of the text.
-    Rows equal in both stay once."""
+    Rows equal in both stay once. Columns may have any names."""
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     least = near_duplicates(docs, shingle, radius).groupBy("root").agg(F.min(place).alias("least"))
     keep = least.select(
@@ -211,9 +219,10 @@ def one_per_component(
         F.xxhash64(F.col("least.doc_id").isNull(), "least.text_hash").alias("_hash"),
     )
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)),
-        "_hash": F.xxhash64(F.col("doc_id").isNull(), text_hash),
-    })
+    rows = docs.select(
+        whole_row(docs),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"),
+        F.xxhash64(F.col("doc_id").isNull(), text_hash).alias("_hash"),
+    )
     kept = rows.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
