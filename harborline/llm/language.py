@@ -40,6 +40,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 # Words whose scores are kept, and numbers these may take up.
 CACHE = 200_000
 CACHE_CELLS = 8_000_000
+# Texts whose unseen words are scored together.
+TOGETHER = 32
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -97,11 +99,21 @@ class Logs:
         self.least = np.log(0.5) - np.log(np.maximum(sums, 0.5))
         self.more = np.log(counts + 0.5) - np.log(0.5)
 
-    def mean(self, rows: list[int]) -> np.ndarray:
-        out = self.least.copy()
-        for row in rows:
-            part = slice(self.starts[row], self.starts[row + 1])
-            out[self.places[part]] += self.more[part] / len(rows)
+    def table(self) -> np.ndarray:
+        """All log frequencies, a row per piece."""
+        size = len(self.starts) - 1
+        out = np.tile(self.least, (size, 1))
+        out[np.repeat(np.arange(size), np.diff(self.starts)), self.places] += self.more
+        return out
+
+    def means(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Mean log frequencies of consecutive runs of pieces, one per start."""
+        sizes = np.diff(np.append(starts, len(rows)))
+        out = np.tile(self.least, (len(starts), 1))
+        entries = self.starts[rows + 1] - self.starts[rows]
+        places = np.repeat(self.starts[rows + 1] - np.cumsum(entries), entries) + np.arange(entries.sum())
+        run = np.repeat(np.repeat(np.arange(len(starts)), sizes), entries)
+        np.add.at(out, (run, self.places[places]), self.more[places] / sizes[run])
         return out
 
 
@@ -159,48 +171,89 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, min_docs: int = MIN_DOCS) -
 
 
 class Scores(dict):
-    """Row numbers of words in a growing table of scores."""
+    """Row numbers of words in a table of scores; the oldest words make room for new ones."""
 
     def __init__(self, model: Model):
         self.model = model
         self.known = [{name: row for row, name in enumerate(names)} for names in model.names]
-        self.cache = max(min(CACHE, CACHE_CELLS // max(len(model.languages), 1)), 1)
+        languages = max(len(model.languages), 1)
+        # Few languages: whole tables, which one gather reads.
+        cells = sum(map(len, model.names)) * languages
+        self.tables = [logs.table() for logs in model.logs] if cells <= CACHE_CELLS else None
+        self.cache = max(min(CACHE, CACHE_CELLS // languages), 1)
         self.rows = np.zeros((min(1024, self.cache), len(model.languages)))
 
-    def score(self, word: str) -> np.ndarray:
-        """Log score of one word in each language."""
+    def pieces(self, word: str) -> tuple[int, list[int]]:
+        """The longest size of which any piece of the word is known, and those pieces."""
         row = self.known[0].get(word)
         if row is not None:
-            return self.model.logs[0].mean([row])
-        for step, size in enumerate(range(LONGEST, 0, -1), 1):
+            return 0, [row]
+        for size in range(LONGEST, 0, -1):
             known = self.known[size]
             found = [known[piece] for piece in grams(word, size) if piece in known]
             if found:
-                return self.model.logs[size].mean(found) + step * np.log(BACKOFF)
-        return np.zeros(len(self.model.languages))
+                return size, found
+        return -1, []
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log scores of words in each language, all words of a size at once."""
+        out = np.zeros((len(words), len(self.model.languages)))
+        by_size: dict[int, tuple[list, list, list]] = {}
+        for place, word in enumerate(words):
+            size, found = self.pieces(word)
+            if found:
+                places, rows, starts = by_size.setdefault(size, ([], [], []))
+                places.append(place)
+                starts.append(len(rows))
+                rows += found
+        for size, (places, rows, starts) in by_size.items():
+            rows, starts = np.array(rows, np.int64), np.array(starts, np.int64)
+            if self.tables is None:
+                means = self.model.logs[size].means(rows, starts)
+            else:
+                sizes = np.diff(np.append(starts, len(rows)))
+                means = np.add.reduceat(self.tables[size][rows], starts) / sizes[:, None]
+            back = LONGEST - size + 1 if size else 0
+            out[places] = means + back * np.log(BACKOFF)
+        return out
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.rows):
+    def learn(self, words: list[str]) -> None:
+        """Adds words that are not held, at most half of what the cache holds."""
+        if len(self) + len(words) > self.cache:
+            kept = list(self)[-(self.cache - self.cache // 2) :] if self.cache > 1 else []
+            kept = kept[len(words) + len(kept) - self.cache :] if len(words) + len(kept) > self.cache else kept
+            self.rows[: len(kept)] = self.rows[[self[word] for word in kept]]
+            self.clear()
+            self.update(zip(kept, range(len(kept))))
+        while len(self) + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[row] = self.score(word)
-        self[word] = row
-        return row
+        at = len(self)
+        self.rows[at : at + len(words)] = self.score(words)
+        self.update(zip(words, range(at, at + len(words))))
 
     def total(self, words: list[str]) -> np.ndarray:
         found = np.zeros(len(self.model.languages))
         step = max(self.cache // 2, 1)
         for at in range(0, len(words), step):
             part = words[at : at + step]
-            if len(self) + len(part) > self.cache:
-                self.clear()
+            new = list({word: None for word in part if word not in self})
+            if new:
+                self.learn(new)
+                # What made room may be of this part itself.
+                new = list({word: None for word in part if word not in self})
+                if new:
+                    self.clear()
+                    self.learn(list(dict.fromkeys(part)))
             places = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
             found += self.rows[places].sum(axis=0)
         return found
 
 
-def predict_text(text: str | None, scores: Scores) -> tuple[str, float]:
-    words = LETTERS.findall(text.lower()) if text else []
+def words_in(text: str | None) -> list[str]:
+    return LETTERS.findall(text.lower()) if text else []
+
+
+def predict(words: list[str], scores: Scores) -> tuple[str, float]:
     if not words or not scores.model.languages:
         return "und", 0.0
     total = scores.total(words)
@@ -211,7 +264,14 @@ def predict_text(text: str | None, scores: Scores) -> tuple[str, float]:
 def predict_partition(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     scores = Scores(model.value)
     for batch in batches:
-        found = [predict_text(t.as_py(), scores) for t in batch.column("text")]
+        found = []
+        for at in range(0, batch.num_rows, TOGETHER):
+            words = [words_in(t.as_py()) for t in batch.column("text").slice(at, TOGETHER)]
+            new = list({word: None for text in words for word in text if word not in scores})
+            # The unseen words of some texts are scored together, where they fit.
+            if 2 * len(new) <= scores.cache:
+                scores.learn(new)
+            found += [predict(text, scores) for text in words]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
