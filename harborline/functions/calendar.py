@@ -1,18 +1,25 @@
-"""Business calendar, holiday-aware day counts and the date dimension."""
+"""Business-day counts, the date dimension and the business calendar.
+
+Business days are counted by a closed form of the two dates alone: whole weeks and
+weekdays up to each date, less the holidays up to it. No table is joined, no bounds of
+the dates have to be known, and any date has a count. The calendar table serves the SQL
+path, so that the two paths count by different means.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harborline.functions.columns import guarded
+from harborline import config
 
-# A calendar is broadcast, so its length is bounded: about 270 years.
-MAX_DAYS = 100_000
+# A Monday, from which weekdays are counted.
+MONDAY = dt.date(1970, 1, 5)
 
 
 def is_weekend(date: Column) -> Column:
@@ -20,19 +27,108 @@ def is_weekend(date: Column) -> Column:
     return F.weekday(date) >= 5
 
 
+def weekdays_through(date: Column) -> Column:
+    """Weekdays from a fixed Monday up to and including ``date``."""
+    days = F.datediff(date, F.lit(MONDAY))
+    return F.floor(days / 7) * 5 + F.least(F.pmod(days, F.lit(7)) + 1, F.lit(5))
+
+
+def _observed(year: Column, month: int, day: int) -> Column:
+    """A fixed holiday, on Friday or Monday where it falls on a weekend."""
+    date = F.make_date(year, F.lit(month), F.lit(day))
+    shift = F.when(F.weekday(date) == 5, -1).when(F.weekday(date) == 6, 1).otherwise(0)
+    return F.date_add(date, shift)
+
+
+def _nth_weekday(year: Column, month: int, weekday: int, nth: int) -> Column:
+    first = F.make_date(year, F.lit(month), F.lit(1))
+    if nth < 0:
+        end = F.last_day(first)
+        return F.date_sub(end, F.pmod(F.weekday(end) - (weekday - 1), F.lit(7)))
+    return F.date_add(first, F.pmod(F.lit(weekday - 1) - F.weekday(first), F.lit(7)) + 7 * (nth - 1))
+
+
+def federal_holidays_through(date: Column) -> Column:
+    """Observed federal holidays up to and including ``date``, from a fixed start.
+
+    Every holiday is observed on one weekday, so a year has as many as there are rules;
+    only those of the date's own year are compared, and the next New Year's Day, which
+    may be observed on 31 December.
+    """
+    year = F.year(date)
+
+    def passed(holiday: Column) -> Column:
+        return (holiday <= date).cast("int")
+
+    before = year * (len(config.FIXED_HOLIDAYS) + len(config.FLOATING_HOLIDAYS))
+    own = [passed(_observed(year, month, day)) for month, day in config.FIXED_HOLIDAYS]
+    own += [passed(_nth_weekday(year, *rule)) for rule in config.FLOATING_HOLIDAYS]
+    for since, month, day in config.LATER_HOLIDAYS:
+        before = before + F.greatest(year - since, F.lit(0))
+        own.append(F.when(year >= since, passed(_observed(year, month, day))).otherwise(0))
+    next_year = F.date_add(F.make_date(year, F.lit(12), F.lit(31)), 1)
+    eve = (F.dayofmonth(date) == 31) & (F.month(date) == 12) & (F.weekday(next_year) == 5)
+    return reduce(lambda x, y: x + y, own, before) + eve.cast("int")
+
+
+def listed_holidays_through(date: Column, holidays: Iterable[dt.date]) -> Column:
+    """Listed weekdays up to and including ``date``: its place in the sorted list.
+
+    The list is cut by year, so only the dates of one year are compared.
+    """
+    days = sorted({day for day in holidays if day.isoweekday() <= 5})
+    if not days:
+        return F.lit(0)
+    first, last = days[0].year, days[-1].year
+    by_year = [[day for day in days if day.year == year] for year in range(first, last + 1)]
+    before, entries = 0, []
+    for own in by_year:
+        dates = ", ".join(f"DATE '{day.isoformat()}'" for day in own)
+        entries.append(f"named_struct('before', {before}, 'days', cast(array({dates}) AS array<date>))")
+        before += len(own)
+    entry = F.get(F.expr(f"array({', '.join(entries)})"), F.year(date) - first)
+    inside = entry["before"] + F.size(F.filter(entry["days"], lambda day: day <= date))
+    return F.when(F.year(date) < first, 0).when(F.year(date) > last, before).otherwise(inside)
+
+
+def business_days_through(date: Column, holidays: Iterable[dt.date] | None = None) -> Column:
+    """Business days up to and including ``date``, from a fixed start."""
+    if holidays is None:
+        return weekdays_through(date) - federal_holidays_through(date)
+    return weekdays_through(date) - listed_holidays_through(date, holidays)
+
+
+def with_business_days(
+    df: DataFrame,
+    holidays: Iterable[dt.date] | None = None,
+    start: str = "order_date",
+    end: str = "ship_date",
+    name: str = "business_days_to_ship",
+) -> DataFrame:
+    """Count business days after ``start`` up to and including ``end``.
+
+    Holidays are the observed federal ones of any year unless they are listed. An end
+    before the start has no defined count here and gives null, as does a missing date.
+    """
+    holidays = None if holidays is None else list(holidays)
+    first, last = (business_days_through(F.col(date), holidays) for date in (start, end))
+    count = F.when(F.col(end) >= F.col(start), (last - first).cast("int"))
+    return df.withColumn(name, count).select(*df.columns, name)
+
+
 def business_calendar(
     spark: SparkSession, first: dt.date, last: dt.date, holidays: Iterable[dt.date]
 ) -> DataFrame:
     """(date, business_index): business days passed up to and including each day."""
     days = (last - first).days + 1
-    if not 0 < days <= MAX_DAYS:
-        raise ValueError(f"calendar of {days} days; expected 1 to {MAX_DAYS}")
+    if days < 1:
+        raise ValueError(f"calendar from {first} to {last}")
     date = F.date_add(F.lit(first), F.col("id").cast("int"))
     open_day = ~is_weekend(F.col("date"))
-    closed = ", ".join(f"DATE '{day:%Y-%m-%d}'" for day in holidays)
+    closed = ", ".join(f"DATE '{day.isoformat()}'" for day in holidays)
     if closed:
         open_day = open_day & F.expr(f"date NOT IN ({closed})")
-    # One ordered range of bounded length: the running sum needs no exchange.
+    # One row per day between the dates: the running sum needs no exchange.
     running = W.orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         spark.range(0, days, 1, 1)
@@ -41,35 +137,6 @@ def business_calendar(
     )
 
 
-def with_business_days(
-    df: DataFrame,
-    calendar: DataFrame,
-    start: str = "order_date",
-    end: str = "ship_date",
-    name: str = "business_days_to_ship",
-) -> DataFrame:
-    """Count business days after ``start`` up to and including ``end``.
-
-    A date outside the calendar fails the job instead of losing the row. An end
-    before the start has no defined count here and gives null.
-    """
-
-    def lookup(date: str, index: str) -> DataFrame:
-        return F.broadcast(
-            calendar.select(F.col("date").alias(date), F.col("business_index").alias(index))
-        )
-
-    joined = df.join(lookup(start, "_start_index"), start, "left")
-    joined = joined.join(lookup(end, "_end_index"), end, "left")
-    in_order = F.col(end) >= F.col(start)
-    for date, index in ((start, "_start_index"), (end, "_end_index")):
-        found = F.col(index).isNotNull() | ~F.coalesce(in_order, F.lit(False))
-        message = F.concat(F.lit(f"{date} outside the business calendar: "), F.col(date))
-        joined = guarded(joined, found, message)
-    count = F.col("_end_index") - F.col("_start_index")
-    return joined.withColumn(name, F.when(in_order, count)).select(*df.columns, name)
-
-
 def date_bounds(df: DataFrame, *dates: str) -> DataFrame:
     """One row with the first and last date over several columns."""
     columns = [F.col(c) for c in dates]
@@ -86,10 +153,7 @@ def date_key(date: str | Column) -> Column:
 
 def date_dimension(bounds: DataFrame) -> DataFrame:
     """One row per day without gaps between the bounds."""
-    too_long = F.datediff("last_date", "first_date") >= MAX_DAYS
-    message = F.lit(f"dates span more than {MAX_DAYS} days")
-    last = F.when(too_long, F.raise_error(message).cast("date")).otherwise(F.col("last_date"))
-    days = bounds.select(F.explode(F.sequence("first_date", last)).alias("date"))
+    days = bounds.select(F.explode(F.sequence("first_date", "last_date")).alias("date"))
     date = F.col("date")
     return days.select(
         date_key(date).alias("date_key"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,18 +53,23 @@ def order_facts(lines: DataFrame, fields: Sequence[str], ship: str = "ship_date"
     )
 
 
-def with_sla(orders: DataFrame, calendar: DataFrame, table: DataFrame) -> DataFrame:
+def with_sla(
+    orders: DataFrame, table: DataFrame, holidays: Iterable[dt.date] | None = None
+) -> DataFrame:
     """Add calendar days, business days, allowed days, variance and late flag."""
     counted = with_business_days(
         orders.withColumn("calendar_days_to_ship", days_between("order_date", "ship_date")),
-        calendar,
+        holidays,
     )
     return scenarios.with_threshold(counted, scenarios.days_of(table, "base"))
 
 
 def build_orders(
-    lines: DataFrame, calendar: DataFrame, table: DataFrame, check: bool = True
+    lines: DataFrame,
+    table: DataFrame,
+    holidays: Iterable[dt.date] | None = None,
+    check: bool = True,
 ) -> DataFrame:
     """The order fact: order-level fields plus the five derived ones."""
     orders = collapse(lines, check=check)
-    return with_sla(orders, calendar, table).select(*schema.FACT_ORDERS)
+    return with_sla(orders, table, holidays).select(*schema.FACT_ORDERS)

@@ -110,20 +110,63 @@ def require_consistent(df: DataFrame, keys: Sequence[str], fields: Sequence[str]
     return df
 
 
+def _fingerprint(fields: Sequence[str], seed: int) -> Column:
+    """64 bits of the combination of fields, null being a value."""
+    return F.xxhash64(F.lit(seed), *[F.col(f).isNull() for f in fields], *[F.col(f) for f in fields])
+
+
 def report(
     df: DataFrame, modes: DataFrame, expected_rows: int | None = None
 ) -> DataFrame:
-    """(check_name, violations) of the whole contract."""
-    keyed = {
-        "row_id_duplicated": duplicate_keys(df, ["row_id"]),
-        "unknown_ship_modes": unknown_values(df, "ship_mode", modes),
-        "inconsistent_orders": inconsistent_groups(df, ["order_id"], schema.ORDER_FIELDS),
-    }
-    result = row_checks(df, expected_rows)
-    for name, offenders in keyed.items():
-        counted = offenders.agg(F.count(F.lit(1)).alias(name))
-        result = result.unionByName(_as_rows(counted, "check_name"))
-    return result
+    """(check_name, violations) of the whole contract, from one pass over the rows.
+
+    Each row goes into one aggregation under four tags: with its row-level violations,
+    and with its row id, its mode, and its order and two fingerprints of the order's
+    fields. Tags and keys are combined before the one exchange, which carries no other
+    column. An order is inconsistent when the least and greatest of a fingerprint differ.
+    """
+    conditions = row_conditions(df.columns)
+    flags = {f"_flag_{i}": condition for i, condition in enumerate(conditions.values())}
+    narrow = df.select(
+        F.col("row_id").cast("string").alias("_row"),
+        F.col("ship_mode").cast("string").alias("_mode"),
+        F.col("order_id").cast("string").alias("_order"),
+        _fingerprint(schema.ORDER_FIELDS, 0).alias("_a"),
+        _fingerprint(schema.ORDER_FIELDS, 1).alias("_b"),
+        *[condition.alias(name) for name, condition in flags.items()],
+    )
+
+    def tagged(tag: str, key: Column, rows: bool = False, order: bool = False) -> Column:
+        return F.struct(
+            F.lit(tag).alias("tag"), key.cast("string").alias("key"),
+            *[(F.col(c) if order else F.lit(None).cast("bigint")).alias(c) for c in ("_a", "_b")],
+            *[(F.col(c) if rows else F.lit(None).cast("boolean")).alias(c) for c in flags],
+        )
+
+    tags = F.array(
+        tagged("row", F.lit(None), rows=True),
+        tagged("row_id", F.col("_row")),
+        tagged("mode", F.col("_mode")),
+        tagged("order", F.col("_order"), order=True),
+    )
+    folded = narrow.select(F.inline(tags)).groupBy("tag", "key").agg(
+        F.count(F.lit(1)).alias("copies"),
+        ((F.min("_a") != F.max("_a")) | (F.min("_b") != F.max("_b"))).alias("differs"),
+        *[F.count_if(c).alias(c) for c in flags],
+    )
+    known = modes.select(F.col("ship_mode").alias("key"), F.lit("mode").alias("tag"), F.lit(True).alias("known"))
+    # The known modes are a handful of rows.
+    judged = folded.join(F.broadcast(known.distinct()), ["tag", "key"], "left")
+    rows = F.coalesce(F.sum(F.when(F.col("tag") == "row", F.col("copies"))), F.lit(0))
+    counts = {"row_count": rows}
+    if expected_rows is not None:
+        counts["row_count_difference"] = F.abs(rows - F.lit(expected_rows))
+    for name, flag in zip(conditions, flags):
+        counts[name] = F.coalesce(F.sum(F.when(F.col("tag") == "row", F.col(flag))), F.lit(0))
+    counts["row_id_duplicated"] = F.count_if((F.col("tag") == "row_id") & (F.col("copies") > 1))
+    counts["unknown_ship_modes"] = F.count_if((F.col("tag") == "mode") & F.col("known").isNull())
+    counts["inconsistent_orders"] = F.count_if((F.col("tag") == "order") & F.col("differs"))
+    return _as_rows(judged.agg(*[c.alias(name) for name, c in counts.items()]), "check_name")
 
 
 # The order in which violations are raised.

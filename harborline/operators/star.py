@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline import schema
-from harborline.functions.calendar import date_bounds, date_dimension
+from harborline.functions.calendar import date_bounds, date_dimension, date_key
 from harborline.functions.columns import guarded
 from harborline.operators import quality
 from harborline.operators.keys import dense_key
+from harborline.session import materialise
 
 # Dimension -> (surrogate key, natural columns, attributes).
 DIMENSIONS = {
@@ -21,6 +23,14 @@ DIMENSIONS = {
     "dim_ship_mode": ("ship_mode_key", ["ship_mode"], []),
 }
 
+# Dimensions whose keys an order carries, and those that a line carries by itself.
+OF_ORDERS = ["dim_customer", "dim_location", "dim_ship_mode"]
+OF_PRODUCTS = ["dim_product"]
+
+
+def natural_columns(names: Sequence[str]) -> list[str]:
+    return [column for name in names for column in DIMENSIONS[name][1]]
+
 
 def build_dimension(lines: DataFrame, name: str) -> DataFrame:
     """Distinct natural keys with attributes, numbered in natural order."""
@@ -47,12 +57,11 @@ def _with_key(fact: DataFrame, dimension: DataFrame, natural: Sequence[str], key
     return fact.join(side, condition, "left").drop(*names.values())
 
 
-def with_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
-    """Add the integer keys of the order and the ship date."""
+def with_dates(df: DataFrame) -> DataFrame:
+    """Add the integer keys of the order and the ship date, which follow from the dates;
+    the date dimension holds every day between them."""
     for role in ("order_date", "ship_date"):
-        side = dates.select(F.col("date").alias(role), F.col("date_key").alias(f"{role}_key"))
-        # One row per calendar day, so small at any data volume.
-        df = df.join(F.broadcast(side), role, "left")
+        df = df.withColumn(f"{role}_key", date_key(role))
     return df
 
 
@@ -76,9 +85,54 @@ def fact_columns(df: DataFrame) -> DataFrame:
     return guarded(df, found, message).select(*schema.STAR_FACT)
 
 
+def code(columns: Sequence[str], seed: int) -> Column:
+    """128 bits of a tuple in which nulls are values."""
+    absent = [F.col(c).isNull() for c in columns]
+    halves = [F.xxhash64(F.lit(2 * seed + half), *absent, *[F.col(c) for c in columns]) for half in (0, 1)]
+    return F.struct(halves[0].alias("high"), halves[1].alias("low"))
+
+
+def dictionary(
+    tuples: DataFrame, tables: dict[str, DataFrame], names: Sequence[str]
+) -> tuple[DataFrame, int]:
+    """(code, surrogate keys) of every tuple of natural columns, and the codes' seed.
+
+    ``tuples`` holds all tuples that occur. Where two of them share a code, the next
+    seed is taken, so within this table a code stands for one tuple and no other.
+    """
+    natural = natural_columns(names)
+    distinct = tuples.select(*natural).distinct()
+    for seed in count():
+        coded = distinct.withColumn("code", code(natural, seed))
+        if quality.duplicate_keys(coded, ["code"]).isEmpty():
+            break
+    keys = [DIMENSIONS[name][0] for name in names]
+    return with_keys(coded, tables, *names).select("code", *keys), seed
+
+
+def fact_from(
+    lines: DataFrame, tables: dict[str, DataFrame], tuples: dict[tuple[str, ...], DataFrame]
+) -> DataFrame:
+    """Order lines with surrogate keys, looked up once per different tuple.
+
+    ``tuples`` maps groups of dimensions to the tuples that occur. Text is compared and
+    joined among those; the lines carry codes of 128 bits through the exchanges.
+    """
+    sides = [(names, *dictionary(table, tables, names)) for names, table in tuples.items()]
+    coded = with_dates(lines).select(
+        *[c for c in schema.STAR_FACT if c not in schema.STAR_KEYS],
+        "order_date_key",
+        "ship_date_key",
+        *[code(natural_columns(names), seed).alias(f"_code_{i}") for i, (names, _, seed) in enumerate(sides)],
+    )
+    for i, (_, side, _) in enumerate(sides):
+        coded = coded.join(side.withColumnRenamed("code", f"_code_{i}"), f"_code_{i}", "left")
+    return fact_columns(coded)
+
+
 def build_fact(lines: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Order lines with surrogate keys."""
-    return fact_columns(with_keys(with_dates(lines, tables["dim_date"]), tables, *DIMENSIONS))
+    return fact_from(lines, tables, {tuple(OF_ORDERS): lines, tuple(OF_PRODUCTS): lines})
 
 
 def build(
@@ -86,12 +140,20 @@ def build(
 ) -> dict[str, DataFrame]:
     """Five dimensions and the fact.
 
-    ``lines`` is read once per table, so pass a stored table. ``store`` writes a
-    table and returns the written one; the fact then reads the stored dimensions.
+    ``lines`` is read four times, so pass a stored table: for the dates, for the
+    different tuples of order and of product columns, from which all dimensions are
+    built, and for the fact. ``store`` writes a table and returns the written one; the
+    fact then reads the stored dimensions.
     """
     store = store or (lambda name, table: table)
+    of_orders = [*natural_columns(OF_ORDERS), *schema.CUSTOMER_ATTRIBUTES]
+    tuples = {
+        tuple(OF_ORDERS): materialise(lines.select(*of_orders).distinct(), "order-tuples"),
+        tuple(OF_PRODUCTS): materialise(lines.select(*natural_columns(OF_PRODUCTS)).distinct(), "product-tuples"),
+    }
     tables = {"dim_date": store("dim_date", build_dates(lines))}
-    for name in DIMENSIONS:
-        tables[name] = store(name, build_dimension(lines, name))
-    fact = store("fact_order_lines_star", build_fact(lines, tables))
+    for names, table in tuples.items():
+        for name in names:
+            tables[name] = store(name, build_dimension(table, name))
+    fact = store("fact_order_lines_star", fact_from(lines, tables, tuples))
     return {**tables, "fact_order_lines_star": fact}

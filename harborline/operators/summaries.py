@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harborline import config, schema
 from harborline.functions.columns import rate
-from harborline.operators import scenarios
+from harborline.operators import quality, scenarios
 
 # The four report families and their dimensions.
 FAMILIES = {
@@ -101,6 +101,15 @@ def summarize_orders(orders: DataFrame, table: DataFrame, dims: Sequence[str] =
     return summarize_cells(cells(orders, dims), table, dims)
 
 
+def summarize_distinct(orders: DataFrame, table: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
+    """Summary of distinct orders from a table that should hold each order once.
+
+    That it does is checked on order_id alone, so counting rows counts distinct orders:
+    the scenarios then meet cells, and no (scenario, order) row crosses an exchange.
+    """
+    return summarize_orders(quality.require_unique(orders, ["order_id"], "Orders"), table, dims)
+
+
 def summarize_families(
     orders: DataFrame, table: DataFrame, families: dict[str, list[str]] = FAMILIES
 ) -> DataFrame:

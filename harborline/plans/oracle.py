@@ -468,7 +468,10 @@ ORACLE = {
         (SELECT DISTINCT order_id, order_date, line_ship_date, ship_mode, customer_id, {PLACE} FROM raw_lines)
         GROUP BY order_id HAVING count(*) > 1""",
     "dq_unknown_modes": """SELECT o_orderpriority AS ship_mode, count(*) AS row_count FROM orders
-        WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY o_orderpriority""",
+        WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN
+            ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') GROUP BY o_orderpriority""",
+    "dq_planted_modes": """SELECT '6-NONE' AS ship_mode, count(*) AS row_count FROM orders
+        WHERE o_orderpriority = '5-LOW' AND o_orderkey % 7 = 0 HAVING count(*) > 0""",
     "dq_dimension_conflicts": f"""WITH {LINES} SELECT product_id, count(*) AS variants FROM
         (SELECT DISTINCT product_id, product_name, category, sub_category FROM lines)
         GROUP BY product_id HAVING count(*) > 1""",

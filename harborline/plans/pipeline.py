@@ -9,29 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline import config
-from harborline.functions.calendar import business_calendar, date_bounds
 from harborline.operators import facts, quality, scenarios, star, summaries
 from harborline.session import materialise, size_for, temporary
 from harborline.sources import files
 
-NO_DATES = dt.date(1970, 1, 1)
-
-
-def calendar_for(
-    df: DataFrame, holidays: Iterable[dt.date] | None = None
-) -> DataFrame:
-    """Business calendar from the first to the last date of the lines.
-
-    Holidays follow from these dates unless they are given; lines without any date
-    get a calendar of one day.
-    """
-    first, last = date_bounds(df, "order_date", "ship_date").first()
-    if first is None or last is None:
-        first = last = first or last or NO_DATES
-    if holidays is None:
-        holidays = config.federal_holidays(first, last)
-    return business_calendar(df.sparkSession, first, last, holidays)
-
 
 def transform(
     spark: SparkSession,
@@ -42,8 +23,8 @@ def transform(
 ) -> tuple[DataFrame, DataFrame]:
     """(order lines, order fact) from a delimited source, after validation.
 
-    The text is parsed once into the shared folder: validation, date bounds and
-    facts then read typed columns instead of parsing it again.
+    The text is parsed once into the shared folder: validation and facts
+    then read typed columns instead of parsing it again.
     """
     size_for(spark, path)
     lines = materialise(files.read_source(spark, path), "source")
@@ -60,7 +41,7 @@ def _validated_orders(
     table = scenarios.scenario_table(lines.sparkSession, thresholds)
     quality.validate(lines, scenarios.days_of(table, "base"), expected_rows)
     # Consistency per order has just been validated.
-    return facts.build_orders(lines, calendar_for(lines, holidays), table, check=False)
+    return facts.build_orders(lines, table, holidays, check=False)
 
 
 def order_totals(orders: DataFrame, lines: DataFrame) -> DataFrame:

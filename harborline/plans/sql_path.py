@@ -1,13 +1,12 @@
 """The four summaries stated in SQL, as a second path to compare against.
 
-It starts from order lines and shares no step with the DataFrame calls: lines are
-summed and joined to their orders here, and business days are counted from weekdays
-and a list of holidays instead of a calendar.
+It starts from order lines and shares no step with the DataFrame calls: lines are summed
+and their headers taken here, and business days come from a calendar table instead of a
+closed form.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -17,36 +16,25 @@ from harborline.session import materialise
 # Line columns in use.
 COLUMNS = ["order_id", "order_date", "ship_date", "ship_mode", "region", "sales", "profit"]
 
-
-def _weekdays(date: str) -> str:
-    """Weekdays from Monday 1970-01-05 up to and including ``date``."""
-    days = f"datediff({date}, DATE'1970-01-05')"
-    return f"(5 * floor({days} / 7) + least(pmod({days}, 7) + 1, 5))"
-
-
-def _business_days(holidays: Iterable[dt.date]) -> str:
-    closed = ", ".join(f"DATE'{day:%Y-%m-%d}'" for day in holidays if day.weekday() < 5)
-    inside = f"size(filter(array({closed}), d -> d > order_date AND d <= ship_date))" if closed else "0"
-    count = f"{_weekdays('ship_date')} - {_weekdays('order_date')} - {inside}"
-    return f"CASE WHEN ship_date >= order_date THEN {count} END"
-
-
+# One pass over the lines: an order whose lines disagree on a header field forms several
+# groups, and their number shows it.
 CELLS = """
-    WITH totals AS (
-        SELECT order_id, sum(sales) AS order_sales, sum(profit) AS order_profit
-        FROM {lines} GROUP BY order_id
-    ),
-    headers AS (
-        SELECT DISTINCT order_id, order_date, ship_date, ship_mode, region FROM {lines}
+    WITH orders AS (
+        SELECT order_id, order_date, ship_date, ship_mode, region,
+               sum(sales) AS order_sales, sum(profit) AS order_profit
+        FROM {lines} GROUP BY order_id, order_date, ship_date, ship_mode, region
     ),
-    orders AS (
-        SELECT h.*, t.order_sales, t.order_profit, BUSINESS_DAYS AS business_days
-        FROM headers AS h JOIN totals AS t ON t.order_id = h.order_id
+    dated AS (
+        SELECT o.*, CASE WHEN o.ship_date >= o.order_date
+                         THEN shipped.business_index - ordered.business_index END AS business_days
+        FROM orders AS o
+        LEFT JOIN {calendar} AS ordered ON ordered.date = o.order_date
+        LEFT JOIN {calendar} AS shipped ON shipped.date = o.ship_date
     )
     SELECT s.scenario, o.ship_mode, o.region, date_format(o.order_date, 'yyyy-MM') AS order_month,
            o.business_days > s.scenario_sla_days AS is_late,
            count(*) AS n, sum(o.order_sales) AS sales, sum(o.order_profit) AS profit
-    FROM orders AS o JOIN {scenario_sla} AS s ON s.ship_mode = o.ship_mode
+    FROM dated AS o JOIN {scenario_sla} AS s ON s.ship_mode = o.ship_mode
     GROUP BY ALL
 """
 
@@ -79,15 +67,14 @@ def _summary(dims: str) -> str:
 def summaries(
     lines: DataFrame,
     table: DataFrame,
-    holidays: Iterable[dt.date],
+    calendar: DataFrame,
     names: Iterable[str] = tuple(DIMENSIONS),
 ) -> dict[str, DataFrame]:
     """Summary tables by name, from lines with ``COLUMNS``; months are keyed by text.
 
-    Lines are read once: the cells of all scenarios are few, and they are stored.
+    The lines are read once: the cells of all scenarios are few, and they are stored.
     """
     spark = lines.sparkSession
-    statement = CELLS.replace("BUSINESS_DAYS", _business_days(holidays))
-    folded = spark.sql(statement, lines=lines.select(*COLUMNS), scenario_sla=table)
+    folded = spark.sql(CELLS, lines=lines.select(*COLUMNS), calendar=calendar, scenario_sla=table)
     cells = materialise(folded, "sql-cells")
     return {name: spark.sql(_summary(DIMENSIONS[name]), cells=cells) for name in names}

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline import config, schema
@@ -53,6 +53,13 @@ TABLES = {
 }
 
 
+def _mode() -> Column:
+    mode = F.lit(None).cast("string")
+    for priority, name in {**MODES, **STANDARD}.items():
+        mode = F.when(F.col("o_orderpriority") == priority, name).otherwise(mode)
+    return mode
+
+
 class OrderTables:
     """Lazy views over one folder of tables."""
 
@@ -70,11 +77,9 @@ class OrderTables:
     # -- data held as settings ------------------------------------------------
 
     def calendar(self) -> DataFrame:
+        """The calendar table of the SQL path; calls count without one."""
         first, last = self.bounds()
-        return business_calendar(self.spark, first, last, self.holidays())
-
-    def holidays(self) -> list[dt.date]:
-        return config.federal_holidays(*self.bounds())
+        return business_calendar(self.spark, first, last, config.federal_holidays(first, last))
 
     def bounds(self) -> tuple[dt.date, dt.date]:
         """First and last date of orders and lines, read once per object."""
@@ -93,14 +98,16 @@ class OrderTables:
 
     # -- building blocks ------------------------------------------------------
 
+    def modes(self, orders: DataFrame | None = None) -> DataFrame:
+        """The ship mode of every order; a priority without one stays as it is."""
+        orders = orders if orders is not None else self.table("orders")
+        return orders.select(F.coalesce(_mode(), "o_orderpriority").alias("ship_mode"))
+
     def _headers(self) -> DataFrame:
-        mode = F.lit(None).cast("string")
-        for priority, name in {**MODES, **STANDARD}.items():
-            mode = F.when(F.col("o_orderpriority") == priority, name).otherwise(mode)
         return self.table("orders").select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_orderdate").cast("date").alias("order_date"),
-            mode.alias("ship_mode"),
+            _mode().alias("ship_mode"),
             F.col("o_custkey").alias("customer_id"),
         )
 
@@ -218,18 +225,31 @@ class OrderTables:
         """The same lines with product columns and money."""
         return self.priced(self.accept(self.described(), self._headers()))
 
-    def sold_parts(self) -> DataFrame:
+    def pairs(self) -> DataFrame:
+        """(order_id, part_key, ship_date): the last shipment of each part of an order.
+
+        One pass over the lines, stored narrow. The order's last shipment and the pairs
+        with an accepted line follow from it: a pair has one when its last line is
+        accepted, as acceptance only asks for a late enough date.
+        """
+        last = F.max("line_ship_date").alias("ship_date")
+        return materialise(self.items().groupBy("order_id", "part_key").agg(last), "pairs")
+
+    def sold_parts(self, pairs: DataFrame | None = None) -> DataFrame:
         """Distinct (order, part) pairs of the accepted lines, before any product text."""
-        return self.shipped_lines().select("order_id", "part_key").distinct()
+        if pairs is None:
+            return self.shipped_lines().select("order_id", "part_key").distinct()
+        lines = pairs.withColumnRenamed("ship_date", "line_ship_date")
+        return self.accept(lines, self._headers()).select("order_id", "part_key")
 
-    def sold(self) -> DataFrame:
+    def sold(self, pairs: DataFrame | None = None) -> DataFrame:
         """The same pairs with the product columns of the part."""
-        return self.sold_parts().join(self.products(), "part_key", "left")
+        return self.sold_parts(pairs).join(self.products(), "part_key", "left")
 
-    def sold_products(self) -> DataFrame:
+    def sold_products(self, pairs: DataFrame | None = None) -> DataFrame:
         """Product columns of every part with an accepted line."""
-        parts = self.shipped_lines().select("part_key").distinct()
-        return parts.join(self.products(), "part_key", "left")
+        parts = self.sold_parts(pairs) if pairs is not None else self.shipped_lines()
+        return parts.select("part_key").distinct().join(self.products(), "part_key", "left")
 
     def canonical_lines(self, product: bool = True) -> DataFrame:
         """Accepted lines in the source layout; ``ship_date`` is the order's.
@@ -246,17 +266,17 @@ class OrderTables:
 
     # -- order grain ----------------------------------------------------------
 
-    def orders(self, place: bool = False) -> DataFrame:
+    def orders(self, place: bool = False, shipped: DataFrame | None = None) -> DataFrame:
         """Orders with at least one accepted line, without touching money.
 
         The last ship date over all lines is the last accepted one whenever any
-        line is accepted, so lines are folded before they meet the orders.
+        line is accepted, so lines are folded before they meet the orders. ``shipped``
+        are the stored pairs, where lines were folded to these already.
         """
-        completed = (
-            self.table("lineitem")
-            .groupBy(F.col("l_orderkey").alias("order_id"))
-            .agg(F.max(F.col("l_shipdate").cast("date")).alias("ship_date"))
+        lines = shipped if shipped is not None else self.table("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("date").alias("ship_date")
         )
+        completed = lines.groupBy("order_id").agg(F.max("ship_date").alias("ship_date"))
         orders = self._headers().join(completed, "order_id")
         orders = orders.where(F.col("ship_date") >= F.col("order_date"))
         return self.with_place(orders) if place else orders
@@ -270,7 +290,7 @@ class OrderTables:
 
     def counted(self, orders: DataFrame) -> DataFrame:
         """Orders with ``business_days_to_ship``."""
-        return with_business_days(orders, self.calendar())
+        return with_business_days(orders)
 
     def calibrated(self, orders: DataFrame) -> DataFrame:
         """Orders classified under the calibrated scenario."""

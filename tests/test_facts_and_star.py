@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harborline import config, schema
-from harborline.functions.calendar import business_calendar
 from harborline.operators import facts, scenarios, star
 from harborline.operators.keys import dense_key
 from harborline.operators.quality import QualityError
@@ -16,8 +15,7 @@ D = dt.date
 
 
 def build(spark, df, **options):
-    calendar = business_calendar(spark, D(2016, 1, 1), D(2018, 12, 31), config.HOLIDAYS)
-    return facts.build_orders(df, calendar, scenarios.scenario_table(spark), **options)
+    return facts.build_orders(df, scenarios.scenario_table(spark), config.HOLIDAYS, **options)
 
 
 def test_financials_are_summed_once_per_order(spark):
@@ -137,3 +135,53 @@ def test_dense_keys_over_many_partitions_equal_a_global_numbering(spark):
 
 def test_dense_keys_of_nothing(spark):
     assert dense_key(spark.range(0), ["id"], "k").count() == 0
+
+
+def test_colliding_codes_take_another_seed(spark, monkeypatch):
+    """Two places that share a code are told apart, and each line gets its own keys."""
+    real, seeds = star.code, []
+
+    def weak(columns, seed):
+        seeds.append(seed)
+        if seed == 0:
+            return F.struct(F.lit(1).cast("bigint").alias("high"), F.lit(2).cast("bigint").alias("low"))
+        return real(columns, seed)
+
+    df = lines(spark, {}, {"order_id": "B", "city": "Elsewhere", "product_id": "P2"}, {"order_id": "C", "city": None})
+    expected = {(r.order_id, r.location_key, r.product_key) for r in star.build(df)["fact_order_lines_star"].collect()}
+    monkeypatch.setattr(star, "code", weak)
+    fact = star.build(df)["fact_order_lines_star"]
+    assert {(r.order_id, r.location_key, r.product_key) for r in fact.collect()} == expected
+    assert len(expected) == 3 and len({k for _, k, _ in expected}) == 3 and 1 in seeds
+
+
+def test_nulls_are_values_of_codes(spark):
+    rows = [("a", None), (None, "a"), ("a", ""), ("", "a"), (None, None), ("", "")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(star.code(["x", "y"], 0).alias("c")).distinct().count() == len(rows)
+
+
+def test_lines_carry_codes_instead_of_text(spark):
+    """No natural column of a dimension crosses an exchange together with a line."""
+    df = lines(spark, {}, {"order_id": "B", "product_id": "P2"})
+    tables = {"dim_date": star.build_dates(df)}
+    tables |= {name: star.build_dimension(df, name) for name in star.DIMENSIONS}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plan = star.build_fact(df, tables)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    def exchanged(node):
+        if node.nodeName().startswith("Exchange"):
+            yield {node.output().apply(i).name() for i in range(node.output().size())}
+        for i in range(node.children().size()):
+            yield from exchanged(node.children().apply(i))
+
+    of_lines = [names for names in exchanged(plan) if "row_id" in names]
+    assert len(of_lines) == 2
+    for names in of_lines:
+        assert not names & {*schema.LOCATION, *schema.PRODUCT, "customer_id", "ship_mode"}

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline import config, schema
-from harborline.functions.calendar import with_business_days
+from harborline.functions.calendar import business_calendar, with_business_days
 from harborline.operators import diagnostics, facts, scenarios, star, summaries
-from harborline.plans import pipeline, sql_path
+from harborline.plans import sql_path
 from harborline.sources.order_tables import TABLES, OrderTables
 
 STAMP = dt.datetime
@@ -70,15 +70,16 @@ def test_orders_without_business_days_are_neither_late_nor_on_time(spark):
         "sales decimal(18,4), profit decimal(18,4)",
     )
     table = scenarios.scenario_table(spark)
+    calendar = business_calendar(spark, day - dt.timedelta(1), day, [])
     heads = facts.collapse(lines, sql_path.COLUMNS[1:5])
-    counted = with_business_days(heads, pipeline.calendar_for(lines))
+    counted = with_business_days(heads)
     orders = scenarios.attach_financials(counted, facts.order_financials(lines))
     monthly = orders.withColumn("order_month", F.trunc("order_date", "month"))
     paths = [
         summaries.summarize(scenarios.expand(orders, table)),
         summaries.summarize_orders(orders, table),
         summaries.summarize_families(monthly, table).where("family = 'overall'"),
-        sql_path.summaries(lines, table, [], ["overall"])["overall"],
+        sql_path.summaries(lines, table, calendar, ["overall"])["overall"],
     ]
     for found in paths:
         for row in found.collect():
@@ -90,9 +91,7 @@ def test_holidays_follow_the_dates(spark):
     assert dt.date(2021, 6, 18) in config.federal_holidays(dt.date(2021, 1, 1), dt.date(2021, 12, 31))
     rows = [(dt.date(2021, 7, 2), dt.date(2021, 7, 6))]
     lines = spark.createDataFrame(rows, "order_date date, ship_date date")
-    index = {r.date: r.business_index for r in pipeline.calendar_for(lines).collect()}
-    assert index[dt.date(2021, 7, 6)] - index[dt.date(2021, 7, 2)] == 1
-    assert pipeline.calendar_for(lines.limit(0)).count() == 1
+    assert with_business_days(lines).first().business_days_to_ship == 1
 
 
 def test_guards_stay_when_their_columns_are_not_read(spark):
@@ -101,14 +100,12 @@ def test_guards_stay_when_their_columns_are_not_read(spark):
     rows = spark.createDataFrame([("A", day, day + dt.timedelta(9), "Drone", 1)],
                                  "order_id string, order_date date, ship_date date, ship_mode string, "
                                  "business_days_to_ship int")
-    calendar = pipeline.calendar_for(rows.withColumn("ship_date", F.col("order_date")))
     table = scenarios.scenario_table(spark)
     totals = spark.createDataFrame([], "order_id string, order_sales int, order_profit int")
     keys = [F.lit(None).cast("int").alias(c) for c in schema.STAR_KEYS]
     measures = [F.lit(1).alias(c) for c in ("sales", "quantity", "discount", "profit")]
     fact = rows.select(F.lit("r1").alias("row_id"), "order_id", *keys, *measures)
     for found, message in (
-        (with_business_days(rows, calendar, name="days"), "ship_date outside the business calendar: 2015-01-14"),
         (scenarios.classify(rows, table), "Unknown ship modes: Drone"),
         (scenarios.with_threshold(rows, scenarios.days_of(table, "base")), "Unknown ship modes: Drone"),
         (scenarios.attach_financials(rows, totals), "No order lines for order A"),
