@@ -147,9 +147,9 @@ def late_against_on_time(orders: DataFrame, *dims: str) -> DataFrame:
         .groupBy(*dims, "is_late")
         .agg(
             F.count(F.lit(1)).alias("orders"),
-            F.round(F.avg("weighted_discount"), 9).alias("avg_weighted_discount"),
+            F.avg("weighted_discount").alias("avg_weighted_discount"),
             rate(F.sum("order_profit"), F.count("order_profit")).alias("avg_order_profit"),
-            F.round(F.avg("margin"), 9).alias("avg_margin"),
+            F.avg("margin").alias("avg_margin"),
         )
     )
 
@@ -162,7 +162,7 @@ def late_correlations(orders: DataFrame) -> DataFrame:
         correlation(late, F.col("order_profit").cast("double")).alias("order_profit"),
     )
     pairs = [
-        F.struct(F.lit(c).alias("measure"), F.round(F.col(c), 9).alias("correlation"))
+        F.struct(F.lit(c).alias("measure"), F.col(c).alias("correlation"))
         for c in one_row.columns
     ]
     return one_row.select(F.inline(F.array(*pairs)))
@@ -173,8 +173,7 @@ def region_years(orders: DataFrame) -> DataFrame:
 
 
 def _volume_against_rate() -> Column:
-    value = correlation(F.col("orders").cast("double"), F.col("late_rate"))
-    return F.round(value, 9).alias("correlation")
+    return correlation(F.col("orders").cast("double"), F.col("late_rate")).alias("correlation")
 
 
 def region_year_correlation(orders: DataFrame) -> DataFrame:

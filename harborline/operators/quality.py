@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harborline import config, schema
 
-# How many offenders an error message names; the check itself returns them all.
+# How many offenders an error message names unless told otherwise; None names them all.
 NAMED_IN_MESSAGE = 20
 
 
@@ -96,17 +96,21 @@ def null_key_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count_if(any_null(columns)).alias("violations"))
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+def require_unique(
+    df: DataFrame, keys: Sequence[str], label: str, named: int | None = NAMED_IN_MESSAGE
+) -> DataFrame:
     """``df`` itself, after checking that the keys identify its rows."""
     offenders = duplicate_keys(df, keys)
-    _raise_if_any(offenders, keys, f"{label} is not unique on {', '.join(keys)}")
+    _raise_if_any(offenders, keys, f"{label} is not unique on {', '.join(keys)}", named)
     return df
 
 
-def require_consistent(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+def require_consistent(
+    df: DataFrame, keys: Sequence[str], fields: Sequence[str], named: int | None = NAMED_IN_MESSAGE
+) -> DataFrame:
     """``df`` itself, after checking that the fields are constant per key."""
     offenders = inconsistent_groups(df, keys, fields)
-    _raise_if_any(offenders, keys, f"Fields are inconsistent within {', '.join(keys)}")
+    _raise_if_any(offenders, keys, f"Fields are inconsistent within {', '.join(keys)}", named)
     return df
 
 
@@ -188,8 +192,12 @@ def validate(
     df: DataFrame,
     modes: DataFrame,
     expected_rows: int | None = config.EXPECTED_ROWS,
+    named: int | None = NAMED_IN_MESSAGE,
 ) -> None:
-    """Raise ``QualityError`` for the first violation in the contract's order."""
+    """Raise ``QualityError`` for the first violation in the contract's order.
+
+    The message names up to ``named`` offenders, or all of them (None), which then have
+    to fit the driver."""
     absent = missing_columns(df)
     if absent:
         raise QualityError(f"Missing columns: {', '.join(absent)}")
@@ -200,11 +208,11 @@ def validate(
     if failed == "row_count_difference":
         raise QualityError(f"Expected {expected_rows} rows, found {found['row_count']}")
     if failed == "row_id_duplicated":
-        require_unique(df, ["row_id"], "Source")
+        require_unique(df, ["row_id"], "Source", named)
     if failed == "unknown_ship_modes":
-        _raise_if_any(unknown_values(df, "ship_mode", modes), ["ship_mode"], "Unknown ship modes")
+        _raise_if_any(unknown_values(df, "ship_mode", modes), ["ship_mode"], "Unknown ship modes", named)
     if failed == "inconsistent_orders":
-        require_consistent(df, ["order_id"], schema.ORDER_FIELDS)
+        require_consistent(df, ["order_id"], schema.ORDER_FIELDS, named)
     if failed:
         raise QualityError(f"{failed}: {found[failed]} rows")
 
@@ -229,10 +237,13 @@ def compare_counts(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     )
 
 
-def _raise_if_any(offenders: DataFrame, keys: Sequence[str], message: str) -> None:
-    named = offenders.select(*keys).limit(NAMED_IN_MESSAGE + 1).collect()
-    if not named:
+def _raise_if_any(
+    offenders: DataFrame, keys: Sequence[str], message: str, named: int | None = NAMED_IN_MESSAGE
+) -> None:
+    chosen = offenders.select(*keys)
+    found = (chosen if named is None else chosen.limit(named + 1)).collect()
+    if not found:
         return
-    values = ", ".join(sorted(" / ".join(map(str, row)) for row in named[:NAMED_IN_MESSAGE]))
-    more = " and more" if len(named) > NAMED_IN_MESSAGE else ""
+    values = ", ".join(sorted(" / ".join(map(str, row)) for row in found[:named]))
+    more = " and more" if named is not None and len(found) > named else ""
     raise QualityError(f"{message}: {values}{more}")

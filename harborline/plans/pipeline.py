@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,41 +81,56 @@ def run(
     holidays: Iterable[dt.date] | None = None,
     delimited: bool = False,
 ) -> dict[str, DataFrame]:
-    """Write every table under ``output`` and return the written tables.
+    """Write every table under a folder of this run in ``output``, publish them as a
+    whole and return them; ``files.published`` reads the current set.
 
-    Each stage reads what the stage before it wrote, so nothing is computed
-    twice and a lost executor costs at most one stage. The parsed lines are written
-    once, at their final place, and removed again if they break the contract; no
-    intermediate table is left. ``delimited`` also exports every table as text under
-    ``output/csv``.
+    Each stage reads what the stage before it wrote, so nothing is computed twice and a
+    lost executor costs at most one stage. A run that fails at any stage, or whose source
+    breaks the contract, leaves the set published before it as it was and nothing of its
+    own. ``delimited`` also exports every table as text under ``csv`` of the run.
     """
+    name_of_run = f"run-{uuid.uuid4().hex}"
+    folder = f"{output}/{name_of_run}"
+    size_for(spark, path)
+    try:
+        with temporary(spark):
+            written = _written(spark, path, folder, expected_rows, thresholds, holidays, delimited)
+        files.publish(spark, output, name_of_run, {name: table.schema for name, table in written.items()})
+    except BaseException:
+        files.remove(spark, folder)
+        raise
+    return written
+
 
+def _written(
+    spark: SparkSession,
+    path: str,
+    folder: str,
+    expected_rows: int | None,
+    thresholds: config.Thresholds,
+    holidays: Iterable[dt.date] | None,
+    delimited: bool,
+) -> dict[str, DataFrame]:
     def store(name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        files.write_table(df, f"{output}/{name}", partition_by)
-        stored = files.read_table(spark, f"{output}/{name}", df.schema)
+        files.write_table(df, f"{folder}/{name}", partition_by)
+        stored = files.read_table(spark, f"{folder}/{name}", df.schema)
         return stored.select(*df.columns)
 
-    size_for(spark, path)
-    with temporary(spark):
-        lines = store("fact_order_lines", files.read_source(spark, path))
-        try:
-            orders = _validated_orders(lines, expected_rows, thresholds, holidays)
-        except quality.QualityError:
-            files.remove(spark, f"{output}/fact_order_lines")
-            raise
-        written = {"fact_order_lines": lines, "fact_orders": store("fact_orders", orders)}
-        for name, table in star.build(lines, store).items():
-            written[name] = table
-        table = scenarios.scenario_table(spark, thresholds)
-        totals = materialise(order_totals(written["fact_orders"], lines), "order-totals")
-        detail = scenarios.expand(totals, table)
-        written["scenario_orders"] = store("scenario_orders", detail, ("scenario",))
-        # Orders are read once for all summaries; the cells are few.
-        dims = [d for family in FAMILIES.values() for d in family]
-        folded = materialise(summaries.cells(_with_month(totals), dims), "cells")
-        for name, family in FAMILIES.items():
-            written[name] = store(name, summaries.summarize_cells(folded, table, family))
-        if delimited:
-            for name, stored in written.items():
-                files.write_delimited(stored, f"{output}/csv/{name}")
+    lines = store("fact_order_lines", files.read_source(spark, path))
+    orders = _validated_orders(lines, expected_rows, thresholds, holidays)
+    written = {"fact_order_lines": lines, "fact_orders": store("fact_orders", orders)}
+    for name, table in star.build(lines, store).items():
+        written[name] = table
+    table = scenarios.scenario_table(spark, thresholds)
+    totals = materialise(order_totals(written["fact_orders"], lines), "order-totals")
+    detail = scenarios.expand(totals, table)
+    written["scenario_orders"] = store("scenario_orders", detail, ("scenario",))
+    # Orders are read once for all summaries; the cells are few.
+    dims = [d for family in FAMILIES.values() for d in family]
+    folded = materialise(summaries.cells(_with_month(totals), dims), "cells")
+    for name, family in FAMILIES.items():
+        written[name] = store(name, summaries.summarize_cells(folded, table, family))
+    if delimited:
+        for name, stored in written.items():
+            files.write_delimited(stored, f"{folder}/csv/{name}")
     return written

@@ -374,29 +374,39 @@ def top_months(t: OrderTables) -> DataFrame:
     return diagnostics.top_months(t.calibrated(t.orders()))
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles that depend on the order of summation, to nine digits for comparison."""
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 @query
 def late_vs_ontime_financials(t: OrderTables) -> DataFrame:
-    return diagnostics.late_against_on_time(t.calibrated(t.order_facts()))
+    found = diagnostics.late_against_on_time(t.calibrated(t.order_facts()))
+    return _rounded(found, "avg_weighted_discount", "avg_margin")
 
 
 @query
 def late_vs_ontime_by_mode(t: OrderTables) -> DataFrame:
-    return diagnostics.late_against_on_time(t.calibrated(t.order_facts()), "ship_mode")
+    found = diagnostics.late_against_on_time(t.calibrated(t.order_facts()), "ship_mode")
+    return _rounded(found, "avg_weighted_discount", "avg_margin")
 
 
 @query
 def late_correlations(t: OrderTables) -> DataFrame:
-    return diagnostics.late_correlations(t.calibrated(t.order_facts()))
+    found = diagnostics.late_correlations(t.calibrated(t.order_facts()))
+    return _rounded(found, "correlation")
 
 
 @query
 def region_year_correlation(t: OrderTables) -> DataFrame:
-    return diagnostics.region_year_correlation(t.calibrated(t.orders(place=True)))
+    found = diagnostics.region_year_correlation(t.calibrated(t.orders(place=True)))
+    return _rounded(found, "correlation")
 
 
 @query
 def within_region_correlation(t: OrderTables) -> DataFrame:
-    return diagnostics.within_region_correlation(t.calibrated(t.orders(place=True)))
+    found = diagnostics.within_region_correlation(t.calibrated(t.orders(place=True)))
+    return _rounded(found, "correlation")
 
 
 # -- reconciliation -----------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,10 +54,9 @@ def read_source(
     number fails the job. ``multi_line`` allows line breaks inside quotes, at
     the price of one task per file.
     """
-    if encoding.lower().startswith("windows-"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    charset, stored, meant = _charset(encoding)
     reader = spark.read.options(
-        header=True, encoding=encoding, escape='"', multiLine=multi_line,
+        header=True, encoding=charset, escape='"', multiLine=multi_line,
         mode="FAILFAST", enforceSchema=False,
     )
     # Without inference this reads the first line only.
@@ -67,16 +67,38 @@ def read_source(
     tokens = list(null_tokens)
     return text.select(
         *[
-            _typed(F.col(f"`{source}`"), schema.LINES[name].dataType, tokens, date_format).alias(name)
+            _typed(
+                F.col(f"`{source}`"), schema.LINES[name].dataType, tokens, date_format, stored, meant
+            ).alias(name)
             for source, name in schema.SOURCE_NAMES.items()
         ]
     )
 
 
-def _typed(cell: Column, kind: T.DataType, tokens: list[str], date_format: str) -> Column:
+def _charset(encoding: str) -> tuple[str, str, str]:
+    """A charset that Spark reads by itself, and the characters to put for others.
+
+    Windows code pages of one byte a character are read and written as Latin-1, which
+    maps bytes to the first 256 code points; those that the code page means otherwise
+    are exchanged afterwards. So no setting of the session is touched.
+    """
+    page = encoding.lower().removeprefix("windows-")
+    if page == encoding.lower() or not page.isdigit():
+        return encoding, "", ""
+    pairs = []
+    for byte in range(0x80, 0x100):
+        meant = bytes([byte]).decode(f"cp{page}", "replace")
+        if meant != chr(byte) and meant != "\ufffd":
+            pairs.append((chr(byte), meant))
+    return "ISO-8859-1", "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+def _typed(
+    cell: Column, kind: T.DataType, tokens: list[str], date_format: str, stored: str, meant: str
+) -> Column:
     value = F.when(~cell.isin(tokens), cell) if tokens else cell
     if isinstance(kind, T.StringType):
-        return value
+        return F.translate(value, stored, meant) if stored else value
     if isinstance(kind, T.DateType):
         return F.to_date(value, date_format)
     return value.cast(kind)
@@ -109,6 +131,54 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+MANIFEST = "manifest.json"
+
+
+def publish(spark: SparkSession, output: str, run: str, tables: dict[str, T.StructType]) -> None:
+    """Make the tables of a finished run the current ones, all at once.
+
+    The manifest is written aside and renamed over the old one, so a reader finds one
+    whole set or the other. Runs before the one that is replaced are removed; the
+    replaced one stays for those who still read it.
+    """
+    before = manifest(spark, output)
+    fs = spark._jvm.org.apache.hadoop.fs
+    context = fs.FileContext.getFileContext(fs.Path(output).toUri(), spark._jsc.hadoopConfiguration())
+    aside = fs.Path(f"{output}/{run}/{MANIFEST}")
+    system = aside.getFileSystem(spark._jsc.hadoopConfiguration())
+    entry = {"run": run, "tables": {name: table.json() for name, table in tables.items()}}
+    stream = system.create(aside, True)
+    stream.write(json.dumps(entry).encode())
+    stream.close()
+    renames = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    renames[0] = fs.Options.Rename.OVERWRITE
+    context.rename(system.makeQualified(aside), system.makeQualified(fs.Path(f"{output}/{MANIFEST}")), renames)
+    kept = {run, before["run"] if before else run}
+    for status in system.globStatus(fs.Path(f"{output}/run-*")) or []:
+        if status.getPath().getName() not in kept:
+            system.delete(status.getPath(), True)
+
+
+def manifest(spark: SparkSession, output: str) -> dict | None:
+    """The current run of ``output`` and its tables' schemas; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{output}/{MANIFEST}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return json.loads(spark.read.text(f"{output}/{MANIFEST}", wholetext=True).first()[0])
+
+
+def published(spark: SparkSession, output: str) -> dict[str, DataFrame]:
+    """The tables of the last run that finished."""
+    current = manifest(spark, output)
+    if current is None:
+        raise FileNotFoundError(f"no finished run under {output}")
+    found = {}
+    for name, text in current["tables"].items():
+        table = T.StructType.fromJson(json.loads(text))
+        found[name] = read_table(spark, f"{output}/{current['run']}/{name}", table).select(*table.names)
+    return found
+
+
 def write_delimited(df: DataFrame, path: str) -> None:
     """UTF-8 text with a header and ISO dates."""
     df.write.mode("overwrite").csv(path, header=True, dateFormat="yyyy-MM-dd", escape='"')
@@ -118,11 +188,15 @@ def write_source(
     lines: DataFrame, path: str, encoding: str = ENCODING, date_format: str = DATE_FORMAT
 ) -> None:
     """Order lines in the layout :func:`read_source` reads."""
-    if encoding.lower().startswith("windows-"):
-        lines.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+    charset, stored, meant = _charset(encoding)
+
+    def written(name: str) -> Column:
+        text = stored and isinstance(lines.schema[name].dataType, T.StringType)
+        return F.translate(F.col(name), meant, stored) if text else F.col(name)
+
     named = lines.select(
-        *[F.col(name).alias(source) for source, name in schema.SOURCE_NAMES.items()]
+        *[written(name).alias(source) for source, name in schema.SOURCE_NAMES.items()]
     )
     named.write.mode("overwrite").csv(
-        path, header=True, encoding=encoding, dateFormat=date_format, escape='"'
+        path, header=True, encoding=charset, dateFormat=date_format, escape='"'
     )

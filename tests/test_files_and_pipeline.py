@@ -133,12 +133,53 @@ def test_run_writes_every_table(spark, tmp_path):
     months = {r.order_month_label for r in written["by_month"].collect()}
     assert months == {"2015-07", "2017-01"}
     # One folder per scenario, so one scenario reads one folder.
-    assert len(glob.glob(f"{output}/scenario_orders/scenario=*")) == 4
-    assert glob.glob(f"{output}/csv/dim_date/*.csv")
-    kept = files.read_table(spark, f"{output}/scenario_orders").where("scenario = 'calibrated'")
+    assert len(glob.glob(f"{output}/run-*/scenario_orders/scenario=*")) == 4
+    assert glob.glob(f"{output}/run-*/csv/dim_date/*.csv")
+    kept = files.published(spark, output)["scenario_orders"].where("scenario = 'calibrated'")
     assert kept.count() == 2 and "01234" in {r.postal_code for r in kept.collect()}
 
 
+def test_a_late_failure_leaves_the_published_set_whole(spark, tmp_path, monkeypatch):
+    output = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError, match="no finished run"):
+        files.published(spark, output)
+    first = pipeline.run(spark, write(tmp_path, *ORDERS), output, expected_rows=3)
+    more = [*ORDERS, {"Order ID": "C", "Sales": "100"}]
+    real = pipeline.summaries.summarize_cells
+
+    def failing(folded, table, dims=()):
+        if dims == ["order_month_label"]:
+            raise RuntimeError("the last stage failed")
+        return real(folded, table, dims)
+
+    monkeypatch.setattr(pipeline.summaries, "summarize_cells", failing)
+    with pytest.raises(RuntimeError, match="last stage"):
+        pipeline.run(spark, write(tmp_path, *more), output, expected_rows=4)
+    assert len(glob.glob(f"{output}/run-*")) == 1
+    current = files.published(spark, output)
+    assert sorted(current) == sorted(first) and current["fact_orders"].count() == 2
+    assert all(current[name].columns == table.columns for name, table in first.items())
+    monkeypatch.setattr(pipeline.summaries, "summarize_cells", real)
+    for _ in range(2):
+        pipeline.run(spark, write(tmp_path, *more), output, expected_rows=4)
+    assert files.published(spark, output)["fact_orders"].count() == 3
+    # The current run and the one it replaced.
+    assert len(glob.glob(f"{output}/run-*")) == 2
+
+
+@pytest.mark.parametrize("encoding, text", [
+    ("windows-1252", "Café “Ž” € …"), ("windows-1251", "Привет, №5"), ("windows-1253", "Ελλάδα"), ("UTF-8", "日本 €"),
+])
+def test_code_pages_leave_the_session_alone(spark, tmp_path, encoding, text):
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    df = lines(spark, {"product_name": text, "city": None})
+    files.write_source(df, str(tmp_path / "out"), encoding=encoding)
+    raw = b"".join(open(p, "rb").read() for p in glob.glob(f"{tmp_path}/out/*.csv"))
+    assert text.encode(encoding.replace("windows-", "cp")) in raw
+    assert files.read_source(spark, str(tmp_path / "out"), encoding=encoding).collect() == df.collect()
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+
+
 def test_a_refused_source_leaves_nothing(spark, tmp_path):
     output, shared = tmp_path / "out", session.shared_folder(spark)
     before = set(os.listdir(shared))

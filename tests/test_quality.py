@@ -101,3 +101,12 @@ def test_unmatched_rows_and_count_comparison(spark):
     assert quality.rows_without_match(left, right, ["k"]).collect() == [(2,)]
     pair = {"rows": (left.selectExpr("count(*)"), right.selectExpr("count(*)"))}
     assert [tuple(r) for r in quality.compare_counts(pair).collect()] == [("rows", 3, 2, False)]
+
+
+def test_a_message_names_as_many_offenders_as_asked(spark):
+    df = spark.range(50).selectExpr("id % 25 AS k")
+    for named, count, more in ((3, 3, True), (None, 25, False), (25, 25, False)):
+        with pytest.raises(quality.QualityError) as error:
+            quality.require_unique(df, ["k"], "Rows", named)
+        text = str(error.value).split(": ")[1]
+        assert text.endswith(" and more") == more and len(text.removesuffix(" and more").split(", ")) == count

@@ -1,5 +1,7 @@
 """One order and one product that hold most lines must not end in one task."""
 
+import re
+
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
@@ -128,3 +130,39 @@ def test_hot_order_is_folded_before_the_extra_exchange(spark, skewed):
     ).where("l_shipdate >= o_orderdate").groupBy(F.col("l_orderkey").alias("order_id")).agg(
         F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
     assert sorted(totals.collect()) == sorted(plain.collect())
+
+
+@pytest.fixture(scope="module")
+def hot_customer(skewed, spark, tmp_path_factory):
+    """Two thirds of the orders belong to one customer; every order has one line."""
+    folder = tmp_path_factory.mktemp("hot-customer")
+    for name in ("nation", "region", "part"):
+        spark.read.parquet(f"{skewed}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    spark.range(5000).select(
+        F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name"),
+        (F.col("id") % 5).cast("int").alias("c_nationkey"), F.lit("S").alias("c_mktsegment"),
+    ).write.parquet(f"{folder}/customer.parquet")
+    spark.range(0, 240_000, 1, 6).select(
+        F.col("id").alias("o_orderkey"),
+        F.when(F.col("id") % 3 != 0, 7).otherwise(F.col("id") % 5000).alias("o_custkey"),
+        F.expr("timestamp_ntz'1996-01-01' + make_dt_interval(cast(id % 500 as int))").alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"),
+    ).write.parquet(f"{folder}/orders.parquet")
+    spark.range(0, 240_000, 1, 6).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 50).alias("l_partkey"), F.col("id").alias("l_suppkey"),
+        F.lit(1).alias("l_linenumber"), F.lit(2.0).alias("l_quantity"), F.lit(10.0).alias("l_extendedprice"),
+        F.lit(0.0).alias("l_discount"),
+        F.expr("timestamp_ntz'1997-08-01' + make_dt_interval(cast(id % 90 as int))").alias("l_shipdate"),
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_hot_customer_is_split_in_its_own_join(spark, hot_customer):
+    plan = final_plan(OrderTables(spark, hot_customer).orders(place=True))
+    final = plan.split("== Initial Plan ==")[0]
+    assert re.search(r"SortMergeJoin\(skew=true\) \[customer_id#", final), final
+
+
+@pytest.mark.parametrize("name", ["summary_by_region", "fact_order_lines_star", "dim_customer"])
+def test_results_hold_with_a_hot_customer(spark, hot_customer, name):
+    assert differences(QUERIES[name](spark, hot_customer), connect(hot_customer), ORACLE[name]) == []
