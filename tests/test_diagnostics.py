@@ -91,11 +91,11 @@ def test_top_months_need_volume(sample):
 
 def test_late_against_on_time_averages_order_ratios(sample):
     rows = {r.is_late: r for r in diagnostics.late_against_on_time(sample).collect()}
-    assert rows[True].avg_weighted_discount == 0.15  # (0.2 + 0.1) / 2
-    assert rows[True].avg_margin == 0.2  # (0.1 + 0.3) / 2
+    assert rows[True].avg_weighted_discount == pytest.approx(0.15, abs=1e-12)  # (0.2 + 0.1) / 2
+    assert rows[True].avg_margin == pytest.approx(0.2, abs=1e-12)  # (0.1 + 0.3) / 2
     assert rows[True].avg_order_profit == 9.5
     # An order without sales has no ratio but still counts.
-    assert rows[False].orders == 3 and rows[False].avg_weighted_discount == 0.05
+    assert rows[False].orders == 3 and rows[False].avg_weighted_discount == pytest.approx(0.05, abs=1e-12)
     assert rows[False].avg_margin == 0.0
 
 
@@ -115,7 +115,7 @@ def test_correlations(sample):
     assert whole.observations == 3
     assert whole.correlation == pytest.approx(pearson([2, 2, 1], [0.5, 0.5, 0.0]), abs=1e-9)
     within = {r.region: r for r in diagnostics.within_region_correlation(sample).collect()}
-    assert within["East"].correlation is None and within["West"].correlation == 1.0
+    assert within["East"].correlation is None and within["West"].correlation == pytest.approx(1.0, abs=1e-12)
 
 
 def pearson(x, y):
