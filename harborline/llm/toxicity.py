@@ -3,15 +3,20 @@
 Words are read as symbols: insult, threat, target, negation, report, or other. Four
 transducers are composed into one: reported speech and negation rewrite what they
 govern, then insults and threats weigh what is left, more so beside a target. A threat
-needs a target behind it, and then weighs as an insult at a target does. The machine
+needs its target, behind it ("kill you"), as an object pronoun before it ("te tuer") or
+as the subject of a passive ("you will be killed"), and then weighs as an insult at a
+target does. What the first person says ("i tell you") is no report. The ending n't is
+read as a word of its own, not; other words end at apostrophes. The machine
 runs over every clause; a document's score is a logistic function of the weights of its
 matched clauses, not of isolated words. Insults and threats have slopes of their own,
 which are held alike where the labels do not tell them apart.
 
 Which words insult is learned from the labels: words, and beginnings of inflected words,
-that toxic documents hold in many contexts and others hardly ever. A general lexicon of
-insults counts besides, but for entries that the sampled clean documents contradict. Words and logistic weights are fitted on a bounded sample, about
-``SAMPLE`` labelled documents of each class by a hash of the doc_id.
+that toxic documents hold in many contexts and others hardly ever. So are threats: words
+that mark toxic documents not by themselves but right before a target; their regular
+inflections count too. A general lexicon of insults counts besides, but for entries that
+the sampled clean documents contradict. Words and logistic weights are fitted on a
+bounded sample, about ``SAMPLE`` labelled documents of each class by a hash of the doc_id.
 
 Defined results: null and empty texts have no clause and get the score of a text
 without a match. Labels that are null, without a doc_id, or of a document that does
@@ -34,10 +39,34 @@ from harborline.llm.common import held_out
 SAMPLE = 3000
 THRESHOLD = 0.7
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
+MARKS = ".!?;:,\n"
+CONTRACTED = re.compile(r"(?<=[^\W\d_])n['\u2019]t(?![^\W\d_])")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-QUOTED, DENIED = 7, 8  # insults that are reported or negated
-QUOTED_THREAT, DENIED_THREAT = 9, 10
+# HARMED is the participle of a threat; YOU and OBJECT are targets as TARGET is.
+OTHER, INSULT, THREAT, HARMED, TARGET, YOU, OBJECT = range(7)
+NEGATION, REPORT, SELF, FUTURE, PASSIVE, END = range(7, 13)
+QUOTED, DENIED, QUOTED_THREAT, DENIED_THREAT = range(13, 17)  # reported or negated
+TARGETS = (TARGET, YOU, OBJECT)
+
+
+def inflected(stem: str) -> tuple[list[str], list[str]]:
+    """Regular English forms of a verb: those of the present, and the participle."""
+    if stem.endswith("e"):
+        return [stem, stem + "s", stem[:-1] + "ing"], [stem + "d"]
+    if re.search("[^aeiou]y$", stem):
+        return [stem, stem[:-1] + "ies", stem + "ing"], [stem[:-1] + "ied"]
+    third = stem + ("es" if re.search("(s|x|z|ch|sh)$", stem) else "s")
+    double = stem + stem[-1:] if re.fullmatch("[^aeiou]+[aeiou][bdgmnprt]", stem) else stem
+    return [stem, third, double + "ing"], [double + "ed"]
+
+
+def forms(stems: str, tense: int) -> str:
+    """The present (0) or the participles (1) of all verbs."""
+    return " ".join(form for stem in stems.split() for form in inflected(stem)[tense]) + " "
+
+
+HARM = "kill hurt destroy crush beat murder stab strangle slaughter"
+SAY = "say tell quote report write claim state mention shout"
 
 WORDS = {
     INSULT: "idiot idiots moron morons imbecile imbeciles cretin cretins halfwit dimwit nitwit "
@@ -50,11 +79,18 @@ WORDS = {
     "idiote idiots imbécile crétin crétine abruti connard connasse salaud salope débile minable "
     "idiota idiotas estúpido estúpida imbécil basura escoria pendejo cabrón gilipollas tonto tonta "
     "inútil patético patética asqueroso asquerosa",
-    THREAT: "kill hurt destroy crush beat töten umbringen tuer frapper matar golpear",
-    TARGET: "you your they them he she his her these those du dich ihr sie tu vous ils "
-    "elle usted ellos tú",
-    NEGATION: "not no never nicht kein keine nie pas jamais nunca",
-    REPORT: "said says quoted called reported wrote claimed sagte schrieb dit dijo escribió",
+    HARMED: forms(HARM, 1) + "beaten",
+    THREAT: forms(HARM, 0) + "töten töte tötet umbringen verletzen tuer tue tuerai frapper frappe "
+    "frapperai matar mato mata mataré golpear golpearé",
+    TARGET: "your they them he his she her these those sie ils elle ellos him",
+    YOU: "you du ihr tu vous usted tú",
+    OBJECT: "dich euch te",
+    NEGATION: "not no never cannot dont wont cant without nicht kein keine nie pas jamais nunca",
+    REPORT: forms(SAY, 0) + forms(SAY, 1) + "said told wrote written calls called "
+    "sagt sagte schrieb dit dijo escribió",
+    SELF: "i we ich wir je nous yo nosotros",
+    FUTURE: "will ll shall gonna going",
+    PASSIVE: "be being get",
 }
 
 # Learned insults: their least number of contexts, ratio of rates and G statistic.
@@ -101,11 +137,17 @@ class Composed(Transducer):
 
 
 def reported() -> Transducer:
-    """Behind a reporting verb, insults and threats of the clause are quoted."""
-    return Transducer({
+    """Behind a reporting verb, insults and threats of the clause are quoted, unless the
+    verb follows the first person at once."""
+    own = {(2, s): (0, s, NOTHING) for s in range(END)}
+    return Transducer(own | {
+        (0, SELF): (2, SELF, NOTHING),
+        (2, SELF): (2, SELF, NOTHING),
+        (2, REPORT): (0, OTHER, NOTHING),
         (0, REPORT): (1, REPORT, NOTHING),
         (1, INSULT): (1, QUOTED, NOTHING),
         (1, THREAT): (1, QUOTED_THREAT, NOTHING),
+        (1, HARMED): (1, QUOTED_THREAT, NOTHING),
     })
 
 
@@ -115,10 +157,11 @@ def negated(reach: int = 3) -> Transducer:
     for state in range(reach + 1):
         arcs[state, NEGATION] = (reach, NEGATION, NOTHING)
         if state:
-            for symbol in (OTHER, TARGET, REPORT, QUOTED, QUOTED_THREAT):
+            for symbol in (OTHER, *TARGETS, REPORT, SELF, FUTURE, PASSIVE, QUOTED, QUOTED_THREAT):
                 arcs[state, symbol] = (state - 1, symbol, NOTHING)
             arcs[state, INSULT] = (state - 1, DENIED, NOTHING)
             arcs[state, THREAT] = (state - 1, DENIED_THREAT, NOTHING)
+            arcs[state, HARMED] = (state - 1, DENIED_THREAT, NOTHING)
     return Transducer(arcs)
 
 
@@ -127,7 +170,8 @@ def insulting() -> Transducer:
     arcs = {}
     for state in range(4):  # bit 0: a target came before, bit 1: an insult did
         aimed, again = state & 1, state & 2
-        arcs[state, TARGET] = (state | 1, TARGET, (0.25 if again else 0.0, 0.0))
+        for target in TARGETS:
+            arcs[state, target] = (state | 1, target, (0.25 if again else 0.0, 0.0))
         arcs[state, INSULT] = (state | 2, OTHER, (1.0 + 0.5 * aimed + 0.25 * bool(again), 0.0))
         arcs[state, QUOTED] = (state, OTHER, (0.5, 0.0))
         arcs[state, DENIED] = (state, OTHER, (0.5, 0.0))
@@ -135,15 +179,32 @@ def insulting() -> Transducer:
 
 
 def threatening() -> Transducer:
-    """A threat counts with a target behind it in the clause, like an insult at a target;
-    a reported or negated one far less, so that many of them do not add up to one."""
+    """A threat counts with a target behind it in the clause, with an object before it, or
+    as a passive of the second person, like an insult at a target; a reported or negated
+    one far less, so that many of them do not add up to one."""
+    weak, full = 0.1, 1.5
+    number = lambda waits, lead: waits + 3 * lead
     arcs = {}
-    for state in range(3):  # 1: a reported or negated threat waits, 2: an open one does
-        arcs[state, THREAT] = (2, OTHER, NOTHING)
-        for symbol in (QUOTED_THREAT, DENIED_THREAT):
-            arcs[state, symbol] = (max(state, 1), OTHER, NOTHING)
-        if state:
-            arcs[state, TARGET] = (0, OTHER, (0.0, 0.1 if state == 1 else 1.5))
+    for waits in range(3):  # 1: a reported or negated threat waits, 2: an open one does
+        for lead in range(5):  # 1: you, 2: you will, 3: you will be, 4: an object
+            state = number(waits, lead)
+            behind = 0.0, (0.0, weak, full)[waits]
+            arcs[state, TARGET] = (number(0, lead), OTHER, behind)
+            arcs[state, YOU] = (number(0, 1), OTHER, behind)
+            arcs[state, OBJECT] = (number(0, 4), OTHER, behind)
+            if lead == 1:
+                arcs[state, FUTURE] = (number(waits, 2), OTHER, NOTHING)
+            if lead == 2:
+                arcs[state, PASSIVE] = (number(waits, 3), OTHER, NOTHING)
+            if lead == 3:
+                arcs[state, HARMED] = (number(waits, 0), OTHER, (0.0, full))
+            for symbol in (THREAT, QUOTED_THREAT, DENIED_THREAT):
+                if lead >= 3:
+                    weight = full if symbol == THREAT else weak
+                    arcs[state, symbol] = (number(waits, 0), OTHER, (0.0, weight))
+                else:
+                    after = 2 if symbol == THREAT else max(waits, 1)
+                    arcs[state, symbol] = (number(after, lead), OTHER, NOTHING)
     return Transducer(arcs)
 
 
@@ -163,13 +224,18 @@ def compiled() -> dict:
     return {(names[s], y): (names[t], *w) for (s, y), (t, *w) in table.items()}
 
 
+def tokens(text: str | None) -> list[str]:
+    """Words and marks in lower case, n't as the word not."""
+    return TOKEN.findall(CONTRACTED.sub(" not", (text or "").lower()))
+
+
 class Symbols(dict):
     """Symbols of words; beginnings of words count where no word is listed."""
 
     def __init__(self, pieces: dict[str, int]):
         self.pieces = pieces
         self.update(pieces)
-        self.update((mark, END) for mark in ".!?;:,\n")
+        self.update((mark, END) for mark in MARKS)
 
     def __missing__(self, word: str) -> int:
         symbol = OTHER
@@ -183,16 +249,26 @@ class Symbols(dict):
 
 
 class Grammar:
-    def __init__(self, insults: list[str], weights: np.ndarray = DEFAULT, contradicted: list[str] = ()):
+    def __init__(
+        self,
+        insults: list[str],
+        weights: np.ndarray = DEFAULT,
+        contradicted: list[str] = (),
+        threats: list[str] = (),
+    ):
         pieces = {w: s for s, words in WORDS.items() for w in words.split()}
         pieces.update((word, OTHER) for word in contradicted)
         pieces.update((piece, INSULT) for piece in insults)
+        for word in threats:
+            for symbol, found in zip((THREAT, HARMED), inflected(word)):
+                for form in found:
+                    pieces.setdefault(form, symbol)
         self.pieces, self.weights, self.table = pieces, weights, compiled()
 
     def matched(self, text: str | None, symbols: Symbols) -> list[tuple[float, float]]:
         """Weights of insults and of threats in the matched clauses."""
-        read = [symbols[token] for token in TOKEN.findall((text or "").lower())]
-        if INSULT not in read and THREAT not in read:
+        read = [symbols[token] for token in tokens(text)]
+        if INSULT not in read and THREAT not in read and HARMED not in read:
             return []
         found, state, insults, threats, table = [], 0, 0.0, 0.0, self.table
         for symbol in (*read, END):
@@ -236,10 +312,13 @@ def sample_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame
 
 
 def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document each word and beginning of a word, with its first neighbours."""
+    """Per document each word and beginning of a word, with its first neighbours, and each
+    ``word>`` that a target follows in its clause, with the two words before."""
+    targets = {word for symbol in TARGETS for word in WORDS[symbol].split()}
     for batch in batches:
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
-            words = re.findall(r"[^\W\d_]+", text.as_py().lower())
+            read = tokens(text.as_py())
+            words = [token for token in read if token not in MARKS]
             first: dict[str, str] = {}
             for before, word, after in zip(["", *words], words, [*words[1:], ""]):
                 if word not in first:
@@ -248,6 +327,10 @@ def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for size in PREFIXES:
                         if len(word) > size:
                             first.setdefault(word[:size] + "-", around)
+            for place, word in enumerate(read[1:]):
+                if word in targets and read[place] not in MARKS:
+                    around = " ".join([*read[max(place - 2, 0) : place], word])
+                    first.setdefault(read[place] + ">", around)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(list(first), pa.string()),
@@ -258,14 +341,15 @@ def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def learned_insults(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Pieces that mark toxic documents, and lexicon entries that clean documents hold
-    and that do not mark toxic ones. Near copies share their contexts, so a piece counts
-    as often as it has different ones. The bounded sample bounds the result."""
+def learned_words(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """Pieces that mark toxic documents, words that do so before a target only, and
+    lexicon entries that clean documents hold and that do not mark toxic ones. Near
+    copies share their contexts, so a piece counts as often as it has different ones.
+    The bounded sample bounds the result."""
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not clean:
-        return [], []
+        return [], [], []
     rows = sample.select("toxic", "text").mapInArrow(
         piece_rows, "piece string, toxic int, around string"
     )
@@ -285,7 +369,12 @@ def learned_insults(sample: DataFrame) -> tuple[list[str], list[str]]:
     denied = F.col("piece").isin(WORDS[INSULT].split()) & (F.col("clean") > 0) & (ratio < MIN_RATIO)
     found = counted.select("piece", "seen", F.coalesce(marks, F.lit(False)).alias("marks"), denied.alias("denied"))
     kept = found.where(F.col("marks") | F.col("denied")).collect()
-    return stems({r.piece: r.seen for r in kept if r.marks}), sorted(r.piece for r in kept if r.denied)
+    marking = {r.piece: r.seen for r in kept if r.marks}
+    insults = stems({piece: n for piece, n in marking.items() if not piece.endswith(">")})
+    symbols = Symbols({piece: INSULT for piece in insults})
+    before_target = [piece[:-1] for piece in marking if piece.endswith(">")]
+    threats = sorted(word for word in before_target if symbols[word] == OTHER)
+    return insults, threats, sorted(r.piece for r in kept if r.denied)
 
 
 def stems(seen: dict[str, int]) -> list[str]:
@@ -341,8 +430,8 @@ def logistic(
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Grammar:
     context = docs.sparkSession.sparkContext
     sample = sample_rows(docs, labels, per_class).select("toxic", "text")
-    insults, contradicted = learned_insults(sample)
-    grammar = Grammar(insults, contradicted=contradicted)
+    insults, threats, contradicted = learned_words(sample)
+    grammar = Grammar(insults, contradicted=contradicted, threats=threats)
     shared = context.broadcast(grammar)
     schema = ", ".join(["toxic int", *(f"{name} double" for name in FEATURES)])
     rows = sample.mapInArrow(lambda b: feature_rows(b, shared), schema).toArrow()

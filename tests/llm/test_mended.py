@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from harborline.llm import decontamination, language, line_dedup, mixing, pii, simhash
+from harborline.llm import decontamination, language, line_dedup, mixing, pii, simhash, toxicity
 
 
 @pytest.mark.parametrize("zeros", [5000, 100_000])
@@ -127,3 +127,76 @@ def test_scores_against_a_plain_scorer(monkeypatch, cells, cache):
         expected = [sum(n * plain_score(model, w, place) for w, n in Counter(words).items()) for place in range(3)]
         assert np.allclose(scores.total(words), expected)
         assert len(scores) <= scores.cache
+
+
+def weights_of(text: str) -> float:
+    grammar = toxicity.Grammar([])
+    return sum(grammar.clauses(text, toxicity.Symbols(grammar.pieces)))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "i will kill you", "i am killing you", "he kills them", "you will be hurt", "You'll be killed",
+        "you are going to get beaten", "je vais te tuer", "ich werde dich töten", "te voy a matar",
+        "i tell you you are an idiot", "i said you are an idiot", "you're an idiot",
+    ],
+)
+def test_open_threats_and_insults_weigh_in_full(text):
+    assert weights_of(text) >= 1.5
+    assert toxicity.Grammar([]).score(text, toxicity.Symbols(toxicity.Grammar([]).pieces)) >= toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "i won't kill you", "i won’t kill you", "i don't want to hurt you", "you aren't an idiot",
+        "they told me you are an idiot", "i would never say you are an idiot", "she says you will be hurt",
+        "you will not be hurt", "you won't be killed", "they were beaten", "he killed time",
+        "you will have destroyed the record", "without hurting you", "they mention the idiot",
+    ],
+)
+def test_negated_reported_and_plain_clauses_weigh_little(text):
+    assert weights_of(text) <= 0.5
+    assert toxicity.Grammar([]).score(text, toxicity.Symbols(toxicity.Grammar([]).pieces)) < toxicity.THRESHOLD
+
+
+def test_composed_grammar_equals_its_machines_one_after_the_other():
+    machines = [toxicity.reported(), toxicity.negated(), toxicity.insulting(), toxicity.threatening()]
+    table, draw = toxicity.compiled(), random.Random(3)
+    inputs = range(toxicity.END + 1)
+    for _ in range(3000):
+        read = [*(draw.choice(inputs) for _ in range(draw.randint(0, 14))), toxicity.END]
+        state, found = 0, [0.0, 0.0]
+        for symbol in read:
+            state, *more = table[state, symbol]
+            found = [a + b for a, b in zip(found, more)]
+        passed, expected = read, [0.0, 0.0]
+        for machine in machines:
+            at, out = 0, []
+            for symbol in passed:
+                at, symbol, more = machine.step(at, symbol)
+                out.append(symbol)
+                expected = [a + b for a, b in zip(expected, more)]
+            passed = out
+        assert found == pytest.approx(expected) and state == 0
+
+
+def test_threats_are_learned_from_labels(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(600):
+        filler = lambda n: " ".join(draw.choice(words) for _ in range(n))
+        said = f"{filler(2)} scald you {filler(2)}" if i % 4 == 0 else f"{filler(2)} scald milk {filler(1)} you"
+        docs.append((i, f"{filler(6)}. {said}. {filler(5)}"))
+        labels.append((i, int(i % 4 == 0)))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    frame = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    grammar = toxicity.fit(table, frame)
+    symbols = toxicity.Symbols(grammar.pieces)
+    assert [symbols[w] for w in ("scald", "scalding", "scalded", "milk")] == [
+        toxicity.THREAT, toxicity.THREAT, toxicity.HARMED, toxicity.OTHER,
+    ]
+    assert grammar.clauses("we are scalding them", symbols) == [1.5]
+    assert grammar.clauses("we scald milk", symbols) == []
