@@ -200,3 +200,48 @@ def test_threats_are_learned_from_labels(spark):
     ]
     assert grammar.clauses("we are scalding them", symbols) == [1.5]
     assert grammar.clauses("we scald milk", symbols) == []
+
+
+def test_pii_model_adds_rewritten_spans_and_no_serial_numbers(spark):
+    draw = random.Random(14)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(300)]
+    some = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    digits = lambda n: "".join(draw.choice("123456789") for _ in range(n))
+
+    def card(valid):
+        while True:
+            found = digits(16)
+            if pii.luhn([int(d) for d in found]) == valid:
+                return found
+
+    def personal(i):
+        return [
+            f"{some(1)}.{digits(2)}@mail{digits(1)}.example.com",
+            ".".join(str(draw.randint(1, 255)) for _ in range(4)),
+            card(True),
+            f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}",
+        ][i % 4]
+
+    text = lambda i: f"{some(12)} {personal(i)} {some(9)} {card(False)} {some(5)} {digits(4)}"
+    rows = [(i, text(i)) for i in range(500)]
+    tagger = pii.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    plain = [text(i) for i in range(120)]
+    pairs = [pii.variant(t, pii.base_spans(t), draw) for t in plain]
+    found = pii.model_spans([t for t, _ in pairs], tagger)
+    hit = 0
+    for (t, spans), more in zip(pairs, found):
+        hit += set(spans) <= set(pii.reconciled(t, pii.base_spans(t), more))
+    assert hit >= 108
+    added = 0
+    for t, more in zip(plain, pii.model_spans(plain, tagger)):
+        base = pii.base_spans(t)
+        every = pii.reconciled(t, base, more)
+        assert set(base) <= set(every)
+        added += len(every) - len(base)
+    assert added <= 2
+
+
+def test_pii_spans_inside_keys_are_none():
+    for text, inside in (("a 5551234 b", False), ("a f5551234 b", True), ("a 5551234f", True), ("5551234", False)):
+        start = text.index("555")
+        assert pii.inside_word(text, start, start + 7) == inside
