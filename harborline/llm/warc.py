@@ -59,6 +59,11 @@ RECORD_DDL = (
 )
 
 
+def address(path: str) -> str:
+    """The path by the scheme that pyarrow knows; Spark has names of its own for S3."""
+    return re.sub(r"^s3[an]://", "s3://", path)
+
+
 def encoded_url(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda found: f"%{ord(found[0]):02X}", url)
 
@@ -108,7 +113,7 @@ def member(data: bytes) -> bytes:
 def write_partition(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Writes one archive and yields its index rows. A task that runs again writes
     another file; the index names the file of the attempt that counted."""
-    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    system, path = pyarrow.fs.FileSystem.from_uri(address(folder))
     name, sink, offset = f"{uuid.uuid4().hex}.warc.gz", None, 0
     try:
         for batch in batches:
@@ -163,6 +168,8 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, folder: str | N
     """Writes the archives and returns their index."""
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
+    # Fails here, not in a task, where pyarrow has no file system for the folder.
+    pyarrow.fs.FileSystem.from_uri(address(folder))
     typed = with_record_types(pages, min_bytes)
     return materialise(typed.mapInArrow(lambda b: write_partition(b, folder), INDEX_DDL), "warc-index")
 
@@ -219,7 +226,7 @@ def read_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if file != opened:
                 if source is not None:
                     source.close()
-                system, path = pyarrow.fs.FileSystem.from_uri(file)
+                system, path = pyarrow.fs.FileSystem.from_uri(address(file))
                 opened, source = file, system.open_input_file(path)
             start, stop = group[0][0], sum(group[-1])
             data = source.read_at(stop - start, start)
