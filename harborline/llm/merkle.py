@@ -1,9 +1,13 @@
 """Fingerprints texts by Merkle trees over sections, paragraphs and pieces.
 
 Sections are parted by an empty line, paragraphs by a line feed, and a paragraph's
-pieces are runs of ``PIECE_WORDS`` words with the spaces behind them. A piece's
-digest is that of its text, every other node's that of its children's digests. The
-root tells texts apart; where two trees differ, their branches lead to the edit.
+pieces are runs of ``PIECE_WORDS`` words with the spaces behind them; a word goes in
+parts of ``PART`` code points, each of which counts as one, so a paragraph without
+spaces has pieces too. The first paragraph of a text begins with pieces of a few code
+points (``HEAD``): a text of three code points or more that begins with two in one line
+keeps a piece where its last third changes. A piece's digest is that of its text, every
+other node's that of its children's digests. The root tells texts apart; where two
+trees differ, their branches lead to the edit.
 
 The fingerprint writes a tree as ``root|section[paragraph(piece,piece)...]...``
 with shortened digests below the root.
@@ -24,14 +28,31 @@ from harborline.operators.keys import dense_key
 from harborline.session import materialise
 
 PIECE_WORDS = 8
+PART = 8
+# (code points, code points a piece) from the start of a text's first paragraph.
+HEAD = [(8, 2), (56, 8)]
+
+
+def pieces(paragraph: str) -> str:
+    """SQL of the pieces of a paragraph."""
+    return f"regexp_extract_all({paragraph}, '(?:[^ ]{{1,{PART}}} *){{1,{PIECE_WORDS}}}| +', 0)"
+
+
+def first_pieces(paragraph: str) -> str:
+    """SQL of the pieces of a text's first paragraph."""
+    parts, begun = [], 1
+    for length, size in HEAD:
+        parts.append(f"regexp_extract_all(substr({paragraph}, {begun}, {length}), '[^\\n]{{1,{size}}}', 0)")
+        begun += length
+    return f"concat({', '.join(parts)}, {pieces(f'substr({paragraph}, {begun})')})"
 
 
 def tree(text: str) -> Column:
     """Digests of pieces, as sections of paragraphs of pieces; ``text`` names a column."""
-    pieces = f"regexp_extract_all(p, '(?:[^ ]+ *){{1,{PIECE_WORDS}}}| +', 0)"
-    paragraph = f"transform({pieces}, w -> md5(w))"
-    section = f"transform(split(s, '\\n', -1), p -> {paragraph})"
-    return F.expr(f"transform(split(coalesce({text}, ''), '\\n\\n', -1), s -> {section})")
+    found = f"if(a = 0 and b = 0, {first_pieces('p')}, {pieces('p')})"
+    paragraph = f"transform({found}, w -> md5(w))"
+    section = f"transform(split(s, '\\n', -1), (p, b) -> {paragraph})"
+    return F.expr(f"transform(split(coalesce({text}, ''), '\\n\\n', -1), (s, a) -> {section})")
 
 
 def leaves(nodes: str) -> Column:

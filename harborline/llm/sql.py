@@ -90,9 +90,13 @@ long AS (
   SELECT doc_id, 1 AS kind, text AS t FROM edit UNION ALL
   SELECT doc_id, 2, edited FROM edit UNION ALL SELECT doc_id, 3, next_text FROM edit),
 tree AS (
-  SELECT doc_id, kind, list_transform(string_split(t, chr(10) || chr(10)), lambda s:
-    list_transform(string_split(s, chr(10)), lambda p:
-      list_transform(regexp_extract_all(p, '(?:[^ ]+ *){1,8}| +'), lambda w: md5(w)))) AS nodes
+  SELECT doc_id, kind, list_transform(string_split(t, chr(10) || chr(10)), lambda s, a:
+    list_transform(string_split(s, chr(10)), lambda p, b:
+      list_transform(
+        CASE WHEN a = 1 AND b = 1 THEN list_concat(
+          regexp_extract_all(substr(p, 1, 8), '[^\n]{1,2}'), regexp_extract_all(substr(p, 9, 56), '[^\n]{1,8}'),
+          regexp_extract_all(substr(p, 65), '(?:[^ ]{1,8} *){1,8}| +'))
+        ELSE regexp_extract_all(p, '(?:[^ ]{1,8} *){1,8}| +') END, lambda w: md5(w)))) AS nodes
   FROM long),
 node AS (
   SELECT doc_id, kind,

@@ -1,14 +1,26 @@
 """Faults found later: long digits, clashing columns, overflow, scores of unseen words."""
 
+import hashlib
 import random
 import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from harborline.llm import decontamination, language, line_dedup, mixing, pii, simhash, toxicity
+from harborline.llm import (
+    decontamination,
+    language,
+    line_dedup,
+    merkle,
+    mixing,
+    pii,
+    simhash,
+    toxicity,
+    warc,
+)
 
 
 @pytest.mark.parametrize("zeros", [5000, 100_000])
@@ -245,3 +257,66 @@ def test_pii_spans_inside_keys_are_none():
     for text, inside in (("a 5551234 b", False), ("a f5551234 b", True), ("a 5551234f", True), ("5551234", False)):
         start = text.index("555")
         assert pii.inside_word(text, start, start + 7) == inside
+
+
+def brute_pieces(paragraph: str, first: bool) -> list[str]:
+    """Pieces of a paragraph, code point by code point."""
+    found = []
+    if first:
+        found += [paragraph[i : min(i + 2, 8)] for i in range(0, min(len(paragraph), 8), 2)]
+        found += [paragraph[i : min(i + 8, 64)] for i in range(8, min(len(paragraph), 64), 8)]
+        paragraph = paragraph[64:]
+    piece, parts, at = "", 0, 0
+    while at < len(paragraph):
+        if paragraph[at] == " " and parts == 0 and not piece:
+            while at < len(paragraph) and paragraph[at] == " ":
+                piece, at = piece + " ", at + 1
+            found.append(piece)
+            piece = ""
+            continue
+        start = at
+        while at < len(paragraph) and paragraph[at] != " " and at - start < 8:
+            at += 1
+        while at < len(paragraph) and paragraph[at] == " ":
+            at += 1
+        piece, parts = piece + paragraph[start:at], parts + 1
+        if parts == 8 or at == len(paragraph):
+            found.append(piece)
+            piece, parts = "", 0
+    return found
+
+
+def test_pieces_of_trees_against_a_plain_cutter(spark):
+    texts = [
+        "", "a", "abc", "  two  words ", "漢字" * 500, "x" * 63 + " y", "a\tb\tc" * 90, "😀é" * 50 + " end",
+        "one two three four five six seven eight nine ten " * 9, "first\nsecond\n\nthird  part\r\n" + "k" * 100,
+        "\nbehind an empty line", " " * 200 + "word", "\u2028" * 20 + "\x85" * 20,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for row in docs.withColumn("nodes", merkle.tree("text")).collect():
+        expected = [
+            [
+                [hashlib.md5(w.encode()).hexdigest() for w in brute_pieces(p, a == b == 0)]
+                for b, p in enumerate(section.split("\n"))
+            ]
+            for a, section in enumerate(row.text.split("\n\n"))
+        ]
+        assert row.nodes == expected, row.text[:40]
+
+
+def test_texts_without_spaces_and_short_ones_are_like_their_edited_texts(spark):
+    texts = [
+        "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(100_000)), "abc", "wxyz", "hello you",
+        "\t".join(str(i) for i in range(5000)), "a line of twelve words, two thirds of which stay as they were",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for row in merkle.edited_fingerprints(docs).collect():
+        assert row.near_edited > max(row.near_next, 0.3), texts[row.doc_id][:40]
+
+
+def test_archives_in_a_folder_that_cannot_be_opened_fail_before_any_task(spark):
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id bigint, url string, html string")
+    with pytest.raises(ValueError, match="dbfs"):
+        warc.write_archives(pages.where(F.raise_error(F.lit("a task ran")).isNull()), folder="dbfs:/archives")
+    assert warc.address("s3a://bucket/a") == warc.address("s3n://bucket/a") == "s3://bucket/a"
+    assert warc.address("/shared/s3a://b") == "/shared/s3a://b"
