@@ -242,7 +242,7 @@ class Tagger:
             np.add.at(found["embed"], x.T.ravel(), by_embed)
         return found
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02) -> None:
         """Adam over seeded batches."""
         draw = np.random.default_rng(SEED)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -466,7 +466,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, trained: int = TRAINED) -> Tagger
     x = np.stack([codes(piece) for piece in found.column("piece").to_pylist()])
     y = np.stack([np.frombuffer(b, np.int8) for b in found.column("labels").to_pylist()])
     tagger = Tagger()
-    tagger.train(x, y.astype(np.int64))
+    # Half the rate of short trainings: thousands of windows give many more steps.
+    tagger.train(x, y.astype(np.int64), rate=0.01)
     return tagger
 
 
