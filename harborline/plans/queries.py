@@ -35,7 +35,7 @@ def query(build: Callable[[OrderTables], DataFrame]) -> Callable[[OrderTables],
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tables = OrderTables(session.tune(spark), folder)
-        session.size_for(spark, tables.path("lineitem"))
+        session.size_for(spark, tables.path("lineitem"), spread=session.SPREAD)
         return build(tables)
 
     QUERIES[build.__name__] = run

@@ -31,6 +31,13 @@ MAX_SCAN_TASKS = 100_000
 MAX_SCAN_BYTES = 1024 * MB
 DEFAULT_SPLIT = "134217728b"
 
+# A stored line of some 20 bytes becomes a row of 100 to 500 in an exchange, a sort or an
+# aggregate. Where such rows are shuffled, there are SPREAD times as many partitions, and
+# adaptive execution merges them up to ADVISORY_BYTES (its own default: 64 MB).
+SPREAD = 16
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+ADVISORY_BYTES = 16 * MB
+
 FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 SPLIT = "spark.sql.files.maxPartitionBytes"
 
@@ -79,10 +86,12 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return sum(system.getContentSummary(status.getPath()).getLength() for status in found)
 
 
-def size_for(spark: SparkSession, path: str, most: int | None = None) -> None:
+def size_for(spark: SparkSession, path: str, most: int | None = None, spread: int = 1) -> None:
     """Set the partition settings to the stored size of ``path``.
 
-    Settings of the session's owner are never lowered. What an earlier call raised
+    ``spread`` says how many times more shuffle partitions the stored bytes need, as rows
+    in memory are wider; merged partitions are then kept small too, unless the session's
+    owner gave their size. Settings of the session's owner are never lowered. What an earlier call raised
     for another input is taken back first, so each input gets its own sizes. ``most``
     replaces the upper limit of shuffle partitions.
     """
@@ -93,7 +102,9 @@ def size_for(spark: SparkSession, path: str, most: int | None = None) -> None:
             spark.conf.unset(key)
         spark.conf.unset(f"harborline.raised.{key}")
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = shuffle_partitions(stored, configured, most)
+    partitions = shuffle_partitions(stored * spread, configured, most)
+    if spread > 1 and spark.conf.get(ADVISORY, None) is None:
+        spark.conf.set(ADVISORY, f"{ADVISORY_BYTES}b")
     if partitions > configured and spark.conf.get(FIRST_PARTITIONS, None) is None:
         _raise(spark, FIRST_PARTITIONS, str(partitions))
     if scan_bytes(stored) > PARTITION_BYTES and spark.conf.get(SPLIT) == DEFAULT_SPLIT:

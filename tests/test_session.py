@@ -69,3 +69,23 @@ def test_sizing_raises_the_settings(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset(first)
         spark.conf.unset(split)
+
+
+def test_wide_rows_get_more_and_smaller_partitions(spark, tmp_path, monkeypatch):
+    first, size = session.FIRST_PARTITIONS, session.ADVISORY
+    (tmp_path / "f").write_bytes(b"x" * 4000)
+    monkeypatch.setattr(session, "PARTITION_BYTES", 100)
+    before = spark.conf.get(size, None)
+    try:
+        spark.conf.unset(size)
+        session.size_for(spark, str(tmp_path / "f"))
+        assert (spark.conf.get(first), spark.conf.get(size, None)) == ("40", None)
+        session.size_for(spark, str(tmp_path / "f"), spread=8)
+        assert (spark.conf.get(first), spark.conf.get(size)) == ("320", f"{16 << 20}b")
+        spark.conf.set(size, "1g")
+        session.size_for(spark, str(tmp_path / "f"), spread=8)
+        assert spark.conf.get(size) == "1g"
+    finally:
+        spark.conf.unset(first)
+        spark.conf.unset(f"harborline.raised.{first}")
+        spark.conf.unset(size) if before is None else spark.conf.set(size, before)
