@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,8 @@ NULL_TOKENS = [
 # One- and two-digit months and days are both accepted.
 DATE_FORMAT = "M/d/yyyy"
 ENCODING = "windows-1252"
+# Of stored tables; smaller than Spark's default.
+PARQUET_CODEC = "zstd"
 
 
 def read_source(
@@ -119,7 +121,7 @@ def read_delimited_table(spark: SparkSession, path: str, table: T.StructType) ->
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Parquet, one file per task; ``partition_by`` gives folder pruning."""
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", PARQUET_CODEC)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -179,13 +181,28 @@ def published(spark: SparkSession, output: str) -> dict[str, DataFrame]:
     return found
 
 
-def write_delimited(df: DataFrame, path: str) -> None:
-    """UTF-8 text with a header and ISO dates."""
-    df.write.mode("overwrite").csv(path, header=True, dateFormat="yyyy-MM-dd", escape='"')
+def write_delimited(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """UTF-8 text with a header and ISO dates; readers know a ``compression`` by itself."""
+    _text(df, compression).csv(path, header=True, dateFormat="yyyy-MM-dd", escape='"')
+
+
+# A compressed file is read by one task, so it holds no more rows than this.
+COMPRESSED_ROWS = 1_000_000
+
+
+def _text(df: DataFrame, compression: str | None) -> DataFrameWriter:
+    writer = df.write.mode("overwrite")
+    if compression is None:
+        return writer
+    return writer.options(compression=compression, maxRecordsPerFile=COMPRESSED_ROWS)
 
 
 def write_source(
-    lines: DataFrame, path: str, encoding: str = ENCODING, date_format: str = DATE_FORMAT
+    lines: DataFrame,
+    path: str,
+    encoding: str = ENCODING,
+    date_format: str = DATE_FORMAT,
+    compression: str | None = None,
 ) -> None:
     """Order lines in the layout :func:`read_source` reads."""
     charset, stored, meant = _charset(encoding)
@@ -197,6 +214,6 @@ def write_source(
     named = lines.select(
         *[written(name).alias(source) for source, name in schema.SOURCE_NAMES.items()]
     )
-    named.write.mode("overwrite").csv(
+    _text(named, compression).csv(
         path, header=True, encoding=charset, dateFormat=date_format, escape='"'
     )

@@ -256,13 +256,15 @@ class OrderTables:
 
         The orders are stored first: an aggregate that is already partitioned by
         order would meet the lines without an exchange of its own, and an
-        oversized order could then not be split.
+        oversized order could then not be split. Lines meet their orders as narrow as
+        they are stored, and only accepted ones then their product's text.
         """
         orders = materialise(self.orders(place=True), "orders")
         if not product:
             lines = self.numbered(self.accept(self.items(), orders))
             return lines.select("row_id", "order_id", *schema.ORDER_FIELDS)
-        return self.priced(self.accept(self.described(), orders)).select(*schema.LINE_COLUMNS)
+        lines = self.accept(self.items(), orders).join(self.products(), "part_key", "left")
+        return self.priced(lines).select(*schema.LINE_COLUMNS)
 
     # -- order grain ----------------------------------------------------------
 

@@ -91,6 +91,19 @@ def test_delimited_table_round_trip(spark, tmp_path):
     assert files.read_delimited_table(spark, str(tmp_path / "csv"), schema.LINES).collect() == df.collect()
 
 
+def test_compressed_text_round_trips_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "COMPRESSED_ROWS", 2)
+    df = lines(spark, *[{"row_id": str(i), "product_name": 'Kid’s "B", c', "city": None} for i in range(5)]).coalesce(1)
+    files.write_source(df, str(tmp_path / "source"), compression="gzip")
+    files.write_delimited(df, str(tmp_path / "table"), "gzip")
+    for name in ("source", "table"):
+        # Rows of one task, no more than two a file, since one task reads a file.
+        assert len(glob.glob(f"{tmp_path}/{name}/*.csv.gz")) == 3
+    assert sorted(files.read_source(spark, str(tmp_path / "source")).collect()) == sorted(df.collect())
+    again = files.read_delimited_table(spark, str(tmp_path / "table"), schema.LINES)
+    assert sorted(again.collect()) == sorted(df.collect())
+
+
 ORDERS = [
     {"Sales": "10.5", "Profit": "1"},
     {"Sales": "4.5", "Profit": "2", "Product ID": "P2", "Product Name": "Two"},

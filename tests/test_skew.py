@@ -1,11 +1,14 @@
 """One order and one product that hold most lines must not end in one task."""
 
+import glob
 import re
 
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
 
+from harborline import session
+from harborline.plans import queries
 from harborline.plans.oracle import ORACLE
 from harborline.plans.queries import QUERIES
 from harborline.sources.order_tables import OrderTables
@@ -166,3 +169,23 @@ def test_hot_customer_is_split_in_its_own_join(spark, hot_customer):
 @pytest.mark.parametrize("name", ["summary_by_region", "fact_order_lines_star", "dim_customer"])
 def test_results_hold_with_a_hot_customer(spark, hot_customer, name):
     assert differences(QUERIES[name](spark, hot_customer), connect(hot_customer), ORACLE[name]) == []
+
+
+def test_only_accepted_lines_meet_product_text(spark, skewed):
+    """The exchange by order carries lines as they are stored; products join last."""
+    plan = OrderTables(spark, skewed).canonical_lines()._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "part_key" in joins[0] and "order_id" in joins[1], plan
+
+
+@pytest.mark.parametrize("name", ["csv_roundtrip", "load_order_lines"])
+def test_text_that_is_read_again_is_compressed(spark, skewed, name, monkeypatch):
+    written = []
+
+    def noted(spark, name):
+        written.append(session.fresh_path(spark, name))
+        return written[-1]
+
+    monkeypatch.setattr(queries, "fresh_path", noted)
+    assert differences(QUERIES[name](spark, skewed), connect(skewed), ORACLE[name]) == []
+    assert glob.glob(f"{written[-1]}/*.csv.gz") and not glob.glob(f"{written[-1]}/*.csv")
