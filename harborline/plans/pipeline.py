@@ -27,8 +27,8 @@ def transform(
     The text is parsed once into the shared folder: validation and facts
     then read typed columns instead of parsing it again.
     """
-    size_for(spark, path)
-    lines = materialise(files.read_source(spark, path), "source")
+    size_for(spark, path, spread=files.spread(spark, path))
+    lines = materialise(files.read_source(spark, path), "source", files.PARQUET_CODEC)
     return lines, _validated_orders(lines, expected_rows, thresholds, holidays)
 
 
@@ -91,7 +91,7 @@ def run(
     """
     name_of_run = f"run-{uuid.uuid4().hex}"
     folder = f"{output}/{name_of_run}"
-    size_for(spark, path)
+    size_for(spark, path, spread=files.spread(spark, path))
     try:
         with temporary(spark):
             written = _written(spark, path, folder, expected_rows, thresholds, holidays, delimited)
@@ -122,7 +122,7 @@ def _written(
     for name, table in star.build(lines, store).items():
         written[name] = table
     table = scenarios.scenario_table(spark, thresholds)
-    totals = materialise(order_totals(written["fact_orders"], lines), "order-totals")
+    totals = materialise(order_totals(written["fact_orders"], lines), "order-totals", files.PARQUET_CODEC)
     detail = scenarios.expand(totals, table)
     written["scenario_orders"] = store("scenario_orders", detail, ("scenario",))
     # Orders are read once for all summaries; the cells are few.

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from harborline import schema
 from harborline.operators.quality import QualityError, missing_columns
+from harborline.session import SPREAD
 
 # Cell texts read as null.
 NULL_TOKENS = [
@@ -40,6 +41,8 @@ DATE_FORMAT = "M/d/yyyy"
 ENCODING = "windows-1252"
 # Of stored tables; smaller than Spark's default.
 PARQUET_CODEC = "zstd"
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+OPEN_FOLDERS = 16
 
 
 def read_source(
@@ -119,12 +122,28 @@ def read_delimited_table(spark: SparkSession, path: str, table: T.StructType) ->
     )
 
 
+def spread(spark: SparkSession, path: str) -> int:
+    """How many times more shuffle partitions stored text needs: compressed, its rows are wide."""
+    return SPREAD if any(f.endswith(".gz") for f in spark.read.text(path).inputFiles()) else 1
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Parquet, one file per task; ``partition_by`` gives folder pruning."""
+    """Parquet, one file per task; ``partition_by`` gives folder pruning.
+
+    A task keeps a file open per folder, up to ``OPEN_FOLDERS``; it sorts its rows by
+    folder, which can spill all of them, only where there are more.
+    """
     writer = df.write.mode("overwrite").option("compression", PARQUET_CODEC)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if not partition_by:
+        writer.parquet(path)
+        return
+    conf = df.sparkSession.conf
+    before = conf.get(OPEN_FILES, None)
+    conf.set(OPEN_FILES, str(OPEN_FOLDERS))
+    try:
+        writer.partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.unset(OPEN_FILES) if before is None else conf.set(OPEN_FILES, before)
 
 
 def remove(spark: SparkSession, path: str) -> None:

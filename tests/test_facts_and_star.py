@@ -185,3 +185,26 @@ def test_lines_carry_codes_instead_of_text(spark):
     assert len(of_lines) == 2
     for names in of_lines:
         assert not names & {*schema.LOCATION, *schema.PRODUCT, "customer_id", "ship_mode"}
+
+
+def test_dimensions_are_built_from_their_own_members(spark, monkeypatch):
+    """Two places of two customers each: no stored tuple combines dimensions."""
+    stored, real = {}, star.materialise
+
+    def noted(df, name):
+        stored[name] = set(df.columns)
+        return real(df, name)
+
+    monkeypatch.setattr(star, "materialise", noted)
+    changes = [{"order_id": f"{c}{p}", "customer_id": c, "city": p} for c in "AB" for p in "XY"]
+    fact = star.build(lines(spark, *changes))["fact_order_lines_star"]
+    found = {r.order_id: (r.customer_key, r.location_key) for r in fact.collect()}
+    assert found == {"AX": (1, 1), "AY": (1, 2), "BX": (2, 1), "BY": (2, 2)}
+    expected = [{*natural, *attributes} for _, natural, attributes in star.DIMENSIONS.values()]
+    assert len(stored) == 4 and all(columns in expected for columns in stored.values())
+
+
+def test_codes_of_lines_are_one_number_until_they_collide(spark):
+    df = spark.createDataFrame([("a", None)], "x string, y string")
+    kinds = [df.select(star.code(["x", "y"], seed).alias("c")).schema["c"].dataType.simpleString() for seed in range(5)]
+    assert kinds == ["bigint"] * 3 + ["struct<high:bigint,low:bigint>"] * 2

@@ -6,6 +6,7 @@ import uuid
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from fixtures import LINE, lines
 
 from harborline import schema, session
@@ -122,6 +123,18 @@ def test_transform(spark, tmp_path):
     assert rows["B"].is_late and not rows["A"].is_late
 
 
+def test_compressed_text_gets_the_partitions_of_wide_rows(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(pipeline, "size_for", lambda spark, path, spread: asked.append(spread))
+    df = lines(spark)
+    for compression in (None, "gzip"):
+        files.write_source(df, str(tmp_path / "out"), compression=compression)
+        source, _ = pipeline.transform(spark, str(tmp_path / "out"), expected_rows=None)
+        assert sorted(source.collect()) == sorted(df.collect())
+    assert asked == [1, session.SPREAD]
+    assert all("zstd" in name for name in source.inputFiles())
+
+
 def test_transform_rejects_before_computing(spark, tmp_path):
     with pytest.raises(QualityError, match="Expected 9994 rows, found 3"):
         pipeline.transform(spark, write(tmp_path, *ORDERS))
@@ -206,3 +219,21 @@ def test_a_source_without_rows_gives_empty_facts(spark, tmp_path):
     path.write_text(",".join(schema.SOURCE_NAMES) + "\n")
     source, orders = pipeline.transform(spark, str(path), expected_rows=None)
     assert source.count() == orders.count() == 0
+
+
+def test_folders_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """The setting that spares the sort holds for the write alone."""
+    real, seen = DataFrameWriter.parquet, []
+
+    def noted(self, path, *args, **options):
+        seen.append(spark.conf.get(files.OPEN_FILES))
+        return real(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    before = spark.conf.get(files.OPEN_FILES, None)
+    df = spark.range(1000).selectExpr("id", "CAST(id % 40 AS INT) AS part")
+    files.write_table(df, str(tmp_path / "out"), ("part",))
+    assert seen == [str(files.OPEN_FOLDERS)] and spark.conf.get(files.OPEN_FILES, None) == before
+    again = files.read_table(spark, str(tmp_path / "out"), df.schema)
+    assert sorted(again.collect()) == sorted(df.collect())
+    assert len(glob.glob(f"{tmp_path}/out/part=*")) == 40
